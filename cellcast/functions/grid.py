@@ -162,4 +162,6 @@ def with_cells_from_text(df: DataFrame, lat_text: Column, lng_text: Column, grid
     keep = [F.col(c) for c in df.columns]
     pts = with_utm(df, parse_number(lat_text), parse_number(lng_text), zone=zone, x="_x", y="_y")
     row, col = cell_of(F.col("_x"), F.col("_y"), grid)
-    return pts.select(*keep, row.alias("row"), col.alias("col"))
+    # Same barrier on the way out: filters on row/col (the extent gate) apply
+    # to the computed cells instead of re-evaluating the series below them.
+    return pts.select(*keep, F.inline(F.array(F.struct(row.alias("row"), col.alias("col")))))

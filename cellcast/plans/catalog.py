@@ -108,3 +108,291 @@ def previous_day(spark, sf_dir):
 def previous_week(spark, sf_dir):
     """AGG9."""
     return L.previous_week(counts(spark, sf_dir))
+
+
+# ---- layers ---------------------------------------------------------------------------
+
+from cellcast.functions import periods as P  # noqa: E402
+from cellcast.operators import evaluate as E  # noqa: E402
+from cellcast.operators import features as FT  # noqa: E402
+from cellcast.operators import layers as LY  # noqa: E402
+from cellcast.operators import model as M  # noqa: E402
+from cellcast.operators import smooth as S  # noqa: E402
+from cellcast.sources import geo as GEO  # noqa: E402
+from cellcast.sources import weather as W  # noqa: E402
+
+import datetime as _dt  # noqa: E402
+
+# Hold-out bound of the test data (test from 2024-01-24 00h).
+HOLDOUT_TEST_FROM = (_dt.date(2024, 1, 24) - P.EPOCH).days * 24
+
+
+def _round(c, name):
+    return F.round(F.col(c), 6).alias(name)
+
+
+def mask(spark):
+    return GEO.mask_cells(T.mask_cells_for_grid(spark, GRID))
+
+
+def geo(spark):
+    return GEO.geo_wide(T.geo_cells_for_grid(spark, GRID))
+
+
+def weather(spark, sf_dir):
+    rows = T.weather_csv_rows_from_events(T.load_events(spark, sf_dir))
+    return W.weather_table(rows.withColumn("_ord", F.monotonically_increasing_id()))
+
+
+def eligible(spark, sf_dir, ordering=LY.MAIN_ORDERING):
+    return LY.eligible_periods(LY.period_manifest(counts(spark, sf_dir), [LY.OBSERVED] + ordering), ordering)
+
+
+def area(spark) -> int:
+    """Evaluation area of the test grid: the number of mask cells (a grid-sized count)."""
+    return mask(spark).count()
+
+
+@query
+def rasterize_extent(spark, sf_dir):
+    """FLT1 + AGG10: in-extent cells summed per period."""
+    return LY.rasterize(counts(spark, sf_dir), GRID, "n")
+
+
+def _layer_stats(long):
+    return long.groupBy("layer", "period_h").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query
+def layer_union_stats(spark, sf_dir):
+    """SET1 + PRJ12: the 12-layer union, cells and mass per (layer, period)."""
+    return _layer_stats(LY.long_layers(counts(spark, sf_dir), GRID, LY.MAIN_ORDERING))
+
+
+@query
+def older_layer_union(spark, sf_dir):
+    """SET2: the 6-layer union of the older job."""
+    return _layer_stats(LY.long_layers(counts(spark, sf_dir), GRID, LY.OLDER_ORDERING))
+
+
+@query
+def layer_pivot(spark, sf_dir):
+    """AGG11: layers side by side per (period, cell); NULL = zero cell."""
+    names = [LY.OBSERVED] + LY.MAIN_ORDERING
+    wide = LY.pivot_layers(LY.long_layers(counts(spark, sf_dir), GRID, LY.MAIN_ORDERING), names)
+    return wide.select("period_h", "row", "col", *[_round(k, k) for k in names])
+
+
+@query
+def fused_layers(spark, sf_dir):
+    """AGG4-11 fused: the wide layer table built with the fewest shuffles."""
+    names = [LY.OBSERVED] + LY.MAIN_ORDERING
+    wide = LY.wide_layers(counts(spark, sf_dir), GRID, LY.MAIN_ORDERING)
+    return wide.select("period_h", "row", "col", *[_round(k, k) for k in names])
+
+
+@query
+def period_manifest(spark, sf_dir):
+    """Which (layer, period) rasters exist, taken before the extent gate."""
+    return LY.period_manifest(counts(spark, sf_dir))
+
+
+@query
+def eligible_periods(spark, sf_dir):
+    """FLT3 + FLT4."""
+    return eligible(spark, sf_dir)
+
+
+# ---- smoothing ------------------------------------------------------------------------
+
+def _two_hour_layer(spark, sf_dir):
+    return LY.tag_layer(LY.rasterize(L.two_hour(counts(spark, sf_dir)), GRID, "n", unique_keys=True),
+                        "two_hour")
+
+
+@query
+def kernel_density_2h(spark, sf_dir):
+    """SPT1: Gaussian (sigma 1, radius 4, reflect) of the two-hour layer."""
+    kd = S.kernel_density(_two_hour_layer(spark, sf_dir), GRID)
+    return kd.select("period_h", "row", "col", _round("value", "value"))
+
+
+@query
+def focal_mean_2h(spark, sf_dir):
+    """SPT2: focal mean of the two-hour layer, sizes 1 (identity) and 3."""
+    src = _two_hour_layer(spark, sf_dir)
+    parts = [S.focal_mean(src, GRID, size).select(F.lit(size).alias("size"), "period_h", "row", "col",
+                                                   _round("value", "value"))
+             for size in (1, 3)]
+    return parts[0].unionByName(parts[1])
+
+
+# ---- calendar and spines ----------------------------------------------------------------
+
+def _orders(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+
+
+@query
+def period_parts(spark, sf_dir):
+    """PRJ5-8 on order dates: hour index, text, parts and shifted periods."""
+    o = _orders(spark, sf_dir).select("o_orderkey", P.hour_index(F.col("o_orderdate")).alias("period_h"))
+    h = F.col("period_h")
+    parts = P.period_parts(h)
+    return o.select(
+        "o_orderkey", "period_h", P.period_text(h).alias("period_text"),
+        parts["month"].alias("month"), parts["day"].alias("day"), parts["hour"].alias("hour"),
+        P.period_text(P.shift_period(h, 1)).alias("next_hour_text"),
+        P.period_text(P.shift_period(h, -24)).alias("prev_day_text"),
+        P.period_from_text(P.period_text(h)).alias("period_back"))
+
+
+@query
+def weekday_onehot(spark, sf_dir):
+    """PRJ9: seven weekday indicators, Monday first."""
+    o = _orders(spark, sf_dir)
+    oh = P.weekday_onehot(F.to_date("o_orderdate"))
+    return o.select("o_orderkey", *[oh[k].alias(k) for k in P.WEEKDAY_COLUMNS])
+
+
+@query
+def hour_spine(spark, sf_dir):
+    """GEN1/GEN2: every hour between the first and last event hour."""
+    spine = P.hour_spine_between(T.event_hour_bounds(T.load_events(spark, sf_dir)))
+    return spine.select("period_h", P.period_text(F.col("period_h")).alias("period_text"))
+
+
+@query
+def day_spine(spark, sf_dir):
+    """GEN3: every day between the first and last event day, with its weekday."""
+    ev = T.load_events(spark, sf_dir)
+    bounds = ev.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi"))
+    days = P.day_spine_between(bounds)
+    return days.select((F.year("day") * 10000 + F.month("day") * 100 + F.dayofmonth("day")).cast("int")
+                       .alias("day_key"), F.weekday("day").alias("weekday"))
+
+
+# ---- weather and static inputs -----------------------------------------------------------
+
+@query
+def weather_features(spark, sf_dir):
+    """SRC3 + PRJ10-11 + JN1: hourly weather joined to the hours with trips."""
+    hours = LY.observed_periods(counts(spark, sf_dir))
+    return hours.join(weather(spark, sf_dir), "period_h", "inner")
+
+
+@query
+def weather_flatten(spark, sf_dir):
+    """SRC6: landed responses flattened to the 24 CSV fields."""
+    flat = W.flatten_weather_json(T.weather_json_from_events(T.load_events(spark, sf_dir)))
+    return flat.select("datetime", *[_round(k, k) for k in W.WEATHER_KEYS])
+
+
+@query
+def static_geo_join(spark, sf_dir):
+    """SRC4 + JN4: static values of every in-extent cell with trips."""
+    c = counts(spark, sf_dir).filter(in_extent(F.col("row"), F.col("col"), GRID)).select("row", "col").distinct()
+    return c.join(GEO.bounded_broadcast(geo(spark), GRID.n_cells, 64), ["row", "col"], "left")
+
+
+@query
+def mask_expand(spark, sf_dir):
+    """FLT2 + JN3: every mask cell at every eligible period."""
+    return FT.dense_keys(eligible(spark, sf_dir), mask(spark), GRID)
+
+
+def _features(spark, sf_dir, ordering=LY.MAIN_ORDERING, with_weather=True):
+    c = counts(spark, sf_dir)
+    el = LY.eligible_periods(LY.period_manifest(c, [LY.OBSERVED] + ordering), ordering)
+    wide = LY.wide_layers(c, GRID, ordering)
+    return FT.feature_table(wide, el, mask(spark), geo(spark),
+                            weather(spark, sf_dir) if with_weather else None, GRID, ordering)
+
+
+def _feature_profile(ft):
+    skip = {"period_h"}
+    cols = [c for c in ft.columns if c not in skip]
+    return ft.groupBy("period_h").agg(F.count(F.lit(1)).alias("n_rows"),
+                                     *[F.round(F.sum(F.col(c).cast("double")), 6).alias(f"sum_{c}") for c in cols])
+
+
+@query
+def feature_table(spark, sf_dir):
+    """JN1-5 + O-FEAT columns: per period, the row count and the sum of every column
+    of the full feature table."""
+    return _feature_profile(_features(spark, sf_dir))
+
+
+@query
+def older_feature_table(spark, sf_dir):
+    """ML9: the older job's features (5 layers, no weather), profiled per period."""
+    return _feature_profile(_features(spark, sf_dir, LY.OLDER_ORDERING, with_weather=False))
+
+
+# ---- split, baseline, evaluation ---------------------------------------------------------
+
+def _test_eligible(spark, sf_dir):
+    split = M.time_holdout(eligible(spark, sf_dir), HOLDOUT_TEST_FROM)
+    return split.filter(F.col("split") == "test").select("period_h")
+
+
+@query
+def time_holdout(spark, sf_dir):
+    """FLT6: train before the bound, test from it."""
+    return M.time_holdout(eligible(spark, sf_dir), HOLDOUT_TEST_FROM)
+
+
+@query
+def hash_split(spark, sf_dir):
+    """ML1: 70/30 split of whole periods by a seeded hash."""
+    return M.split_periods(eligible(spark, sf_dir), 0.7, seed=7)
+
+
+@query
+def baseline_two_hour_avg(spark, sf_dir):
+    """PRJ13 + ML8: two-hour layer halved, for test periods where it exists."""
+    c = counts(spark, sf_dir)
+    man = LY.period_manifest(c, ["two_hour"])
+    test = M.time_holdout(man.select("period_h"), HOLDOUT_TEST_FROM).filter(F.col("split") == "test")
+    two = LY.rasterize(L.two_hour(c), GRID, "n", unique_keys=True).join(test, "period_h", "left_semi")
+    return two.select("period_h", "row", "col", (F.col("value") / 2).alias("value"))
+
+
+@query
+def top_share(spark, sf_dir):
+    """WIN1-2 + AGG12: top 1/5/10/20 % sums of every observed raster."""
+    obs = LY.tag_layer(LY.rasterize(counts(spark, sf_dir), GRID, "n", unique_keys=True), "observed")
+    stats = E.top_share(obs, area(spark))
+    return stats.select("period_h", "layer", *[_round(c, c) for c in E.STAT_COLUMNS])
+
+
+def _obs_two(spark, sf_dir):
+    c = counts(spark, sf_dir)
+    obs = LY.rasterize(c, GRID, "n", unique_keys=True)
+    two = LY.rasterize(L.two_hour(c), GRID, "n", unique_keys=True).select(
+        "period_h", "row", "col", (F.col("value") / 2).alias("value"))
+    man = LY.period_manifest(c, ["observed", "two_hour"])
+    return c, obs, two, man
+
+
+@query
+def period_intersection(spark, sf_dir):
+    """JN7 + SET3: test periods with a prediction, an observed and a two-hour raster."""
+    c, obs, two, man = _obs_two(spark, sf_dir)
+    pred_periods = _test_eligible(spark, sf_dir)
+    return E.common_periods(pred_periods, man.filter(F.col("layer") == "observed"),
+                            man.filter(F.col("layer") == "two_hour"))
+
+
+@query
+def combined_stats(spark, sf_dir):
+    """AGG13 + ML10 for the observed and baseline rasters of the predicted periods."""
+    c, obs, two, man = _obs_two(spark, sf_dir)
+    stats = E.combined_stats(
+        {"obs": obs, "two": two},
+        {"pred": _test_eligible(spark, sf_dir),
+         "obs": man.filter(F.col("layer") == "observed"),
+         "two": man.filter(F.col("layer") == "two_hour")},
+        area(spark))
+    return stats.select("period_h", "layer", *[_round(c, c) for c in E.STAT_COLUMNS])

@@ -113,3 +113,292 @@ SQL["trailing_4h"] = _with(_cells_cte(), _trailing_cte("lay", 1, 4)) + "\nSELECT
 SQL["trailing_8h"] = _with(_cells_cte(), _trailing_cte("lay", 1, 8)) + "\nSELECT * FROM lay"
 SQL["previous_day"] = _with(_cells_cte(), _trailing_cte("lay", 24, 24)) + "\nSELECT * FROM lay"
 SQL["previous_week"] = _with(_cells_cte(), _trailing_cte("lay", 168, 168)) + "\nSELECT * FROM lay"
+
+
+# ---- layers ---------------------------------------------------------------------------
+
+HOLDOUT = "(SELECT CAST(date_diff('hour', TIMESTAMP '2012-01-01 00:00:00', TIMESTAMP '2024-01-24 00:00:00') AS INTEGER))"
+
+
+def _layers_cte(names_kd=("two_hour", "four_hour", "eight_hour"), older: bool = False,
+                grid: GridSpec = G) -> str:
+    """CTE ``lay(layer, period_h, row, col, value)``: observed + lag layers in extent, plus
+    Gaussian (gather over reflected index maps) and size-1 focal layers."""
+    n_r, n_c = grid.n_rows, grid.n_cols
+    lags = {"two_hour": (1, 2), "four_hour": (1, 4), "eight_hour": (1, 8),
+            "previous_day": (24, 24), "previous_week": (168, 168)}
+    ctes = [_trailing_cte(f"t_{k}", lo, hi) for k, (lo, hi) in lags.items()]
+    base = [f"SELECT 'observed' AS layer, period_h, row, col, CAST(n AS DOUBLE) AS value FROM counts"]
+    base += [f"SELECT '{k}' AS layer, period_h, row, col, CAST(n AS DOUBLE) AS value FROM t_{k}" for k in lags]
+    ctes.append("base AS (SELECT * FROM (" + " UNION ALL ".join(base) + f") WHERE {_in_extent()})")
+    ctes.append(_gauss_maps_cte(grid))
+    if older:
+        ctes.append("lay AS (SELECT * FROM base)")
+    else:
+        smoothed = [f"""SELECT b.layer || '_kd' AS layer, b.period_h, rm.i AS row, cm.i AS col,
+                   sum(b.value * rm.w * cm.w) AS value
+            FROM base b JOIN gr rm ON b.row = rm.ri JOIN gc cm ON b.col = cm.ri
+            WHERE b.layer IN ({", ".join(f"'{k}'" for k in names_kd)}) GROUP BY ALL"""]
+        smoothed.append(f"""SELECT layer || '_neighbor_avg' AS layer, period_h, row, col, value FROM base
+            WHERE layer IN ({", ".join(f"'{k}'" for k in names_kd)})""")
+        ctes.append("lay AS (SELECT * FROM base UNION ALL " + " UNION ALL ".join(smoothed) + ")")
+    return ",\n".join(ctes)
+
+
+def _reflect(v: str, n: int) -> str:
+    return f"(CASE WHEN {v} < 0 THEN -({v}) - 1 WHEN {v} >= {n} THEN 2 * {n} - 1 - ({v}) ELSE {v} END)"
+
+
+def _map_cte(name: str, n: int, taps: str) -> str:
+    """``name(i, ri, w)``: target index i reads source index ri with total weight w."""
+    return f"""{name} AS (
+      SELECT i, ri, sum(w) AS w FROM (
+        SELECT t.i, {_reflect('t.i + k.k', n)} AS ri, k.w FROM range(0, {n}) t(i), {taps} k
+      ) GROUP BY ALL
+    )"""
+
+
+def _gauss_maps_cte(grid: GridSpec = G) -> str:
+    kw = """kw AS (
+      SELECT k, exp(-0.5 * k * k) / (SELECT sum(exp(-0.5 * j * j)) FROM range(-4, 5) s(j)) AS w
+      FROM range(-4, 5) s(k)
+    )"""
+    return ",\n".join([kw, _map_cte("gr", grid.n_rows, "kw"), _map_cte("gc", grid.n_cols, "kw")])
+
+
+MAIN_NAMES = ["observed", "two_hour", "two_hour_kd", "two_hour_neighbor_avg",
+              "four_hour", "four_hour_kd", "four_hour_neighbor_avg",
+              "eight_hour", "eight_hour_kd", "eight_hour_neighbor_avg",
+              "previous_day", "previous_week"]
+OLDER_NAMES = ["two_hour", "four_hour", "eight_hour", "previous_day", "previous_week"]
+
+SQL["rasterize_extent"] = _with(_cells_cte()) + f"""
+SELECT period_h, row, col, CAST(sum(n) AS DOUBLE) AS value FROM counts WHERE {_in_extent()} GROUP BY ALL"""
+
+SQL["layer_union_stats"] = _with(_cells_cte(), _layers_cte()) + """
+SELECT layer, period_h, CAST(count(*) AS BIGINT) AS n_cells, round(sum(value), 6) AS total FROM lay GROUP BY ALL"""
+
+SQL["older_layer_union"] = _with(_cells_cte(), _layers_cte(older=True)) + """
+SELECT layer, period_h, CAST(count(*) AS BIGINT) AS n_cells, round(sum(value), 6) AS total FROM lay GROUP BY ALL"""
+
+_PIVOT = ",\n       ".join(f"round(max(CASE WHEN layer = '{k}' THEN value END), 6) AS {k}" for k in MAIN_NAMES)
+SQL["layer_pivot"] = _with(_cells_cte(), _layers_cte()) + f"""
+SELECT period_h, row, col,
+       {_PIVOT}
+FROM lay GROUP BY period_h, row, col"""
+SQL["fused_layers"] = SQL["layer_pivot"]
+
+
+def _hours_cte() -> str:
+    return "hrs AS (SELECT DISTINCT period_h FROM counts)"
+
+
+def _manifest_cte() -> str:
+    rows = ["SELECT 'observed' AS layer, period_h FROM hrs"]
+    spans = {"two_hour": (1, 2), "four_hour": (1, 4), "eight_hour": (1, 8),
+             "previous_day": (24, 24), "previous_week": (168, 168)}
+    for k, (lo, hi) in spans.items():
+        names = [k, f"{k}_kd", f"{k}_neighbor_avg"] if k in ("two_hour", "four_hour", "eight_hour") else [k]
+        for nm in names:
+            rows.append(f"SELECT '{nm}' AS layer, period_h + x AS period_h FROM hrs, range({lo}, {hi} + 1) r(x)")
+    return "man AS (SELECT DISTINCT layer, CAST(period_h AS INTEGER) AS period_h FROM (" + \
+        " UNION ALL ".join(rows) + "))"
+
+
+def _eligible_cte() -> str:
+    """Eligible = observed at q, q-24, q-168 and at q-1 or q-2 (direct formula)."""
+    return """elig AS (
+      SELECT q.period_h FROM hrs q
+      WHERE EXISTS (SELECT 1 FROM hrs h WHERE h.period_h IN (q.period_h - 1, q.period_h - 2))
+        AND EXISTS (SELECT 1 FROM hrs h WHERE h.period_h = q.period_h - 24)
+        AND EXISTS (SELECT 1 FROM hrs h WHERE h.period_h = q.period_h - 168)
+    )"""
+
+
+SQL["period_manifest"] = _with(_cells_cte(), _hours_cte(), _manifest_cte()) + "\nSELECT layer, period_h FROM man"
+SQL["eligible_periods"] = _with(_cells_cte(), _hours_cte(), _eligible_cte()) + "\nSELECT period_h FROM elig"
+
+
+# ---- smoothing ------------------------------------------------------------------------
+
+SQL["kernel_density_2h"] = _with(_cells_cte(), _trailing_cte("two", 1, 2), _gauss_maps_cte()) + f"""
+SELECT t.period_h, rm.i AS row, cm.i AS col, round(sum(t.n * rm.w * cm.w), 6) AS value
+FROM (SELECT * FROM two WHERE {_in_extent()}) t JOIN gr rm ON t.row = rm.ri JOIN gc cm ON t.col = cm.ri
+GROUP BY ALL"""
+
+_U3 = "u3 AS (SELECT k, 1.0 / 3 AS w FROM range(-1, 2) s(k))"
+SQL["focal_mean_2h"] = _with(_cells_cte(), _trailing_cte("two", 1, 2), _U3, _map_cte("ur", G.n_rows, "u3"),
+                             _map_cte("uc", G.n_cols, "u3")) + f"""
+SELECT 1 AS size, period_h, row, col, round(CAST(n AS DOUBLE), 6) AS value FROM two WHERE {_in_extent()}
+UNION ALL
+SELECT 3 AS size, t.period_h, rm.i AS row, cm.i AS col, round(sum(t.n * rm.w * cm.w), 6) AS value
+FROM (SELECT * FROM two WHERE {_in_extent()}) t JOIN ur rm ON t.row = rm.ri JOIN uc cm ON t.col = cm.ri
+GROUP BY ALL"""
+
+
+# ---- calendar and spines ----------------------------------------------------------------
+
+SQL["period_parts"] = f"""
+WITH o AS (SELECT o_orderkey, date_trunc('hour', o_orderdate) AS hts FROM orders)
+SELECT o_orderkey, {_hour('hts')} AS period_h, strftime(hts, '%Y%m%d%H') AS period_text,
+       CAST(month(hts) AS INTEGER) AS month, CAST(day(hts) AS INTEGER) AS day, CAST(hour(hts) AS INTEGER) AS hour,
+       strftime(hts + INTERVAL 1 HOUR, '%Y%m%d%H') AS next_hour_text,
+       strftime(hts - INTERVAL 24 HOUR, '%Y%m%d%H') AS prev_day_text,
+       {_hour('hts')} AS period_back
+FROM o"""
+
+SQL["weekday_onehot"] = "SELECT o_orderkey, " + ", ".join(
+    f"CAST(isodow(o_orderdate) = {i + 1} AS INTEGER) AS {k}" for i, k in enumerate(
+        ["wd_mon", "wd_tue", "wd_wed", "wd_thu", "wd_fri", "wd_sat", "wd_sun"])) + " FROM orders"
+
+SQL["hour_spine"] = f"""
+WITH b AS (SELECT min(date_trunc('hour', ts)) AS lo, max(date_trunc('hour', ts)) AS hi FROM events)
+SELECT {_hour('t.ts')} AS period_h, strftime(t.ts, '%Y%m%d%H') AS period_text
+FROM b, generate_series(b.lo, b.hi, INTERVAL 1 HOUR) t(ts)"""
+
+SQL["day_spine"] = """
+WITH b AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events)
+SELECT CAST(strftime(t.d, '%Y%m%d') AS INTEGER) AS day_key, CAST(isodow(t.d) - 1 AS INTEGER) AS weekday
+FROM b, generate_series(CAST(b.lo AS TIMESTAMP), CAST(b.hi AS TIMESTAMP), INTERVAL 1 DAY) t(d)"""
+
+
+# ---- weather and static inputs -----------------------------------------------------------
+
+def _weather_cols(h: str = "period_h") -> list[str]:
+    def v(j):
+        return f"(CAST(({h} * ({j} + 3)) % 97 AS DOUBLE) / 10.0)"
+    cols = []
+    for j, k in enumerate(WEATHER_KEYS, start=1):
+        if k == "sunlightHours":
+            cols.append(f"(({v(12)} - {v(22)}) / 3600.0) AS {k}")
+        else:
+            cols.append(f"{v(j)} AS {k}")
+    return cols
+
+
+def _weather_cte() -> str:
+    return f"""wspine AS (
+      SELECT {_hour('t.ts')} AS period_h, t.ts FROM
+        (SELECT min(date_trunc('hour', ts)) AS lo, max(date_trunc('hour', ts)) AS hi FROM events) b,
+        generate_series(b.lo, b.hi, INTERVAL 1 HOUR) t(ts)
+    ),
+    wx AS (SELECT period_h, ts, {", ".join(_weather_cols())} FROM wspine)"""
+
+
+SQL["weather_features"] = _with(_cells_cte(), _hours_cte(), _weather_cte()) + f"""
+SELECT w.period_h, {", ".join(f"w.{k}" for k in WEATHER_KEYS)} FROM wx w JOIN hrs h ON h.period_h = w.period_h"""
+
+SQL["weather_flatten"] = _with(_weather_cte()) + f"""
+SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-0500' AS datetime,
+       {", ".join(f"round({k}, 6) AS {k}" for k in WEATHER_KEYS)} FROM wx"""
+
+
+def _geo_cols(r: str = "row", c: str = "col") -> list[str]:
+    return [f"CAST(({r} * 31 + {c} * 17 + {j} * 7) % 100 AS DOUBLE) / 10.0 AS {k}"
+            for j, k in enumerate(GEO_LAYERS, start=1)]
+
+
+def _grid_cte(grid: GridSpec = G) -> str:
+    return f"""gridc AS (
+      SELECT CAST(r.r AS INTEGER) AS row, CAST(c.c AS INTEGER) AS col
+      FROM range(0, {grid.n_rows}) r(r), range(0, {grid.n_cols}) c(c)
+    ),
+    maskc AS (SELECT row, col FROM gridc WHERE (row * 31 + col * 17) % 3 <> 0),
+    geoc AS (SELECT row, col, {", ".join(_geo_cols())} FROM gridc)"""
+
+
+SQL["static_geo_join"] = _with(_cells_cte(), _grid_cte()) + f"""
+SELECT g.* FROM (SELECT DISTINCT row, col FROM counts WHERE {_in_extent()}) c
+JOIN geoc g ON g.row = c.row AND g.col = c.col"""
+
+SQL["mask_expand"] = _with(_cells_cte(), _hours_cte(), _eligible_cte(), _grid_cte()) + """
+SELECT e.period_h, m.row, m.col FROM elig e, maskc m"""
+
+
+def _features_sql(older: bool) -> str:
+    names = OLDER_NAMES if older else MAIN_NAMES[1:]
+    pivot = ",\n       ".join(f"max(CASE WHEN layer = '{k}' THEN value END) AS {k}" for k in ["observed"] + names)
+    ctes = [_cells_cte(), _hours_cte(), _eligible_cte(), _grid_cte(), _layers_cte(older=older),
+            f"wide AS (SELECT period_h, row, col, {pivot} FROM lay GROUP BY period_h, row, col)"]
+    if not older:
+        ctes.append(_weather_cte())
+    wd = ["wd_mon", "wd_tue", "wd_wed", "wd_thu", "wd_fri", "wd_sat", "wd_sun"]
+    ts = f"({EPOCH_SQL} + to_hours(e.period_h))"
+    cal = [f"CAST(month({ts}) AS DOUBLE) AS month", f"CAST(day({ts}) AS DOUBLE) AS day",
+           f"CAST(hour({ts}) AS DOUBLE) AS hour"]
+    cal += [f"CAST(isodow({ts}) = {i + 1} AS DOUBLE) AS {k}" for i, k in enumerate(wd)]
+    feat = ["CAST(m.row AS DOUBLE) AS row", "CAST(m.col AS DOUBLE) AS col",
+            "coalesce(w.observed, 0.0) AS label"] + cal
+    if not older:
+        feat += [f"x.{k}" for k in WEATHER_KEYS]
+    feat += [f"coalesce(w.{k}, 0.0) AS {k}" for k in names]
+    feat += [f"g.{k}" for k in GEO_LAYERS]
+    joins = "LEFT JOIN wide w ON w.period_h = e.period_h AND w.row = m.row AND w.col = m.col " \
+            "JOIN geoc g ON g.row = m.row AND g.col = m.col "
+    if not older:
+        joins += "JOIN wx x ON x.period_h = e.period_h "
+    cols = ["row", "col", "label", "month", "day", "hour"] + wd + ([] if older else WEATHER_KEYS) + names + GEO_LAYERS
+    sums = ", ".join(f"round(sum({k}), 6) AS sum_{k}" for k in cols)
+    return _with(*ctes) + f"""
+SELECT period_h, CAST(count(*) AS BIGINT) AS n_rows, {sums}
+FROM (SELECT e.period_h, {", ".join(feat)} FROM elig e, maskc m {joins})
+GROUP BY period_h"""
+
+
+SQL["feature_table"] = _features_sql(older=False)
+SQL["older_feature_table"] = _features_sql(older=True)
+
+
+# ---- split, baseline, evaluation ---------------------------------------------------------
+
+SQL["time_holdout"] = _with(_cells_cte(), _hours_cte(), _eligible_cte()) + f"""
+SELECT period_h, CASE WHEN period_h >= {HOLDOUT} THEN 'test' ELSE 'train' END AS split FROM elig"""
+
+SQL["baseline_two_hour_avg"] = _with(_cells_cte(), _trailing_cte("two", 1, 2)) + f"""
+SELECT period_h, row, col, CAST(n AS DOUBLE) / 2 AS value FROM two
+WHERE {_in_extent()} AND period_h >= {HOLDOUT}"""
+
+
+def _area() -> str:
+    return f"(SELECT count(*) FROM range(0, {G.n_rows}) r(r), range(0, {G.n_cols}) c(c) WHERE (r * 31 + c * 17) % 3 <> 0)"
+
+
+def _stats_sql(src: str) -> str:
+    """Top-share stats over ``src(period_h, layer, row, col, value)``."""
+    ks = {"one_percent": 0.01, "five_percent": 0.05, "ten_percent": 0.10, "twenty_percent": 0.20}
+    sums = ", ".join(
+        f"round(coalesce(sum(CASE WHEN rn <= CAST(floor({_area()} * {f}) AS BIGINT) THEN value END), 0.0), 6) AS {k}"
+        for k, f in ks.items())
+    return f"""
+    SELECT period_h, layer, {sums}, round(sum(value), 6) AS total FROM (
+      SELECT period_h, layer, value,
+             row_number() OVER (PARTITION BY period_h, layer ORDER BY value DESC, row, col) AS rn
+      FROM {src}) GROUP BY ALL"""
+
+
+SQL["top_share"] = _with(_cells_cte()) + _stats_sql(
+    f"(SELECT period_h, 'observed' AS layer, row, col, CAST(n AS DOUBLE) AS value FROM counts WHERE {_in_extent()})")
+
+_PRED_PERIODS = f"""pp AS (
+      SELECT period_h FROM elig WHERE period_h >= {HOLDOUT}
+        AND period_h IN (SELECT period_h FROM hrs)
+        AND period_h IN (SELECT period_h + x FROM hrs, range(1, 3) r(x))
+    )"""
+
+SQL["period_intersection"] = _with(_cells_cte(), _hours_cte(), _eligible_cte(), _PRED_PERIODS) + \
+    "\nSELECT period_h FROM pp"
+
+SQL["combined_stats"] = _with(
+    _cells_cte(), _hours_cte(), _eligible_cte(), _PRED_PERIODS, _trailing_cte("two", 1, 2),
+    f"""src AS (
+      SELECT period_h, 'obs' AS layer, row, col, CAST(n AS DOUBLE) AS value FROM counts
+      WHERE {_in_extent()} AND period_h IN (SELECT period_h FROM pp)
+      UNION ALL
+      SELECT period_h, 'two' AS layer, row, col, CAST(n AS DOUBLE) / 2 AS value FROM two
+      WHERE {_in_extent()} AND period_h IN (SELECT period_h FROM pp)
+    )""", "st AS (" + _stats_sql("src") + ")") + """
+SELECT f.period_h, f.layer, coalesce(st.one_percent, 0.0) AS one_percent, coalesce(st.five_percent, 0.0) AS five_percent,
+       coalesce(st.ten_percent, 0.0) AS ten_percent, coalesce(st.twenty_percent, 0.0) AS twenty_percent,
+       coalesce(st.total, 0.0) AS total
+FROM (SELECT period_h, l.layer FROM pp, (VALUES ('obs'), ('two')) l(layer)) f
+LEFT JOIN st ON st.period_h = f.period_h AND st.layer = f.layer"""
