@@ -396,3 +396,88 @@ def combined_stats(spark, sf_dir):
          "two": man.filter(F.col("layer") == "two_hour")},
         area(spark))
     return stats.select("period_h", "layer", *[_round(c, c) for c in E.STAT_COLUMNS])
+
+
+# ---- model, store, round trips -------------------------------------------------------
+
+from cellcast.plans import demand_model as DM  # noqa: E402
+from cellcast.session import scratch_dir  # noqa: E402
+from cellcast.sources import rasters as RS  # noqa: E402
+
+
+def _model_run(spark, sf_dir):
+    cfg = DM.DemandModelConfig(grid=GRID)
+    return DM.run(spark, counts(spark, sf_dir), mask(spark), geo(spark), weather(spark, sf_dir), cfg)
+
+
+@query
+def rf_predict(spark, sf_dir):
+    """ML1 + ML3 + ML5-6: forest trained on hash-split train periods, predictions for
+    every mask cell of every eligible test period (rows-only check)."""
+    return _model_run(spark, sf_dir).predictions
+
+
+@query
+def model_concentration(spark, sf_dir):
+    """ML10 with the model: top-share stats of predicted, observed and baseline rasters
+    for the test periods present in all three (rows-only check)."""
+    return _model_run(spark, sf_dir).stats
+
+
+@query
+def trips_rollup(spark, sf_dir):
+    """AGG2 + AGG3 in one rollup; day_key NULL marks a month total."""
+    return C.trips_rollup(counts(spark, sf_dir))
+
+
+@query
+def line_quarantine(spark, sf_dir):
+    """SRC2: lines without 14 fields go to a side table; counts per outcome."""
+    lines = T.damaged_trip_lines(T.load_events(spark, sf_dir))
+    good, bad = split_trip_lines(lines, on_bad="quarantine")
+    g = good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("outcome"),
+                                                       F.lit(14).alias("n_fields"), "n")
+    b = bad.groupBy("n_fields").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("bad").alias("outcome"), "n_fields", "n")
+    return g.unionByName(b)
+
+
+def _store_inputs(spark, sf_dir):
+    c = counts(spark, sf_dir)
+    man = LY.period_manifest(c, ["observed", "two_hour"])
+    test = man.filter(F.col("period_h") >= HOLDOUT_TEST_FROM).select(
+        F.col("layer").alias("grouping"), "period_h")
+    obs = LY.rasterize(c, GRID, "n", unique_keys=True).select(F.lit("observed").alias("grouping"), "*")
+    two = LY.rasterize(L.two_hour(c), GRID, "n", unique_keys=True).select(
+        F.lit("two_hour").alias("grouping"), "period_h", "row", "col", (F.col("value") / 2).alias("value"))
+    cells = obs.unionByName(two).join(test, ["grouping", "period_h"], "left_semi")
+    return cells, test
+
+
+@query
+def raster_store_roundtrip(spark, sf_dir):
+    """SNK2: observed and halved two-hour rasters of the test periods written to the
+    partitioned store and read back with cell centres."""
+    path = scratch_dir(spark, "layer-store")
+    cells, test = _store_inputs(spark, sf_dir)
+    RS.write_layers(cells, test, path, GRID)
+    return RS.read_layers(spark, path)
+
+
+@query
+def raster_listing(spark, sf_dir):
+    """SNK3: every stored (grouping, period), all-zero rasters included."""
+    path = scratch_dir(spark, "layer-store")
+    cells, test = _store_inputs(spark, sf_dir)
+    RS.write_layers(cells, test, path, GRID)
+    return RS.list_rasters(spark, path)
+
+
+@query
+def weather_csv_roundtrip(spark, sf_dir):
+    """SRC6 -> SNK1 -> SRC3: flatten landed responses, write the 24-column CSV,
+    read it back as the typed hourly table."""
+    path = scratch_dir(spark, "weather-csv")
+    W.write_weather_csv(W.flatten_weather_json(T.weather_json_from_events(T.load_events(spark, sf_dir))), path)
+    typed = W.weather_table(W.read_weather_csv(spark, path))
+    return typed.select("period_h", *[_round(k, k) for k in W.WEATHER_KEYS])

@@ -77,7 +77,8 @@ def _trailing_cte(name: str, lo: int, hi: int) -> str:
     return f"""
     {name} AS (
       SELECT t.period_h, t.row, t.col, CAST(sum(c.n) AS BIGINT) AS n
-      FROM (SELECT DISTINCT period_h + x AS period_h, row, col FROM counts, range({lo}, {hi} + 1) r(x)) t
+      FROM (SELECT DISTINCT CAST(period_h + x AS INTEGER) AS period_h, row, col
+            FROM counts, range({lo}, {hi} + 1) r(x)) t
       JOIN counts c ON c.row = t.row AND c.col = t.col
                    AND c.period_h BETWEEN t.period_h - {hi} AND t.period_h - {lo}
       GROUP BY ALL
@@ -153,7 +154,8 @@ def _map_cte(name: str, n: int, taps: str) -> str:
     """``name(i, ri, w)``: target index i reads source index ri with total weight w."""
     return f"""{name} AS (
       SELECT i, ri, sum(w) AS w FROM (
-        SELECT t.i, {_reflect('t.i + k.k', n)} AS ri, k.w FROM range(0, {n}) t(i), {taps} k
+        SELECT CAST(t.i AS INTEGER) AS i, CAST({_reflect('t.i + k.k', n)} AS INTEGER) AS ri, k.w
+        FROM range(0, {n}) t(i), {taps} k
       ) GROUP BY ALL
     )"""
 
@@ -402,3 +404,39 @@ SELECT f.period_h, f.layer, coalesce(st.one_percent, 0.0) AS one_percent, coales
        coalesce(st.total, 0.0) AS total
 FROM (SELECT period_h, l.layer FROM pp, (VALUES ('obs'), ('two')) l(layer)) f
 LEFT JOIN st ON st.period_h = f.period_h AND st.layer = f.layer"""
+
+
+# ---- round trips and summaries -------------------------------------------------------------
+
+SQL["trips_rollup"] = _with(_cells_cte()) + f"""
+, d AS (SELECT CAST(strftime({EPOCH_SQL} + to_hours(period_h), '%Y%m%d') AS INTEGER) AS day_key, n FROM counts)
+SELECT CAST(day_key // 100 AS INTEGER) AS month_key, day_key, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY ALL
+UNION ALL
+SELECT CAST(day_key // 100 AS INTEGER) AS month_key, CAST(NULL AS INTEGER) AS day_key, CAST(sum(n) AS BIGINT) AS n
+FROM d GROUP BY 1"""
+
+SQL["line_quarantine"] = """
+SELECT 'good' AS outcome, 14 AS n_fields, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id % 89 <> 0
+UNION ALL
+SELECT 'bad' AS outcome, 13 AS n_fields, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id % 89 = 0
+HAVING count(*) > 0"""
+
+_STORE = _with(_cells_cte(), _hours_cte(), _manifest_cte(), _trailing_cte("two", 1, 2)) + f"""
+, test AS (SELECT layer AS grouping, period_h FROM man
+           WHERE layer IN ('observed', 'two_hour') AND period_h >= {HOLDOUT})
+"""
+
+SQL["raster_store_roundtrip"] = _STORE + f"""
+SELECT s.grouping, CAST(s.period_h AS INTEGER) AS period_h, s.row, s.col, s.value,
+       CAST({G.x_min!r} AS DOUBLE) + (s.col + 0.5) * {G.cell_width!r} AS x,
+       CAST({G.y_max!r} AS DOUBLE) - (s.row + 0.5) * {G.cell_height!r} AS y
+FROM (
+  SELECT 'observed' AS grouping, period_h, row, col, CAST(n AS DOUBLE) AS value FROM counts WHERE {_in_extent()}
+  UNION ALL
+  SELECT 'two_hour' AS grouping, period_h, row, col, CAST(n AS DOUBLE) / 2 AS value FROM two WHERE {_in_extent()}
+) s JOIN test t ON t.grouping = s.grouping AND t.period_h = s.period_h"""
+
+SQL["raster_listing"] = _STORE + "\nSELECT grouping, period_h FROM test"
+
+SQL["weather_csv_roundtrip"] = _with(_weather_cte()) + f"""
+SELECT period_h, {", ".join(f"round({k}, 6) AS {k}" for k in WEATHER_KEYS)} FROM wx"""

@@ -134,3 +134,12 @@ def mask_cells_for_grid(spark: SparkSession, grid: GridSpec) -> DataFrame:
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+
+
+def damaged_trip_lines(events: DataFrame, every: int = 89) -> DataFrame:
+    """Trip lines where every ``every``-th event (by id, the first field) loses its
+    last field, leaving 13 fields."""
+    lines = trip_lines_from_events(events)
+    trip_id = F.substring_index(F.col("value"), ",", 1).cast("long")
+    return lines.select(F.when(trip_id % every == 0, F.regexp_replace("value", ",[^,]*$", ""))
+                        .otherwise(F.col("value")).alias("value"))

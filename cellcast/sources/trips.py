@@ -67,8 +67,11 @@ def project_trips(trips: DataFrame, grid: GridSpec, zone: int | None = None,
                   keep: tuple = ()) -> DataFrame:
     """Trip fields -> ``(period_h, row, col)`` per trip; out-of-extent cells are kept.
     Columns (or Column expressions) in ``keep`` are carried along in front."""
-    base = trips.select(*keep, pickup_period(F.col("pickup_datetime")).alias("period_h"),
-                        F.col("pickup_latitude").alias("_lat_t"), F.col("pickup_longitude").alias("_lng_t"))
+    # The one-element inline() keeps later filters on period_h from being
+    # rewritten down into the line parsing (see functions.grid.with_utm).
+    base = trips.select(*keep, F.inline(F.array(F.struct(
+        pickup_period(F.col("pickup_datetime")).alias("period_h"),
+        F.col("pickup_latitude").alias("_lat_t"), F.col("pickup_longitude").alias("_lng_t")))))
     out = with_cells_from_text(base, F.col("_lat_t"), F.col("_lng_t"), grid, zone=zone)
     return out.drop("_lat_t", "_lng_t")
 

@@ -49,6 +49,20 @@ def digest(columns, rows) -> tuple[int, str]:
     return len(rows), h
 
 
+_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+         "date": "DATE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
+
+
+def type_mismatches(spark_dtypes, description):
+    duck = {d[0]: str(d[1]) for d in description}
+    out = []
+    for name, t in spark_dtypes:
+        want = _DUCK.get(t, t)
+        if name in duck and duck[name] != want:
+            out.append((name, t, duck[name]))
+    return out
+
+
 def compare(spark, name: str, sf_dir: str, con=None, verbose=True):
     from __spark_entry__ import oracle_sql, queries
     con = con or duck(sf_dir)
@@ -62,7 +76,10 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose=True):
     drows = res.fetchall()
     sn, sh = digest(scols, srows)
     dn, dh = digest(dcols, drows)
+    types_ok = type_mismatches(sdf.dtypes, res.description)
     ok = sorted(scols) == sorted(dcols) and sn == dn and sh == dh
+    if verbose and types_ok:
+        print(f"   {name}: type differences {types_ok}")
     if verbose:
         print(f"{name:28s} {'OK ' if ok else 'BAD'} spark={sn} duck={dn} cols_eq={sorted(scols) == sorted(dcols)} "
               f"({t1 - t0:.1f}s)", flush=True)
