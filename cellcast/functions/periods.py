@@ -19,28 +19,26 @@ EPOCH = dt.date(2012, 1, 1)
 CALENDAR_FIRST_HOUR = 0
 CALENDAR_LAST_HOUR = 26327
 
-_EPOCH_DATE = F.lit(EPOCH)
-_EPOCH_TS = F.lit(dt.datetime(EPOCH.year, EPOCH.month, EPOCH.day)).cast("timestamp_ntz")
+def _epoch_date() -> Column:
+    return F.lit(EPOCH)
 
+def _epoch_ts() -> Column:
+    return F.lit(dt.datetime(EPOCH.year, EPOCH.month, EPOCH.day)).cast("timestamp_ntz")
 
 def hour_index(ts: Column) -> Column:
     """Timestamp (NTZ or session-zone) -> hours since the epoch, from its wall-clock parts."""
-    return (F.datediff(F.to_date(ts), _EPOCH_DATE) * 24 + F.hour(ts)).cast("int")
-
+    return (F.datediff(F.to_date(ts), _epoch_date()) * 24 + F.hour(ts)).cast("int")
 
 def hour_index_from_parts(year: Column, month: Column, day: Column, hour: Column) -> Column:
     """Calendar parts -> hour index. An impossible date raises (ANSI), like a calendar miss."""
-    return (F.datediff(F.make_date(year, month, day), _EPOCH_DATE) * 24 + hour).cast("int")
-
+    return (F.datediff(F.make_date(year, month, day), _epoch_date()) * 24 + hour).cast("int")
 
 def period_timestamp(h: Column) -> Column:
     """Hour index -> TIMESTAMP_NTZ at the start of that hour."""
-    return F.timestamp_add("HOUR", h, _EPOCH_TS)
-
+    return F.timestamp_add("HOUR", h, _epoch_ts())
 
 def period_date(h: Column) -> Column:
-    return F.date_add(_EPOCH_DATE, F.floor(h / 24).cast("int"))
-
+    return F.date_add(_epoch_date(), F.floor(h / 24).cast("int"))
 
 def period_parts(h: Column) -> dict[str, Column]:
     """Month, day and hour of a period (the calendar features)."""
@@ -51,7 +49,6 @@ def period_parts(h: Column) -> dict[str, Column]:
         "hour": F.pmod(h, F.lit(24)).cast("int"),
     }
 
-
 def period_text(h: Column) -> Column:
     """Hour index -> 'YYYYMMDDHH'."""
     d = period_date(h)
@@ -62,20 +59,17 @@ def period_text(h: Column) -> Column:
         F.lpad(F.pmod(h, F.lit(24)).cast("string"), 2, "0"),
     )
 
-
 def period_from_text(text: Column) -> Column:
     """'YYYYMMDDHH' -> hour index."""
     return hour_index_from_parts(
         F.substring(text, 1, 4).cast("int"), F.substring(text, 5, 2).cast("int"),
         F.substring(text, 7, 2).cast("int"), F.substring(text, 9, 2).cast("int"))
 
-
 def day_key(h: Column) -> Column:
     """Hour index -> yyyymmdd as an integer (the period text without its hour)."""
     d = period_date(h)
     return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int")
 
-
 def shift_period(h: Column, k: int | Column, strict: bool = False) -> Column:
     """Move a period by ``k`` hours; ``strict`` fails outside the 2012-2015 calendar."""
     out = h + k
@@ -84,27 +78,22 @@ def shift_period(h: Column, k: int | Column, strict: bool = False) -> Column:
             F.raise_error(F.concat(F.lit("period outside calendar: "), out.cast("string"))))
     return out.cast("int")
 
-
 # Monday = 0 ... Sunday = 6 (Python's weekday()).
 WEEKDAY_COLUMNS = ["wd_mon", "wd_tue", "wd_wed", "wd_thu", "wd_fri", "wd_sat", "wd_sun"]
 
-
 def weekday_onehot(d: Column) -> dict[str, Column]:
     """Seven 0/1 indicator columns, Monday first."""
     wd = F.weekday(d)
     return {name: (wd == i).cast("int") for i, name in enumerate(WEEKDAY_COLUMNS)}
 
-
 def hour_spine(spark: SparkSession, first_hour: int, last_hour: int) -> DataFrame:
     """One row per hour index in ``[first_hour, last_hour)`` (end-exclusive)."""
     return spark.range(int(first_hour), int(last_hour)).select(F.col("id").cast("int").alias("period_h"))
 
-
 def hour_spine_between(bounds: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Hour spine ``[lo, hi]`` for bounds held in a one-row DataFrame (kept distributed)."""
     return bounds.select(F.explode(F.sequence(F.col(lo), F.col(hi))).alias("period_h"))
 
-
 def day_spine_between(bounds: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Day spine from a one-row DataFrame of DATE bounds, inclusive."""
     return bounds.select(

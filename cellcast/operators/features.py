@@ -118,10 +118,10 @@ def feature_table(wide: DataFrame, eligible: DataFrame, mask: DataFrame, geo: Da
     for k in WEATHER_KEYS:
         any_null = any_null | F.col(k).isNull()
     if on_missing_weather == "fail":
-        guard = F.when(F.col("_w").isNull() | any_null,
-                       F.raise_error(F.concat(F.lit("no complete weather for period "), h.cast("string"))))
-        wcols = [F.coalesce(guard, F.col(k)).alias(k) if i == 0 else F.col(k)
-                 for i, k in enumerate(WEATHER_KEYS)]
+        # Every weather column carries the check, so it survives column pruning.
+        bad = F.col("_w").isNull() | any_null
+        msg = F.concat(F.lit("no complete weather for period "), h.cast("string"))
+        wcols = [F.when(bad, F.raise_error(msg)).otherwise(F.col(k)).alias(k) for k in WEATHER_KEYS]
     elif on_missing_weather == "drop":
         out = out.filter(F.col("_w").isNotNull() & ~any_null)
         wcols = [F.col(k) for k in WEATHER_KEYS]
