@@ -34,8 +34,14 @@ CALENDAR_COLUMNS = ["month", "day", "hour"]
 ROWS_PER_TASK = 4_000_000
 
 
+# Hours one expansion task is sized for when the span is not given (a leap year).
+DEFAULT_SPAN_HOURS = 8784
+# Proven bound on any per-hour table (one row per distinct hour): a century of hours.
+MAX_SPAN_HOURS = 100 * 8784
+
+
 def hour_bounds(periods: DataFrame) -> tuple[int, int] | None:
-    """(first, last) hour of a period table; two scalars reach the driver."""
+    """(first, last) hour of a period table as two driver-side scalars."""
     r = periods.agg(F.min("period_h").alias("lo"), F.max("period_h").alias("hi")).first()
     if r is None or r["lo"] is None:
         return None
@@ -43,17 +49,26 @@ def hour_bounds(periods: DataFrame) -> tuple[int, int] | None:
 
 
 def dense_keys(eligible: DataFrame, mask: DataFrame, grid: GridSpec,
-               bounds: tuple[int, int] | None = None) -> DataFrame:
-    """``(period_h, row, col)`` for every mask cell at every eligible period."""
-    bounds = bounds or hour_bounds(eligible)
-    if bounds is None:
-        return eligible.select("period_h", F.lit(0).alias("row"), F.lit(0).alias("col")).filter(F.lit(False))
-    lo, hi = bounds
-    span = hi - lo + 1
+               bounds: tuple[int, int] | None = None, span_hours: int | None = None) -> DataFrame:
+    """``(period_h, row, col)`` for every mask cell at every eligible period.
+
+    Without explicit ``bounds`` the first and last eligible hour are scalar
+    subqueries of the same plan, so the expansion needs no separate driver
+    action and shares the upstream exchanges. The mask is spread so that one
+    task expands about ``ROWS_PER_TASK`` rows for a span of ``span_hours``.
+    """
+    if bounds is not None:
+        lo, hi = F.lit(int(bounds[0])), F.lit(int(bounds[1]))
+        span = bounds[1] - bounds[0] + 1
+    else:
+        lo = eligible.agg(F.min("period_h")).scalar()
+        hi = eligible.agg(F.max("period_h")).scalar()
+        span = span_hours or DEFAULT_SPAN_HOURS
     parts = max(1, math.ceil(grid.n_cells * span / ROWS_PER_TASK))
     cells = mask.select("row", "col").repartition(parts)
-    expanded = cells.select(F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("period_h"), "row", "col")
-    periods = bounded_broadcast(eligible.select("period_h"), span, 8)
+    expanded = cells.select(F.explode(F.sequence(lo, hi)).alias("period_h"), "row", "col")
+    # The period side holds one row per distinct hour: bounded by MAX_SPAN_HOURS.
+    periods = bounded_broadcast(eligible.select("period_h"), MAX_SPAN_HOURS, 8)
     return expanded.join(periods, "period_h", "left_semi")
 
 
@@ -89,9 +104,8 @@ def feature_table(wide: DataFrame, eligible: DataFrame, mask: DataFrame, geo: Da
     (the older job has no weather). ``on_missing_weather``: ``'fail'`` raises on a
     period without weather or with a blank value, ``'drop'`` removes such periods.
     """
-    bounds = bounds or hour_bounds(eligible)
     keys = dense_keys(eligible, mask, grid, bounds)
-    span = 1 if bounds is None else bounds[1] - bounds[0] + 1
+    span = MAX_SPAN_HOURS if bounds is None else bounds[1] - bounds[0] + 1
     mask_b = bounded_broadcast(mask.select("row", "col"), grid.n_cells, 8)
     periods_b = bounded_broadcast(eligible.select("period_h"), span, 8)
     sparse = (wide.select("period_h", "row", "col", OBSERVED, *ordering)

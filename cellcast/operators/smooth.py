@@ -45,9 +45,16 @@ def scatter_axis(df: DataFrame, kernel, axis: str, n: int, keys: list[str]) -> D
         raise ValueError(f"kernel radius {radius} exceeds axis length {n}")
     other = "col" if axis == "row" else "row"
     s = F.col(axis)
-    taps = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(w).alias("w"))
-                     for m in (0, 1, 2) for k, w in kernel])
-    fan = df.select(*keys, other, s.alias("_s"), "value", F.explode(taps).alias("_t"))
+    def taps(m):
+        return F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(w).alias("w"))
+                         for k, w in kernel])
+    # Mirror images only matter within the radius of an edge; interior cells
+    # emit one tap per kernel offset.
+    none = F.slice(taps(0), 1, 0)
+    all_taps = F.concat(taps(0),
+                        F.when(s < radius, taps(1)).otherwise(none),
+                        F.when(s >= n - radius, taps(2)).otherwise(none))
+    fan = df.select(*keys, other, s.alias("_s"), "value", F.explode(all_taps).alias("_t"))
     mirror = (F.when(F.col("_t.m") == 0, F.col("_s"))
               .when(F.col("_t.m") == 1, -F.col("_s") - 1)
               .otherwise(2 * n - 1 - F.col("_s")))

@@ -17,7 +17,7 @@ from cellcast.functions.grid import TEST_1KM, in_extent
 from cellcast.operators import counts as C
 from cellcast.operators import lags as L
 from cellcast.sources import testdata as T
-from cellcast.sources.trips import project_trips, split_trip_lines
+from cellcast.sources.trips import project_trips, split_trip_lines, spread_partitions
 
 GRID = TEST_1KM
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,7 @@ def query(fn: Query) -> Query:
 # ---- shared derived inputs ---------------------------------------------------------
 
 def trip_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_trip_lines(T.trip_lines_from_events(T.load_events(spark, sf_dir)))
+    return split_trip_lines(spread_partitions(T.trip_lines_from_events(T.load_events(spark, sf_dir))))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,20 @@ TRIP_COLUMNS = [
 _DATETIME = r"^\s*([0-9]+)-([0-9]+)-([0-9]+)\s+([0-9]+):([0-9]+):([^:\s]*)\s*$"
 
 
-def read_trip_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One ``value`` row per line. gzip input is not splittable; the count
-    aggregation that follows redistributes it, so no extra repartition is needed."""
-    return spark.read.text(path)
+def read_trip_lines(spark: SparkSession, path: str | list[str], min_partitions: int | None = None) -> DataFrame:
+    """One ``value`` row per line (see :func:`spread_partitions`)."""
+    return spread_partitions(spark.read.text(path), min_partitions)
+
+
+def spread_partitions(lines: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread lines over at least ``min_partitions`` tasks (default: the cluster's
+    parallelism) when the source arrives in fewer, e.g. a few large gzip files,
+    which cannot be split. Parsing and projection are the CPU-heavy part and run
+    after this. With many input files this is a no-op: no shuffle is added."""
+    want = min_partitions or lines.sparkSession.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() < want:
+        return lines.repartition(want)
+    return lines
 
 
 def split_trip_lines(lines: DataFrame, on_bad: str = "fail", value_col: str = "value"):
