@@ -481,3 +481,19 @@ def weather_csv_roundtrip(spark, sf_dir):
     W.write_weather_csv(W.flatten_weather_json(T.weather_json_from_events(T.load_events(spark, sf_dir))), path)
     typed = W.weather_table(W.read_weather_csv(spark, path))
     return typed.select("period_h", *[_round(k, k) for k in W.WEATHER_KEYS])
+
+
+@query
+def stream_cell_counts(spark, sf_dir):
+    """SRC1 + AGG1 as a stream: trip lines landed as text files in several
+    batches, counted per micro-batch and summed on read."""
+    from cellcast.streaming import cell_counts as SC
+
+    base = scratch_dir(spark, "stream")
+    lines = T.trip_lines_from_events(T.load_events(spark, sf_dir))
+    # Land the lines as several files, the way trip files arrive.
+    lines.repartition(4).write.mode("overwrite").text(f"{base}/in")
+    q = SC.start(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", GRID,
+                 max_files_per_trigger=1, available_now=True)
+    q.awaitTermination()
+    return SC.read_counts(spark, f"{base}/out")

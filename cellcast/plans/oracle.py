@@ -440,3 +440,5 @@ SQL["raster_listing"] = _STORE + "\nSELECT grouping, period_h FROM test"
 
 SQL["weather_csv_roundtrip"] = _with(_weather_cte()) + f"""
 SELECT period_h, {", ".join(f"round({k}, 6) AS {k}" for k in WEATHER_KEYS)} FROM wx"""
+
+SQL["stream_cell_counts"] = SQL["trips_cell_hour"]
