@@ -126,18 +126,20 @@ def feature_table(wide: DataFrame, eligible: DataFrame, mask: DataFrame, geo: Da
     if weather is None:
         return out.select("period_h", "row", "col", "label", *cal_cols, *ordering, *geo_cols)
 
-    w = weather.select("period_h", *WEATHER_KEYS).withColumn("_w", F.lit(True))
-    out = out.join(bounded_broadcast(w, span, 8 + 8 * len(WEATHER_KEYS)), "period_h", "left")
-    any_null = F.lit(False)
+    # Completeness is decided once per hour on the (small) weather side: ``_w``
+    # is true for an hour with all 23 values and NULL after the join otherwise.
+    complete = F.lit(True)
     for k in WEATHER_KEYS:
-        any_null = any_null | F.col(k).isNull()
+        complete = complete & F.col(k).isNotNull()
+    w = weather.select("period_h", *WEATHER_KEYS).filter(complete).withColumn("_w", F.lit(True))
+    out = out.join(bounded_broadcast(w, span, 8 + 8 * len(WEATHER_KEYS)), "period_h", "left")
     if on_missing_weather == "fail":
         # Every weather column carries the check, so it survives column pruning.
-        bad = F.col("_w").isNull() | any_null
         msg = F.concat(F.lit("no complete weather for period "), h.cast("string"))
-        wcols = [F.when(bad, F.raise_error(msg)).otherwise(F.col(k)).alias(k) for k in WEATHER_KEYS]
+        wcols = [F.when(F.col("_w").isNull(), F.raise_error(msg)).otherwise(F.col(k)).alias(k)
+                 for k in WEATHER_KEYS]
     elif on_missing_weather == "drop":
-        out = out.filter(F.col("_w").isNotNull() & ~any_null)
+        out = out.filter(F.col("_w").isNotNull())
         wcols = [F.col(k) for k in WEATHER_KEYS]
     else:
         raise ValueError("on_missing_weather must be 'fail' or 'drop'")
