@@ -28,6 +28,7 @@ from cellcast.operators import lags as L
 from cellcast.operators import layers as LY
 from cellcast.operators import model as M
 from cellcast.session import scratch_dir
+from cellcast.sources.geo import bounded_broadcast
 from cellcast.sources.trips import trip_cells
 
 
@@ -100,7 +101,9 @@ def run(spark: SparkSession, counts: DataFrame, mask: DataFrame, geo: DataFrame,
 
     periods = manifest.select("period_h").distinct()
     split = M.split_periods(periods, cfg.train_fraction, cfg.split_seed)
-    tagged = feats.join(F.broadcast(split.join(eligible, "period_h", "left_semi")), "period_h")
+    # One row per period: bounded by the hours of the span.
+    tagged = feats.join(bounded_broadcast(split.join(eligible, "period_h", "left_semi"),
+                                          FT.MAX_SPAN_HOURS, 16), "period_h")
     tagged = _materialize(spark, tagged, cfg.materialize, "features", ["split"])
 
     train = tagged.filter(F.col("split") == "train").drop("split")
