@@ -6,11 +6,13 @@ back by column, never by position.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellcast.functions.periods import EPOCH
 from cellcast.operators.features import assemble
 from cellcast.operators.layers import MAIN_ORDERING
 
@@ -49,17 +51,30 @@ def split_rows(df: DataFrame, train_fraction: float = 0.7, seed: int = 7,
     return df.filter(b < cut), df.filter(b >= cut)
 
 
-def time_holdout(periods: DataFrame, test_from: int, train_after: int | None = None) -> DataFrame:
-    """``(period_h, split)`` by time: 'test' from ``test_from`` on, 'train' before it
-    (and after ``train_after`` when given); other periods are left out."""
+def time_holdout(periods: DataFrame, test_from: int, train_after: int | None = None,
+                 train_before: int | None = None) -> DataFrame:
+    """``(period_h, split)`` by time: 'test' from ``test_from`` on (inclusive);
+    'train' before ``train_before`` (default ``test_from``) and after
+    ``train_after`` when given (both exclusive); other periods are left out."""
     h = F.col("period_h")
-    train = h < test_from
+    train = h < (test_from if train_before is None else train_before)
     if train_after is not None:
         train = train & (h > train_after)
     return periods.select("period_h", F.when(h >= test_from, "test").when(train, "train").alias("split")) \
         .filter(F.col("split").isNotNull())
 
 
+def reference_time_bounds() -> dict[str, int]:
+    """The commented-out hold-out of the older job, as hour indexes. Its bounds
+    compare period text as integers: train strictly between 2013011000 and
+    2013120000, test strictly above 2013120000, which (day 00) falls between
+    2013-11-30 23h and 2013-12-01 00h. So train is 2013-01-10 01h to 2013-11-30 23h
+    and test starts at 2013-12-01 00h."""
+    def hour(y, m, d, hh):
+        return (dt.date(y, m, d) - EPOCH).days * 24 + hh
+    return {"train_after": hour(2013, 1, 10, 0), "test_from": hour(2013, 12, 1, 0)}
+
+
 def fit_forest(train: DataFrame, preset: ForestPreset = MAIN_FOREST, ordering=MAIN_ORDERING,
                repeat_static: bool = False, weather: bool = True, seed: int = 11):
     """Assemble features and fit a regression forest on ``label``."""

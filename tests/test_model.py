@@ -38,3 +38,14 @@ def test_model_run(spark):
     assert set(stats.layer) == {"obs", "pred", "two"}
     assert (stats.one_percent <= stats.five_percent + 1e-9).all()
     assert (stats.twenty_percent <= stats.total + 1e-9).all()
+
+
+def test_reference_time_holdout(spark):
+    from cellcast.functions.periods import period_from_text
+    b = M.reference_time_bounds()
+    texts = ["2013011000", "2013011001", "2013113023", "2013120100", "2013120101"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(period_from_text(F.col("t")).alias("period_h"))
+    got = {r["period_h"]: r["split"] for r in M.time_holdout(df, **b).collect()}
+    h = {t: r[0] for t, r in zip(texts, df.collect())}
+    assert got == {h["2013011001"]: "train", h["2013113023"]: "train", h["2013120100"]: "test",
+                   h["2013120101"]: "test"}
