@@ -90,6 +90,17 @@ def hour_spine(spark: SparkSession, first_hour: int, last_hour: int) -> DataFram
     """One row per hour index in ``[first_hour, last_hour)`` (end-exclusive)."""
     return spark.range(int(first_hour), int(last_hour)).select(F.col("id").cast("int").alias("period_h"))
 
+def hours_from_year(spark: SparkSession, start_year: int, until: dt.datetime) -> DataFrame:
+    """Request hours of the weather job: every hour from 1 January of ``start_year``
+    up to ``until`` (exclusive), as hour indexes."""
+    first = (dt.date(start_year, 1, 1) - EPOCH).days * 24
+    until_date = until.date() if isinstance(until, dt.datetime) else until
+    last = (until_date - EPOCH).days * 24 + (until.hour if isinstance(until, dt.datetime) else 0)
+    if isinstance(until, dt.datetime) and (until.minute or until.second or until.microsecond):
+        last += 1  # a partial hour has started, so it is requested
+    return hour_spine(spark, first, last)
+
+
 def hour_spine_between(bounds: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Hour spine ``[lo, hi]`` for bounds held in a one-row DataFrame (kept distributed)."""
     return bounds.select(F.explode(F.sequence(F.col(lo), F.col(hi))).alias("period_h"))

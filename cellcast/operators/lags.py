@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellcast.functions.periods import shift_period
+
 KEYS = ["period_h", "row", "col"]
 
 
@@ -25,18 +27,19 @@ def offsets(start: int, end: int, step: int) -> list[int]:
 
 
 def trailing_sum(df: DataFrame, start: int, end: int, step: int = 1,
-                 value_col: str = "n", out_col: str = "n") -> DataFrame:
-    """result(q) = sum of ``value_col`` at q - x for x in ``range(start, end, step)``."""
+                 value_col: str = "n", out_col: str = "n", strict: bool = False) -> DataFrame:
+    """result(q) = sum of ``value_col`` at q - x for x in ``range(start, end, step)``.
+    ``strict`` fails when a shifted period leaves the 2012-2015 hour calendar."""
     xs = offsets(start, end, step)
     if not xs:
         return df.filter(F.lit(False)).select(*KEYS, F.col(value_col).alias(out_col))
     if len(xs) == 1:
         # A single offset is a shift: a projection, no shuffle (keys stay unique).
-        return df.select((F.col("period_h") + xs[0]).cast("int").alias("period_h"),
+        return df.select(shift_period(F.col("period_h"), xs[0], strict).alias("period_h"),
                          "row", "col", F.col(value_col).alias(out_col))
     fan = df.select(F.explode(F.array(*[F.lit(x) for x in xs])).alias("_x"), "row", "col",
                     "period_h", value_col)
-    return (fan.select((F.col("period_h") + F.col("_x")).cast("int").alias("period_h"),
+    return (fan.select(shift_period(F.col("period_h"), F.col("_x"), strict).alias("period_h"),
                        "row", "col", value_col)
             .groupBy(*KEYS).agg(F.sum(value_col).alias(out_col)))
 

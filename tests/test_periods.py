@@ -39,3 +39,18 @@ def test_parts_and_text_agree(spark):
     parts = P.period_parts(h)
     row = df.select(P.period_text(h), parts["month"], parts["day"], parts["hour"]).first()
     assert tuple(row) == ("2024022923", 2, 29, 23)
+
+
+def test_weather_request_hours(spark):
+    hrs = P.hours_from_year(spark, 2013, dt.datetime(2013, 1, 2, 0, 30))
+    texts = [r[0] for r in hrs.select(P.period_text(F.col("period_h"))).orderBy("period_h").collect()]
+    assert len(texts) == 25 and texts[0] == "2013010100" and texts[-1] == "2013010200"
+
+
+def test_strict_calendar_fails_outside(spark):
+    import pytest
+    from cellcast.operators import lags as L
+    c = spark.createDataFrame([(P.CALENDAR_LAST_HOUR, 0, 0, 1)], "period_h int, row int, col int, n bigint")
+    assert L.trailing_sum(c, 1, 3, 1).count() == 2
+    with pytest.raises(Exception):
+        L.trailing_sum(c, 1, 3, 1, strict=True).collect()
