@@ -36,9 +36,17 @@ def split_bucket(keys: list[Column], seed: int) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10000))
 
 
+def period_bucket(period_h: Column, seed: int) -> Column:
+    """Bucket 0..9999 of a period from the first 32 bits of md5('<period>:<seed>').
+    The period table has one row per hour, so the stronger, portable hash costs
+    nothing and any engine can reproduce the split."""
+    digest = F.md5(F.concat(period_h.cast("string"), F.lit(f":{int(seed)}")))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(10000))
+
+
 def split_periods(periods: DataFrame, train_fraction: float = 0.7, seed: int = 7) -> DataFrame:
     """``(period_h, split)``: whole periods go to 'train' or 'test'."""
-    b = split_bucket([F.col("period_h")], seed)
+    b = period_bucket(F.col("period_h"), seed)
     return periods.select("period_h", F.when(b < int(round(train_fraction * 10000)), "train")
                           .otherwise("test").alias("split"))
 

@@ -345,7 +345,7 @@ def time_holdout(spark, sf_dir):
 
 @query
 def hash_split(spark, sf_dir):
-    """ML1: 70/30 split of whole periods by a seeded hash."""
+    """ML1: 70/30 split of whole periods by a seeded md5 bucket."""
     return M.split_periods(eligible(spark, sf_dir), 0.7, seed=7)
 
 

@@ -442,3 +442,9 @@ SQL["weather_csv_roundtrip"] = _with(_weather_cte()) + f"""
 SELECT period_h, {", ".join(f"round({k}, 6) AS {k}" for k in WEATHER_KEYS)} FROM wx"""
 
 SQL["stream_cell_counts"] = SQL["trips_cell_hour"]
+
+SQL["hash_split"] = _with(_cells_cte(), _hours_cte(), _eligible_cte()) + """
+SELECT period_h,
+       CASE WHEN CAST(('0x' || substr(md5(CAST(period_h AS VARCHAR) || ':7'), 1, 8)) AS BIGINT) % 10000 < 7000
+            THEN 'train' ELSE 'test' END AS split
+FROM elig"""
