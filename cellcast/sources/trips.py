@@ -35,10 +35,12 @@ def spread_partitions(lines: DataFrame, min_partitions: int | None = None) -> Da
     parallelism) when the source arrives in fewer, e.g. a few large gzip files,
     which cannot be split. Parsing and projection are the CPU-heavy part and run
     after this. With many input files this is a no-op: no shuffle is added."""
-    want = min_partitions or lines.sparkSession.sparkContext.defaultParallelism
-    if lines.rdd.getNumPartitions() < want:
-        return lines.repartition(want)
-    return lines
+    try:
+        want = min_partitions or lines.sparkSession.sparkContext.defaultParallelism
+        have = lines.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave as is
+        return lines
+    return lines.repartition(want) if have < want else lines
 
 
 def split_trip_lines(lines: DataFrame, on_bad: str = "fail", value_col: str = "value"):
