@@ -22,14 +22,19 @@ def top_k_sizes(area: int) -> dict[str, int]:
     return {name: int(area * f) for name, f in SHARE_FRACTIONS}
 
 
-def top_share(layers: DataFrame, area: int, keys=("period_h", "layer")) -> DataFrame:
+def top_share(layers: DataFrame, area, keys=("period_h", "layer")) -> DataFrame:
     """``(period_h, layer, one_percent, five_percent, ten_percent, twenty_percent, total)``.
 
-    One window per raster; a raster holds at most one row per grid cell, so
-    no window partition grows with the trip volume.
+    ``area`` is an int or a Column (e.g. a scalar subquery counting mask cells,
+    which keeps the count inside the same plan). One window per raster; a
+    raster holds at most one row per grid cell, so no window partition grows
+    with the trip volume.
     """
     keys = list(keys)
-    ks = top_k_sizes(area)
+    if isinstance(area, int):
+        ks = top_k_sizes(area)
+    else:
+        ks = {name: F.floor(area.cast("double") * f) for name, f in SHARE_FRACTIONS}
     w = Window.partitionBy(*keys).orderBy(F.col("value").desc(), "row", "col")
     ranked = layers.select(*keys, "value", F.row_number().over(w).alias("_rn"))
     aggs = [F.coalesce(F.sum(F.when(F.col("_rn") <= k, F.col("value"))), F.lit(0.0)).alias(name)
@@ -45,7 +50,7 @@ def common_periods(*period_sets: DataFrame) -> DataFrame:
     return out
 
 
-def combined_stats(rasters: dict[str, DataFrame], periods: dict[str, DataFrame], area: int) -> DataFrame:
+def combined_stats(rasters: dict[str, DataFrame], periods: dict[str, DataFrame], area) -> DataFrame:
     """Stats per period and layer for periods present in every named raster set.
 
     ``rasters[name]`` is ``(period_h, row, col, value)``; ``periods[name]`` lists

@@ -148,9 +148,10 @@ def eligible(spark, sf_dir, ordering=LY.MAIN_ORDERING):
     return LY.eligible_periods(LY.period_manifest(counts(spark, sf_dir), [LY.OBSERVED] + ordering), ordering)
 
 
-def area(spark) -> int:
-    """Evaluation area of the test grid: the number of mask cells (a grid-sized count)."""
-    return mask(spark).count()
+def area(spark):
+    """Evaluation area of the test grid: the number of mask cells, as a scalar
+    subquery of the calling plan (no separate driver action)."""
+    return mask(spark).agg(F.count(F.lit(1))).scalar()
 
 
 @query

@@ -116,7 +116,7 @@ def run(spark: SparkSession, counts: DataFrame, mask: DataFrame, geo: DataFrame,
     two = LY.rasterize(L.two_hour(counts), cfg.grid, "n", unique_keys=True) \
         .select("period_h", "row", "col", (F.col("value") / 2).alias("value"))
     pred = predictions.select("period_h", "row", "col", F.col("prediction").alias("value"))
-    area = cfg.area if cfg.area is not None else mask.count()
+    area = cfg.area if cfg.area is not None else mask.agg(F.count(F.lit(1))).scalar()
     stats = E.combined_stats(
         {"obs": obs, "pred": pred, "two": two},
         {"pred": test_periods.join(eligible, "period_h", "left_semi"),
