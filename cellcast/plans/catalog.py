@@ -8,12 +8,24 @@ the matching DuckDB SQL under the same name.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellcast.functions.grid import TEST_1KM, in_extent
+from cellcast.functions import periods as P
+from cellcast.operators import evaluate as E
+from cellcast.operators import features as FT
+from cellcast.operators import layers as LY
+from cellcast.operators import model as M
+from cellcast.operators import smooth as S
+from cellcast.plans import demand_model as DM
+from cellcast.session import scratch_dir
+from cellcast.sources import geo as GEO
+from cellcast.sources import rasters as RS
+from cellcast.sources import weather as W
 from cellcast.operators import counts as C
 from cellcast.operators import lags as L
 from cellcast.sources import testdata as T
@@ -112,16 +124,6 @@ def previous_week(spark, sf_dir):
 
 # ---- layers ---------------------------------------------------------------------------
 
-from cellcast.functions import periods as P  # noqa: E402
-from cellcast.operators import evaluate as E  # noqa: E402
-from cellcast.operators import features as FT  # noqa: E402
-from cellcast.operators import layers as LY  # noqa: E402
-from cellcast.operators import model as M  # noqa: E402
-from cellcast.operators import smooth as S  # noqa: E402
-from cellcast.sources import geo as GEO  # noqa: E402
-from cellcast.sources import weather as W  # noqa: E402
-
-import datetime as _dt  # noqa: E402
 
 # Hold-out bound of the test data (test from 2024-01-24 00h).
 HOLDOUT_TEST_FROM = (_dt.date(2024, 1, 24) - P.EPOCH).days * 24
@@ -401,10 +403,6 @@ def combined_stats(spark, sf_dir):
 
 # ---- model, store, round trips -------------------------------------------------------
 
-from cellcast.plans import demand_model as DM  # noqa: E402
-from cellcast.session import scratch_dir  # noqa: E402
-from cellcast.sources import rasters as RS  # noqa: E402
-
 
 def _model_run(spark, sf_dir):
     cfg = DM.DemandModelConfig(grid=GRID)
