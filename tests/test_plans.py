@@ -31,3 +31,18 @@ def test_lag_layers_one_exchange(spark):
     plan = L.lag_layers(c)._jdf.queryExecution().executedPlan().toString()
     # one exchange for the counts, one for all lag layers together
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_wide_layers_shuffle_budget(spark):
+    """At runtime: input spread, counts, all lag layers, the Gaussian row pass and
+    the final per-cell combine, plus the global count of this test; the lag
+    exchange feeding both the union and the smoothing is reused, not re-run."""
+    from cellcast.operators import layers as LY
+    from cellcast.plans import catalog as Q
+    df = LY.wide_layers(Q.counts(spark, SF_SMALL), Q.GRID).groupBy().count()
+    qe = df._jdf.queryExecution()
+    qe.executedPlan().executeCollect()
+    plan = qe.executedPlan().toString()
+    stages, reused = plan.count("ShuffleQueryStage"), plan.count("ReusedExchange")
+    assert reused >= 1
+    assert stages - reused == 6
