@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellcast.llm import bpe, quality, sharding, token_counts
+from cellcast.llm import bpe, chunk_dedup, decontaminate, near_dup, quality, sharding, token_counts
 from cellcast.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,22 @@ def op4_sharding(spark, sf_dir):
 def op6_token_counts(spark, sf_dir):
     """Token counts of every document through a digest cache."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query
+def op3_chunk_dedup(spark, sf_dir):
+    """Every document without passages that stood in an earlier document."""
+    out = chunk_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_chars", "removed", (F.size("removed") > 0).alias("has_repeat"))
+
+
+@query
+def op9_decontamination(spark, sf_dir):
+    """Pairs of a document and a benchmark item that it holds."""
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_jaccard_join(spark, sf_dir):
+    """Class and number of near-duplicates of every document."""
+    return near_dup.jaccard_classes(table(spark, sf_dir, "documents"))
