@@ -19,7 +19,8 @@ documents it is linked to.
 
 A pair at the threshold shares a band with probability 0.9995. No task holds more than two
 blocks; hot groups of copies are counted with partial sums, and the joins are between
-written tables, which Spark can split at hot keys.
+written tables, which Spark can split at hot keys. The large joins are sort-merge joins at
+every size, so that a small run shows the plan of a large one.
 
 Texts with fewer than five words have one shingle of all their words. A null text, or one
 without words, has none: it is a class of its own with no links. ``doc_id`` names a
@@ -49,7 +50,7 @@ N_BANDS = 32
 BAND_ROWS = 7
 STEP = 16
 TOLERANCE = 1e-6
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 50_000
 
 _SIZE = N_BANDS * BAND_ROWS
 _SALT = (mix64(np.arange(1, _SIZE + 1, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -255,14 +256,14 @@ def jaccard_classes(docs: DataFrame, folder: str | None = None, threshold: float
     sets = ["digest", "n_shingles"]
     copies = stored(sigs.filter("n_shingles > 0").groupBy(*sets)
                     .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), f"{folder}/copies")
-    members = stored(sigs.filter("n_shingles > 0").select("doc_id", *sets).join(copies, sets)
+    members = stored(sigs.filter("n_shingles > 0").select("doc_id", *sets).join(copies.hint("merge"), sets)
                      .select("doc_id", "rep", "copies"), f"{folder}/members")
     # Band rows of representatives only.
-    reps = sigs.filter("n_shingles > 0").join(copies, sets).filter("doc_id = rep")
+    reps = sigs.filter("n_shingles > 0").join(copies.hint("merge"), sets).filter("doc_id = rep")
     bands = stored(reps.select("rep", F.explode("bands").alias("band")), f"{folder}/bands")
     shared = stored(bands.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
                     .filter("least < most").select("band", "least"), f"{folder}/shared-bands")
-    ties = bands.join(shared, "band").filter("rep != least").select("rep", "least").distinct()
+    ties = bands.join(shared.hint("merge"), "band").filter("rep != least").select("rep", "least").distinct()
     groups = stored(components(ties, f"{folder}/groups"), f"{folder}/grouped")
 
     # Blocks of about block_shingles; a unit of work for each pair of blocks of a group.
@@ -277,7 +278,7 @@ def jaccard_classes(docs: DataFrame, folder: str | None = None, threshold: float
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    units = (texts.join(placed, "rep").select("rep", "copies", "root", "mine", "text", other)
+    units = (texts.join(placed.hint("merge"), "rep").select("rep", "copies", "root", "mine", "text", other)
              .select(F.struct("root", low.alias("low"), high.alias("high")).alias("unit"),
                      F.when(F.col("mine") == low, 0).otherwise(1).alias("side"), F.col("rep").alias("doc_id"), "copies", "text"))
     units = units.repartition(F.col("unit")).sortWithinPartitions("unit")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import bpe, chunk_dedup, decontaminate, near_dup, quality, sharding, token_counts
+from cellcast.llm import bpe, chunk_dedup, decontaminate, near_dup, quality, sharding, token_counts, toxicity
 from cellcast.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,10 @@ def op9_decontamination(spark, sf_dir):
 def op10_jaccard_join(spark, sf_dir):
     """Class and number of near-duplicates of every document."""
     return near_dup.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
