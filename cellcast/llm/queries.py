@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import bpe, chunk_dedup, decontaminate, near_dup, quality, sharding, token_counts, toxicity
+from cellcast.llm import (
+    bpe, chunk_dedup, decontaminate, html_blocks, near_dup, quality, sharding, token_counts, tool_calls, toxicity)
+from cellcast.llm.oracle import ORACLE_SQL  # noqa: F401
 from cellcast.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -88,3 +89,50 @@ def op8_toxicity(spark, sf_dir):
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+#: The tools that the conversations are read as calling: name, param, type, required, choices, low, high.
+TOOLS = [
+    ("search", "query", "string", True, None, None, None),
+    ("search", "limit", "integer", True, None, 1.0, 50.0),
+    ("translate", "text", "string", True, None, None, None),
+    ("translate", "target", "string", True, ["en", "de", "fr", "es"], None, None),
+    ("count", "text", "string", True, None, None, None),
+    ("count", "unit", "string", False, ["chars", "words"], None, None),
+]
+
+
+def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results read off the turns: a user's turn calls a tool, and the assistant's
+    turn after it is the result. Some arguments break the tools' schemas, by rule."""
+    def call_id(turn):
+        return F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
+
+    text, turn, n = F.col("text"), F.col("turn"), F.length("text")
+    tool = F.col("conv_id") % 3
+    arguments = (
+        F.when(tool == 0, F.to_json(F.struct(text.alias("query"), (n % 60).alias("limit"))))
+        .when(tool == 1, F.to_json(F.struct(text.alias("text"), F.element_at(
+            F.array(*map(F.lit, ["en", "de", "fr", "es", "xx"])), (turn % 5 + 1).cast("int")).alias("target"))))
+        .otherwise(F.to_json(F.struct(F.lit("words").alias("unit"), F.when(n % 7 != 0, text).alias("text")))))
+    calls = conversations.filter(F.col("role") == "user").select(
+        "conv_id", call_id(turn).alias("call_id"), "turn",
+        F.element_at(F.array(*map(F.lit, ["search", "translate", "count"])), (tool + 1).cast("int")).alias("name"),
+        arguments.alias("arguments"),
+        F.when((turn >= 2) & (F.expr("turn div 2") % 4 != 0), call_id(turn - 2)).alias("after"))
+    results = conversations.filter(F.col("role") == "assistant").select(
+        "conv_id", call_id(turn - 1).alias("call_id"), "turn", text.alias("content"))
+    return calls, results
+
+
+@query
+def op7_tool_calls(spark, sf_dir):
+    """Every tool call with its result, in topological levels, checked and as canonical JSON."""
+    calls, results = tool_traffic(table(spark, sf_dir, "conversations"))
+    return tool_calls.link_calls(calls, results, spark.createDataFrame(TOOLS, tool_calls.SCHEMA_COLUMNS))
