@@ -119,11 +119,14 @@ class Vocabulary:
         for r, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             left, right, out = self.id_of[a], self.id_of[b], self.id_of[a + b]
-            if max(made.get(left, -1), made.get(right, -1)) >= r or out in made:
-                raise ValueError("a merge uses a token before it is made")
+            if out in made:
+                raise ValueError("two merges make the same token")
             made[out] = r
             keys.append(left << 32 | right)
             merged.append(out)
+        # Ascending ranks apply every pair only if a token's own merge ranks before those that use it.
+        if any(made.get(k >> 32, -1) >= r or made.get(k & 0xFFFFFFFF, -1) >= r for r, k in enumerate(keys)):
+            raise ValueError("a merge uses a token before it is made")
         order = np.argsort(np.array(keys, np.int64))
         #: pairs in order, the rank of each, and by rank the merged id
         self.pairs, self.rank_of = np.array(keys, np.int64)[order], order

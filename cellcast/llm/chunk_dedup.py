@@ -29,8 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cellcast.llm.text import Words, mix64, row_of, slices, solid_words, utf8, word_hashes
+from cellcast.llm.text import (
+    Words, mix64, packed, packed_schema, row_of, slices, solid_words, utf8, word_hashes)
 from cellcast.session import scratch_dir
 
 WINDOW_BYTES = 16
@@ -128,12 +130,11 @@ def repeats(docs: DataFrame, folder: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, folder: str | None = None, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     """``docs`` without repeated passages, and ``removed``: their byte spans in the old text."""
     folder = folder or scratch_dir(docs.sparkSession, "chunks")
-    found = repeats(docs, folder).select(F.col("doc_id").alias("_id"), "repeats")
-    text_type = dict(docs.dtypes)["text"]
-    joined = (docs.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left")
-              .select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), "repeats"))
-    schema = ("row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields)
-              + ">, text string, removed array<struct<start:int,stop:int>>")
+    found = repeats(docs, folder).withColumnRenamed("doc_id", "key")
+    rows = docs.select(packed(docs), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("key"))
+    joined = rows.join(found, "key", "left").select("row", "text", "repeats")
+    span_type = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+    schema = packed_schema(docs, T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(span_type)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
@@ -157,7 +158,8 @@ def remove_repeats(docs: DataFrame, folder: str | None = None, min_words: int =
                                              ["row", "text", "removed"])
 
     out = joined.mapInArrow(run, schema)
-    new = {"text": F.col("text").cast(text_type)}
+    types = dict(docs.dtypes)
+    new = {"text": F.col("text").cast(types["text"])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length("text").cast(dict(docs.dtypes)["n_chars"])
-    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns], "removed")
+        new["n_chars"] = F.char_length("text").cast(types["n_chars"])
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns], "removed")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.llm.text import (
-    SHINGLE_WORDS, find_words, mix64, row_of, sequence_hashes, slices, utf8, word_hashes)
+    SHINGLE_WORDS, find_words, mix64, packed, packed_schema, row_of, sequence_hashes, slices, unpacked, utf8, word_hashes)
 
 THRESHOLD = 0.8
 MAX_SKETCH = 32
@@ -152,7 +152,6 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = THR
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item."""
     spark = docs.sparkSession
-    schema = "row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields) + ">"
     for block in item_blocks(items):
         index = spark.sparkContext.broadcast(Index(block, threshold))
 
@@ -162,6 +161,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
                 clean[[r for r, *_ in index.value.search(part.column(1))]] = False
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(clean))], ["row"])
 
-        pairs = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-        docs = pairs.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+        rows = docs.select(packed(docs), F.col("text").cast("string").alias("text"))
+        docs = unpacked(rows.mapInArrow(run, packed_schema(docs)), docs)
     return docs

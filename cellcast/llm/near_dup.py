@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from cellcast.llm.components import components, stored
 from cellcast.llm.decontaminate import lower_words
-from cellcast.llm.text import mix64, row_of, sequence_hashes, shingles, slices
+from cellcast.llm.text import mix64, packed, row_of, shingles, slices, unpacked
 from cellcast.session import scratch_dir
 
 THRESHOLD = 0.8
@@ -302,6 +302,7 @@ def keep_one(docs: DataFrame, folder: str | None = None, threshold: float = THRE
     """The rows of ``docs`` that stand for their class, all columns: its least id. Rows with a
     null id stay; of rows with equal ids one stays."""
     classes = jaccard_classes(docs, folder, threshold)
-    gone = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    return left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.filter(F.col("doc_id").isNull()))
+    gone = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("key")).distinct()
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("key")).join(gone, "key", "left_anti")
+    one = rows.filter("key is not null").dropDuplicates(["key"]).unionAll(rows.filter("key is null"))
+    return unpacked(one, docs)

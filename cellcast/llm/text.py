@@ -13,6 +13,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 2 << 20
 SHINGLE_WORDS = 5
@@ -172,3 +175,16 @@ def shingles(h: np.ndarray, first: np.ndarray, width: int = SHINGLE_WORDS) -> Sh
 def row_of(first: np.ndarray) -> np.ndarray:
     """The row of each element, from the ranges of rows."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of a table as one, so that their names meet no others."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def packed_schema(docs: DataFrame, *more: T.StructField) -> T.StructType:
+    return T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), *more])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
