@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellcast.llm.text import SLICE_BYTES, Words, mix64, slices, utf8, word_hashes
+from cellcast.llm.text import SLICE_BYTES, Words, mix64, slices, small_batches, utf8, word_hashes
 
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 400_000
 BATCH_BYTES = 2 * SLICE_BYTES
 RANK_BLOCK = 512
 NO_PAIR = np.int64(1 << 40)
@@ -341,7 +341,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
             lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>")
 
 
@@ -377,5 +377,5 @@ def round_trip_digests(docs: DataFrame, path: str, text: str = "text", key: str
                 pa.array([hashlib.sha256(decode_bytes(enc.vocab, x)).hexdigest() for x in rows], pa.string()),
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, SCHEMA)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellcast.llm.text import (
-    Words, mix64, packed, packed_schema, row_of, slices, solid_words, utf8, word_hashes)
+    Words, mix64, packed, packed_schema, row_of, slices, small_batches, solid_words, utf8, word_hashes)
 from cellcast.session import scratch_dir
 
 WINDOW_BYTES = 16
@@ -97,7 +97,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 pa.array(n_words.astype(np.int32)), pa.array(again),
             ], ["doc_id", "digest", "start", "stop", "words", "again"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, CHUNKS_SCHEMA)
 
 

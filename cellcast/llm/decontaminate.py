@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.llm.text import (
-    SHINGLE_WORDS, find_words, mix64, packed, packed_schema, row_of, sequence_hashes, slices, unpacked, utf8, word_hashes)
+    SHINGLE_WORDS, find_words, mix64, packed, packed_schema, row_of, sequence_hashes, slices, small_batches, unpacked, utf8, word_hashes)
 
 THRESHOLD = 0.8
 MAX_SKETCH = 32
@@ -129,7 +129,7 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[li
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every pair of a document and a test item whose shingles it holds."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
         index = texts.sparkSession.sparkContext.broadcast(Index(block, threshold))
@@ -161,6 +161,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
                 clean[[r for r, *_ in index.value.search(part.column(1))]] = False
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(clean))], ["row"])
 
-        rows = docs.select(packed(docs), F.col("text").cast("string").alias("text"))
+        rows = small_batches(docs).select(packed(docs), F.col("text").cast("string").alias("text"))
         docs = unpacked(rows.mapInArrow(run, packed_schema(docs)), docs)
     return docs

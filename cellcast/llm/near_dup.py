@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from cellcast.llm.components import components, stored
 from cellcast.llm.decontaminate import lower_words
-from cellcast.llm.text import mix64, packed, row_of, shingles, slices, unpacked
+from cellcast.llm.text import mix64, packed, row_of, shingles, slices, small_batches, unpacked
 from cellcast.session import scratch_dir
 
 THRESHOLD = 0.8
@@ -201,7 +201,7 @@ def signature_table(docs: DataFrame) -> DataFrame:
                 [part.column(0), pa.array(np.diff(first).astype(np.int32)), pa.array(digest.view(np.int64)),
                  pa.ListArray.from_arrays(pa.array(offs), pa.array(keys))], ["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(
         F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, n_shingles int, digest long, bands array<long>")
 
 
@@ -268,7 +268,7 @@ def jaccard_classes(docs: DataFrame, folder: str | None = None, threshold: float
 
     # Blocks of about block_shingles; a unit of work for each pair of blocks of a group.
     info = (groups.withColumnRenamed("node", "rep")
-            .join(reps.select("rep", "n_shingles", "copies").dropDuplicates(["rep"]), "rep"))
+            .join(copies.select("rep", "n_shingles", "copies").dropDuplicates(["rep"]), "rep"))
     info = stored(info, f"{folder}/grouped-sizes")
     blocks = stored(info.groupBy("root").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("blocks")),
                     f"{folder}/blocks")
@@ -301,8 +301,14 @@ def jaccard_classes(docs: DataFrame, folder: str | None = None, threshold: float
 def keep_one(docs: DataFrame, folder: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stand for their class, all columns: its least id. Rows with a
     null id stay; of rows with equal ids one stays."""
-    classes = jaccard_classes(docs, folder, threshold)
-    gone = classes.filter("doc_id != class_id").select(F.col("doc_id").alias("key")).distinct()
-    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("key")).join(gone, "key", "left_anti")
-    one = rows.filter("key is not null").dropDuplicates(["key"]).unionAll(rows.filter("key is null"))
-    return unpacked(one, docs)
+    folder = folder or scratch_dir(docs.sparkSession, "near-dup")
+    found = jaccard_classes(docs, folder, threshold).groupBy("doc_id").agg(
+        F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    marked = stored(found.filter("doc_id != class_id or n > 1").select(
+        F.col("doc_id").alias("key"), (F.col("doc_id") != F.col("class_id")).alias("gone")), f"{folder}/marked")
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("key"))
+    left = rows.join(marked, "key", "left_anti")
+    several = marked.filter("not gone")
+    if not several.isEmpty():  # only rows that share an id need to be compared with one another
+        left = left.unionAll(rows.join(several.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    return unpacked(left, docs)

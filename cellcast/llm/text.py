@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 SLICE_BYTES = 2 << 20
 SHINGLE_WORDS = 5
+BATCH_ROWS = 1000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -50,6 +51,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0]:offs[-1]], offs - offs[0]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have Spark send rows to Python in batches of at most ``BATCH_ROWS`` rows, so that what a
+    task holds at once, in the JVM and in Python, stays a few MB of ordinary texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with at most ``limit`` bytes of text each."""
@@ -65,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             end = min(max(end, at + 1), n)
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()  # workers are reused: give back what the task took
 
 
 # Word bytes: ASCII letters, digits and underscore, and every byte of a non-ASCII

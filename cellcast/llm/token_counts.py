@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.llm.bpe import cut_pieces
-from cellcast.llm.text import SLICE_BYTES, Words, slices, utf8, word_hashes
+from cellcast.llm.text import SLICE_BYTES, Words, slices, small_batches, utf8, word_hashes
 from cellcast.session import scratch_dir
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 400_000
 LIMIT = 512
 
 
@@ -136,7 +136,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     tokenizer = version(path, source)
     cache = cache or scratch_dir(spark, "token-counts")
     shared = spark.sparkContext.broadcast(source)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("digest", F.sha2("text", 256))
 

@@ -122,7 +122,7 @@ def test_rule_counts_equal_brute_force():
 
 def labelled(spark, n=120):
     clean = [f"{PROSE} {sentence(i, 30 + i % 9)} {PROSE[:i % 90]}" for i in range(n)]
-    junk = [" ".join(f"{w.upper()}!!" if i % 2 else f"{w}###" for w in (PROSE + str(i)).split()) for i in range(n // 6)]
+    junk = [" ".join(f"{w.upper()}!!" if i % 2 else f"{w}###" for w in f"{PROSE} {sentence(i, 30)}".split()) for i in range(n // 6)]
     texts = clean + junk
     labels = spark.createDataFrame([(i, int(i < n)) for i in range(len(texts))], "doc_id long, quality int")
     return docs(spark, texts, ["row", "kept"]), labels, n
