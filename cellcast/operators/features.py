@@ -2,18 +2,18 @@
 
 Shape of the plan:
 
-1. Dense keys. Every mask cell is expanded over the hour span of the
-   eligible periods with ``explode(sequence(lo, hi))`` and the result is
-   semi-joined to the eligible periods (a broadcast side bounded by the span
-   in hours). The mask side is bounded by the grid and spread over enough
-   partitions for the expansion; no cross join is planned.
-2. Layer values. The sparse wide layer table, pre-filtered to eligible
-   periods and mask cells, is left-joined on ``(period_h, row, col)``;
-   a missing row is a zero of the dense raster. Only the three key
-   columns of the dense side cross this shuffle.
-3. Covariates. Weather (one row per hour) and the static geo values (one
-   row per grid cell) are attached by broadcast joins after the shuffle, so
-   the wide rows never travel; calendar parts are expressions of ``period_h``.
+1. Dense keys. The mask cells are partitioned by cell; each task expands its cells
+   over the eligible hours, which it has as one array (a scalar subquery: one
+   number per hour). No other hour is ever produced, and no cross join is planned.
+2. Layer values. The sparse wide layer table, restricted to eligible periods and
+   mask cells, is partitioned by cell too and left-joined on ``(period_h, row,
+   col)`` with a hash table on the sparse side; a missing row is a zero of the
+   dense raster. The dense side, by far the larger one, is neither exchanged nor
+   sorted after its expansion. One cell has at most one sparse row per hour.
+3. Covariates. The static geo values (one row per grid cell) are attached by a
+   broadcast join behind a bound on the grid's cells; weather has one row per hour
+   and is left to Spark's own choice by size. Calendar parts are expressions of
+   ``period_h``.
 """
 
 from __future__ import annotations
@@ -34,42 +34,24 @@ CALENDAR_COLUMNS = ["month", "day", "hour"]
 ROWS_PER_TASK = 4_000_000
 
 
-# Hours one expansion task is sized for when the span is not given (a leap year).
+# Hours one expansion task is sized for (a leap year).
 DEFAULT_SPAN_HOURS = 8784
-# Proven bound on any per-hour table (one row per distinct hour): a century of hours.
-MAX_SPAN_HOURS = 100 * 8784
 
 
-def hour_bounds(periods: DataFrame) -> tuple[int, int] | None:
-    """(first, last) hour of a period table as two driver-side scalars."""
-    r = periods.agg(F.min("period_h").alias("lo"), F.max("period_h").alias("hi")).first()
-    if r is None or r["lo"] is None:
-        return None
-    return int(r["lo"]), int(r["hi"])
+def cell_partitions(grid: GridSpec, hours: int = DEFAULT_SPAN_HOURS) -> int:
+    """Partitions by cell such that one expands about ``ROWS_PER_TASK`` rows."""
+    return max(1, math.ceil(grid.n_cells * hours / ROWS_PER_TASK))
 
 
-def dense_keys(eligible: DataFrame, mask: DataFrame, grid: GridSpec,
-               bounds: tuple[int, int] | None = None, span_hours: int | None = None) -> DataFrame:
+def dense_keys(eligible: DataFrame, mask: DataFrame, grid: GridSpec, hours: int = DEFAULT_SPAN_HOURS) -> DataFrame:
     """``(period_h, row, col)`` for every mask cell at every eligible period.
 
-    Without explicit ``bounds`` the first and last eligible hour are scalar
-    subqueries of the same plan, so the expansion needs no separate driver
-    action and shares the upstream exchanges. The mask is spread so that one
-    task expands about ``ROWS_PER_TASK`` rows for a span of ``span_hours``.
+    The eligible hours are a scalar subquery of the same plan, one array with a number
+    per hour. The result stays partitioned by cell; ``hours`` only sizes the tasks.
     """
-    if bounds is not None:
-        lo, hi = F.lit(int(bounds[0])), F.lit(int(bounds[1]))
-        span = bounds[1] - bounds[0] + 1
-    else:
-        lo = eligible.agg(F.min("period_h")).scalar()
-        hi = eligible.agg(F.max("period_h")).scalar()
-        span = span_hours or DEFAULT_SPAN_HOURS
-    parts = max(1, math.ceil(grid.n_cells * span / ROWS_PER_TASK))
-    cells = mask.select("row", "col").repartition(parts)
-    expanded = cells.select(F.explode(F.sequence(lo, hi)).alias("period_h"), "row", "col")
-    # The period side holds one row per distinct hour: bounded by MAX_SPAN_HOURS.
-    periods = bounded_broadcast(eligible.select("period_h"), MAX_SPAN_HOURS, 8)
-    return expanded.join(periods, "period_h", "left_semi")
+    periods = eligible.agg(F.sort_array(F.collect_set("period_h"))).scalar()
+    cells = mask.select("row", "col").repartition(cell_partitions(grid, hours), "row", "col")
+    return cells.select(F.explode(periods).alias("period_h"), "row", "col")
 
 
 def calendar_columns(h: Column) -> dict[str, Column]:
@@ -96,7 +78,7 @@ def feature_columns(ordering: list[str] = MAIN_ORDERING, repeat_static: bool = F
 
 def feature_table(wide: DataFrame, eligible: DataFrame, mask: DataFrame, geo: DataFrame,
                   weather: DataFrame | None, grid: GridSpec, ordering: list[str] = MAIN_ORDERING,
-                  on_missing_weather: str = "fail", bounds: tuple[int, int] | None = None) -> DataFrame:
+                  on_missing_weather: str = "fail", hours: int = DEFAULT_SPAN_HOURS) -> DataFrame:
     """``(period_h, row, col, label, <feature columns>)`` with zeros filled at the join only.
 
     ``wide`` is the sparse wide layer table (``observed`` plus ``ordering``);
@@ -104,14 +86,13 @@ def feature_table(wide: DataFrame, eligible: DataFrame, mask: DataFrame, geo: Da
     (the older job has no weather). ``on_missing_weather``: ``'fail'`` raises on a
     period without weather or with a blank value, ``'drop'`` removes such periods.
     """
-    keys = dense_keys(eligible, mask, grid, bounds)
-    span = MAX_SPAN_HOURS if bounds is None else bounds[1] - bounds[0] + 1
+    keys = dense_keys(eligible, mask, grid, hours)
     mask_b = bounded_broadcast(mask.select("row", "col"), grid.n_cells, 8)
-    periods_b = bounded_broadcast(eligible.select("period_h"), span, 8)
     sparse = (wide.select("period_h", "row", "col", OBSERVED, *ordering)
-              .join(periods_b, "period_h", "left_semi")
-              .join(mask_b, ["row", "col"], "left_semi"))
-    dense = keys.join(sparse, ["period_h", "row", "col"], "left")
+              .join(eligible.select("period_h"), "period_h", "left_semi")
+              .join(mask_b, ["row", "col"], "left_semi")
+              .repartition(cell_partitions(grid, hours), "row", "col"))
+    dense = keys.join(sparse.hint("shuffle_hash"), ["period_h", "row", "col"], "left")
     vals = [F.coalesce(F.col(k), F.lit(0.0)).cast("double").alias(k) for k in ordering]
     dense = dense.select("period_h", "row", "col",
                          F.coalesce(F.col(OBSERVED), F.lit(0.0)).cast("double").alias("label"), *vals)
@@ -132,7 +113,7 @@ def feature_table(wide: DataFrame, eligible: DataFrame, mask: DataFrame, geo: Da
     for k in WEATHER_KEYS:
         complete = complete & F.col(k).isNotNull()
     w = weather.select("period_h", *WEATHER_KEYS).filter(complete).withColumn("_w", F.lit(True))
-    out = out.join(bounded_broadcast(w, span, 8 + 8 * len(WEATHER_KEYS)), "period_h", "left")
+    out = out.join(w, "period_h", "left")
     if on_missing_weather == "fail":
         # Every weather column carries the check, so it survives column pruning.
         msg = F.concat(F.lit("no complete weather for period "), h.cast("string"))

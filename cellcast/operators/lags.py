@@ -6,9 +6,9 @@ range window, this yields rows at later hours where the cell had no trip, which
 is what a dense raster of the trailing sum contains.
 
 :func:`lag_layers` computes every base layer (observed, 2 h, 4 h, 8 h,
-previous day, previous week) in **one** shuffle: 12 offsets fan out at once
-and conditional sums pick each layer, with partial aggregation before the
-exchange. The per-layer functions remain for composition and tests.
+previous day, previous week) together: the counts are exchanged by cell, and
+within each task 11 offsets fan out at once and conditional sums pick each
+layer, so that only un-copied counts cross the network. The per-layer functions remain for composition and tests.
 """
 
 from __future__ import annotations
@@ -81,15 +81,19 @@ LAG_OFFSETS = {
 
 
 def lag_layers(counts: DataFrame, layers=tuple(LAG_OFFSETS)) -> DataFrame:
-    """Sparse wide table ``(period_h, row, col, <layer>...)`` in one shuffle.
+    """Sparse wide table ``(period_h, row, col, <layer>...)`` in one shuffle of the counts.
+
+    The counts are partitioned by cell before they fan out: all hours of a cell meet in
+    one task, so the sums need no second exchange. A cell has one count per hour, however
+    many trips it had.
 
     A layer column is NULL where that layer has no row (a zero of the dense
     raster); a row exists where at least one requested layer has one.
     """
     wanted = {k: LAG_OFFSETS[k] for k in layers}
     xs = sorted({x for v in wanted.values() for x in v})
-    fan = counts.select(F.explode(F.array(*[F.lit(x) for x in xs])).alias("_x"),
-                        "period_h", "row", "col", "n")
+    fan = counts.select("period_h", "row", "col", "n").repartition("row", "col").select(
+        F.explode(F.array(*[F.lit(x) for x in xs])).alias("_x"), "period_h", "row", "col", "n")
     fan = fan.select((F.col("period_h") + F.col("_x")).cast("int").alias("period_h"),
                      "row", "col", "_x", "n")
     aggs = []

@@ -31,14 +31,6 @@ MAIN_ORDERING = [
 OLDER_ORDERING = ["two_hour", "four_hour", "eight_hour", "previous_day", "previous_week"]
 
 
-def kd_name(base: str) -> str:
-    return f"{base}_kd"
-
-
-def neighbor_name(base: str) -> str:
-    return f"{base}_neighbor_avg"
-
-
 def rasterize(df: DataFrame, grid: GridSpec, value_col: str = "n", unique_keys: bool = False) -> DataFrame:
     """Extent gate + per-cell sum -> ``(period_h, row, col, value)``.
 
@@ -95,11 +87,7 @@ def period_manifest(counts: DataFrame, names: list[str] | None = None) -> DataFr
     names = names or ([OBSERVED] + MAIN_ORDERING)
     pairs = []
     for name in names:
-        base = name
-        for suffix in ("_kd", "_neighbor_avg"):
-            if name.endswith(suffix):
-                base = name[: -len(suffix)]
-        for x in LAG_OFFSETS[base]:
+        for x in LAG_OFFSETS[_base_of(name)]:
             pairs.append(F.struct(F.lit(name).alias("layer"), F.lit(x).alias("x")))
     hours = observed_periods(counts)
     fan = hours.select(F.explode(F.array(*pairs)).alias("p"), "period_h")
@@ -162,9 +150,10 @@ def wide_layers(counts: DataFrame, grid: GridSpec, ordering: list[str] = MAIN_OR
                 sigma: float = 1.0, truncate: float = 4.0, focal_size: int = 1) -> DataFrame:
     """Sparse wide table ``(period_h, row, col, observed, <ordering>...)``, in-extent cells.
 
-    Shuffles: one for all lag layers, one per smoothing axis except the last;
-    the last column pass is summed inside the final per-cell aggregation that
-    also lays the layers side by side. A size-1 focal mean is its base column.
+    Shuffles: one of the counts by cell for all lag layers, one by period, which both
+    smoothing axes and the final per-cell aggregation share (a period is bounded by the
+    grid). The last column pass is summed inside that aggregation, which also lays the
+    layers side by side. A size-1 focal mean is its base column.
     """
     from cellcast.operators import lags, smooth
 
@@ -176,7 +165,7 @@ def wide_layers(counts: DataFrame, grid: GridSpec, ordering: list[str] = MAIN_OR
     if not need_long:
         return base_wide.select("period_h", "row", "col", OBSERVED,
                                 *[F.col(_base_of(k)).alias(k) for k in ordering])
-    base_long = wide_to_long(base_wide, bases)
+    base_long = wide_to_long(base_wide.repartition("period_h"), bases)
     streams = [base_long]
     for suffix, kernel in (("_kd", smooth.gaussian_kernel(sigma, truncate)),
                            ("_neighbor_avg", smooth.uniform_kernel(focal_size))):
@@ -185,7 +174,7 @@ def wide_layers(counts: DataFrame, grid: GridSpec, ordering: list[str] = MAIN_OR
             continue
         src = base_long.filter(F.col("layer").isin(*[_base_of(k) for k in names]))
         src = src.select(F.concat(F.col("layer"), F.lit(suffix)).alias("layer"), "period_h", "row", "col", "value")
-        rows_done = smooth._axis_pass(src, kernel, "row", grid.n_rows, ["layer", "period_h"])
+        rows_done = smooth.axis_pass(src, kernel, "row", grid.n_rows, ["layer", "period_h"])
         streams.append(smooth.scatter_axis(rows_done, kernel, "col", grid.n_cols, ["layer", "period_h"])
                        .select("layer", "period_h", "row", "col", "value"))
     allv = union_layers(streams)

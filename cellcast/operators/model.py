@@ -24,29 +24,26 @@ class ForestPreset:
     max_bins: int
     feature_subset: str = "auto"
     impurity: str = "variance"
+    # Statistics of one pass over the rows; a deep level of many trees needs more than the default 256.
+    memory_mb: int = 256
+    bootstrap: bool = True
 
 
 # The two forest settings of the analysed jobs.
 MAIN_FOREST = ForestPreset(num_trees=50, max_depth=3, max_bins=32)
-DEEP_FOREST = ForestPreset(num_trees=300, max_depth=10, max_bins=64)
+DEEP_FOREST = ForestPreset(num_trees=300, max_depth=10, max_bins=64, memory_mb=2048)
 
 
 def split_bucket(keys: list[Column], seed: int) -> Column:
-    """Stable bucket 0..9999 from a hash of the keys (recomputation gives the same split)."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10000))
-
-
-def period_bucket(period_h: Column, seed: int) -> Column:
-    """Bucket 0..9999 of a period from the first 32 bits of md5('<period>:<seed>').
-    The period table has one row per hour, so the stronger, portable hash costs
-    nothing and any engine can reproduce the split."""
-    digest = F.md5(F.concat(period_h.cast("string"), F.lit(f":{int(seed)}")))
+    """Bucket 0..9999 from the first 32 bits of md5('<key>:...:<seed>'): recomputation gives the
+    same split, and any engine can reproduce it."""
+    digest = F.md5(F.concat_ws(":", *[k.cast("string") for k in keys], F.lit(str(int(seed)))))
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(10000))
 
 
 def split_periods(periods: DataFrame, train_fraction: float = 0.7, seed: int = 7) -> DataFrame:
     """``(period_h, split)``: whole periods go to 'train' or 'test'."""
-    b = period_bucket(F.col("period_h"), seed)
+    b = split_bucket([F.col("period_h")], seed)
     return periods.select("period_h", F.when(b < int(round(train_fraction * 10000)), "train")
                           .otherwise("test").alias("split"))
 
@@ -83,20 +80,42 @@ def reference_time_bounds() -> dict[str, int]:
     return {"train_after": hour(2013, 1, 10, 0), "test_from": hour(2013, 12, 1, 0)}
 
 
-def fit_forest(train: DataFrame, preset: ForestPreset = MAIN_FOREST, ordering=MAIN_ORDERING,
-               repeat_static: bool = False, weather: bool = True, seed: int = 11):
-    """Assemble features and fit a regression forest on ``label``."""
+def _forest(preset: ForestPreset, seed: int):
     from pyspark.ml.regression import RandomForestRegressor
 
-    rf = RandomForestRegressor(
+    return RandomForestRegressor(
         featuresCol="features", labelCol="label", predictionCol="prediction",
         numTrees=preset.num_trees, maxDepth=preset.max_depth, maxBins=preset.max_bins,
-        featureSubsetStrategy=preset.feature_subset, impurity=preset.impurity, seed=seed)
-    return rf.fit(assemble(train, ordering, repeat_static, weather))
+        featureSubsetStrategy=preset.feature_subset, impurity=preset.impurity, seed=seed,
+        maxMemoryInMB=preset.memory_mb, bootstrap=preset.bootstrap)
+
+
+def _vectors(rows: DataFrame, columns: list[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(rows)
+
+
+def _keyed(scored: DataFrame) -> DataFrame:
+    return scored.select("period_h", "row", "col", F.col("prediction").cast("double").alias("prediction"))
+
+
+def fit_columns(train: DataFrame, columns: list[str], preset: ForestPreset = MAIN_FOREST, seed: int = 11):
+    """Fit a regression forest on ``label`` over any columns."""
+    return _forest(preset, seed).fit(_vectors(train, columns))
+
+
+def predict_columns(model, rows: DataFrame, columns: list[str]) -> DataFrame:
+    return _keyed(model.transform(_vectors(rows, columns)))
+
+
+def fit_forest(train: DataFrame, preset: ForestPreset = MAIN_FOREST, ordering=MAIN_ORDERING,
+               repeat_static: bool = False, weather: bool = True, seed: int = 11):
+    """Assemble features and fit a regression forest on ``label``."""
+    return _forest(preset, seed).fit(assemble(train, ordering, repeat_static, weather))
 
 
 def predict(model, rows: DataFrame, ordering=MAIN_ORDERING, repeat_static: bool = False,
             weather: bool = True) -> DataFrame:
     """``(period_h, row, col, prediction)`` for every feature row."""
-    scored = model.transform(assemble(rows, ordering, repeat_static, weather))
-    return scored.select("period_h", "row", "col", F.col("prediction").cast("double").alias("prediction"))
+    return _keyed(model.transform(assemble(rows, ordering, repeat_static, weather)))

@@ -63,7 +63,7 @@ def scatter_axis(df: DataFrame, kernel, axis: str, n: int, keys: list[str]) -> D
     return moved.filter(F.col(axis).between(0, n - 1)).select(*keys, "row", "col", "value")
 
 
-def _axis_pass(df: DataFrame, kernel, axis: str, n: int, keys: list[str]) -> DataFrame:
+def axis_pass(df: DataFrame, kernel, axis: str, n: int, keys: list[str]) -> DataFrame:
     moved = scatter_axis(df, kernel, axis, n, keys)
     return moved.groupBy(*keys, "row", "col").agg(F.sum("value").alias("value"))
 
@@ -75,8 +75,8 @@ def separable_filter(layers: DataFrame, kernel, grid: GridSpec,
     if len(kernel) == 1 and kernel[0][0] == 0:
         w = kernel[0][1]
         return layers.select(*keys, "row", "col", (F.col("value") * (w * w)).alias("value"))
-    rows_done = _axis_pass(layers.select(*keys, "row", "col", "value"), kernel, "row", grid.n_rows, keys)
-    return _axis_pass(rows_done, kernel, "col", grid.n_cols, keys)
+    rows_done = axis_pass(layers.select(*keys, "row", "col", "value"), kernel, "row", grid.n_rows, keys)
+    return axis_pass(rows_done, kernel, "col", grid.n_cols, keys)
 
 
 def kernel_density(layers: DataFrame, grid: GridSpec, sigma: float = 1.0, truncate: float = 4.0,

@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from cellcast.sources import weather as W
 from cellcast.operators import counts as C
 from cellcast.operators import lags as L
 from cellcast.sources import testdata as T
-from cellcast.sources.trips import project_trips, split_trip_lines, spread_partitions
+from cellcast.sources.trips import project_trips, split_trip_lines, spread, trip_cells
 
 GRID = TEST_1KM
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +44,10 @@ def query(fn: Query) -> Query:
 
 # ---- shared derived inputs ---------------------------------------------------------
 
-def trip_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_trip_lines(spread_partitions(T.trip_lines_from_events(T.load_events(spark, sf_dir))))
+def trip_fields(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The used fields of the trip lines, spread over the cluster's tasks."""
+    lines = T.trip_lines_from_events(T.load_events(spark, sf_dir))
+    return spread(split_trip_lines(lines), spark.sparkContext.defaultParallelism, keep)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +58,18 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cell_hour_counts(cells(spark, sf_dir))
 
 
+def held_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persisted counts, for queries that read them more than once (hours before the extent
+    gate, cells after it): the trips are parsed once. ``spark.catalog.clearCache()`` frees them."""
+    return C.persist_counts(counts(spark, sf_dir))
+
+
 # ---- projection and counts ---------------------------------------------------------
 
 @query
 def project_cells(spark, sf_dir):
     """PRJ1-5: trip line -> (trip, hour, cell)."""
-    return project_trips(trip_fields(spark, sf_dir), GRID,
+    return project_trips(trip_fields(spark, sf_dir, ("medallion",)), GRID,
                          keep=(F.col("medallion").cast("long").alias("trip_id"),))
 
 
@@ -134,11 +143,11 @@ def _round(c, name):
 
 
 def mask(spark):
-    return GEO.mask_cells(T.mask_cells_for_grid(spark, GRID))
+    return GEO.mask_cells(T.mask_cells_for_grid(spark, GRID), GRID)
 
 
 def geo(spark):
-    return GEO.geo_wide(T.geo_cells_for_grid(spark, GRID))
+    return GEO.geo_wide(T.geo_cells_for_grid(spark, GRID), GRID)
 
 
 def weather(spark, sf_dir):
@@ -306,7 +315,7 @@ def mask_expand(spark, sf_dir):
 
 
 def _features(spark, sf_dir, ordering=LY.MAIN_ORDERING, with_weather=True):
-    c = counts(spark, sf_dir)
+    c = held_counts(spark, sf_dir)
     el = LY.eligible_periods(LY.period_manifest(c, [LY.OBSERVED] + ordering), ordering)
     wide = LY.wide_layers(c, GRID, ordering)
     return FT.feature_table(wide, el, mask(spark), geo(spark),
@@ -314,16 +323,18 @@ def _features(spark, sf_dir, ordering=LY.MAIN_ORDERING, with_weather=True):
 
 
 def _feature_profile(ft):
-    skip = {"period_h"}
-    cols = [c for c in ft.columns if c not in skip]
-    return ft.groupBy("period_h").agg(F.count(F.lit(1)).alias("n_rows"),
-                                     *[F.round(F.sum(F.col(c).cast("double")), 6).alias(f"sum_{c}") for c in cols])
+    """Per period: rows, the sum of every column, and its sum weighted by the cell's number on
+    the grid, which changes when values move between the cells of a period."""
+    cols = [c for c in ft.columns if c != "period_h"]
+    place = (F.col("row") * GRID.n_cols + F.col("col") + 1).cast("double")
+    sums = [F.round(F.sum(F.col(c).cast("double")), 6).alias(f"sum_{c}") for c in cols]
+    placed = [F.round(F.sum(F.col(c).cast("double") * place), 3).alias(f"placed_{c}") for c in cols]
+    return ft.groupBy("period_h").agg(F.count(F.lit(1)).alias("n_rows"), *sums, *placed)
 
 
 @query
 def feature_table(spark, sf_dir):
-    """JN1-5 + O-FEAT columns: per period, the row count and the sum of every column
-    of the full feature table."""
+    """JN1-5 + O-FEAT columns: the full feature table, profiled per period by cell."""
     return _feature_profile(_features(spark, sf_dir))
 
 
@@ -335,8 +346,9 @@ def older_feature_table(spark, sf_dir):
 
 # ---- split, baseline, evaluation ---------------------------------------------------------
 
-def _test_eligible(spark, sf_dir):
-    split = M.time_holdout(eligible(spark, sf_dir), HOLDOUT_TEST_FROM)
+def _test_eligible(c):
+    el = LY.eligible_periods(LY.period_manifest(c, [LY.OBSERVED] + LY.MAIN_ORDERING), LY.MAIN_ORDERING)
+    split = M.time_holdout(el, HOLDOUT_TEST_FROM)
     return split.filter(F.col("split") == "test").select("period_h")
 
 
@@ -355,7 +367,7 @@ def hash_split(spark, sf_dir):
 @query
 def baseline_two_hour_avg(spark, sf_dir):
     """PRJ13 + ML8: two-hour layer halved, for test periods where it exists."""
-    c = counts(spark, sf_dir)
+    c = held_counts(spark, sf_dir)
     man = LY.period_manifest(c, ["two_hour"])
     test = M.time_holdout(man.select("period_h"), HOLDOUT_TEST_FROM).filter(F.col("split") == "test")
     two = LY.rasterize(L.two_hour(c), GRID, "n", unique_keys=True).join(test, "period_h", "left_semi")
@@ -371,7 +383,7 @@ def top_share(spark, sf_dir):
 
 
 def _obs_two(spark, sf_dir):
-    c = counts(spark, sf_dir)
+    c = held_counts(spark, sf_dir)
     obs = LY.rasterize(c, GRID, "n", unique_keys=True)
     two = LY.rasterize(L.two_hour(c), GRID, "n", unique_keys=True).select(
         "period_h", "row", "col", (F.col("value") / 2).alias("value"))
@@ -383,7 +395,7 @@ def _obs_two(spark, sf_dir):
 def period_intersection(spark, sf_dir):
     """JN7 + SET3: test periods with a prediction, an observed and a two-hour raster."""
     c, obs, two, man = _obs_two(spark, sf_dir)
-    pred_periods = _test_eligible(spark, sf_dir)
+    pred_periods = _test_eligible(c)
     return E.common_periods(pred_periods, man.filter(F.col("layer") == "observed"),
                             man.filter(F.col("layer") == "two_hour"))
 
@@ -394,7 +406,7 @@ def combined_stats(spark, sf_dir):
     c, obs, two, man = _obs_two(spark, sf_dir)
     stats = E.combined_stats(
         {"obs": obs, "two": two},
-        {"pred": _test_eligible(spark, sf_dir),
+        {"pred": _test_eligible(c),
          "obs": man.filter(F.col("layer") == "observed"),
          "two": man.filter(F.col("layer") == "two_hour")},
         area(spark))
@@ -431,18 +443,27 @@ def trips_rollup(spark, sf_dir):
 
 @query
 def line_quarantine(spark, sf_dir):
-    """SRC2: lines without 14 fields go to a side table; counts per outcome."""
+    """SRC2, PRJ5: lines without 14 fields or without a good pickup time go to a side table;
+    counts per outcome."""
     lines = T.damaged_trip_lines(T.load_events(spark, sf_dir))
     good, bad = split_trip_lines(lines, on_bad="quarantine")
-    g = good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("outcome"),
-                                                       F.lit(14).alias("n_fields"), "n")
-    b = bad.groupBy("n_fields").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("bad").alias("outcome"), "n_fields", "n")
+    g = good.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("outcome"),
+                                                                 F.lit(14).alias("n_fields"), "n")
+    b = bad.groupBy("reason", "n_fields").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("reason").alias("outcome"), "n_fields", "n")
     return g.unionByName(b)
 
 
+@query
+def trips_text_gz(spark, sf_dir):
+    """SRC1 + AGG1 over landed files: gzip text written, read back as a batch, counted."""
+    path = scratch_dir(spark, "trip-text")
+    T.trip_lines_from_events(T.load_events(spark, sf_dir)).repartition(3).write.option("compression", "gzip").text(path)
+    return C.cell_hour_counts(trip_cells(spark, path, GRID, partitions=spark.sparkContext.defaultParallelism))
+
+
 def _store_inputs(spark, sf_dir):
-    c = counts(spark, sf_dir)
+    c = held_counts(spark, sf_dir)
     man = LY.period_manifest(c, ["observed", "two_hour"])
     test = man.filter(F.col("period_h") >= HOLDOUT_TEST_FROM).select(
         F.col("layer").alias("grouping"), "period_h")
@@ -496,3 +517,97 @@ def stream_cell_counts(spark, sf_dir):
                  max_files_per_trigger=1, available_now=True)
     q.awaitTermination()
     return SC.read_counts(spark, f"{base}/out")
+
+
+@query
+def raster_store_rewrite(spark, sf_dir):
+    """SNK2-3 on a second run: every fifth period of the observed rasters is rewritten with
+    doubled values, every fifth after it as all-zero; cells and listing of the whole store."""
+    path = scratch_dir(spark, "layer-store")
+    stored, test = _store_inputs(spark, sf_dir)
+    RS.write_layers(stored, test, path, GRID)
+    fifth = F.col("period_h") % 5
+    again = test.filter((F.col("grouping") == "observed") & fifth.isin(0, 1))
+    doubled = stored.filter((F.col("grouping") == "observed") & (fifth == 0)).withColumn("value", F.col("value") * 2)
+    RS.write_layers(doubled, again, path, GRID)
+    listing = RS.list_rasters(spark, path).select(
+        F.lit("listed").alias("kind"), "grouping", "period_h", *[F.lit(None).cast(t).alias(c) for c, t in
+                                                                (("row", "int"), ("col", "int"), ("value", "double"))])
+    found = RS.read_layers(spark, path).select(F.lit("cell").alias("kind"), "grouping", "period_h", "row", "col", "value")
+    return found.unionByName(listing)
+
+
+@query
+def feature_vector(spark, sf_dir):
+    """O-FEAT: the vectors of the full feature table in both forms (52 entries, or 112 with the
+    static values after each layer), each entry summed per period with the cell's number as weight."""
+    ft = _features(spark, sf_dir)
+    place = (F.col("row") * GRID.n_cols + F.col("col") + 1).cast("double")
+    parts = []
+    for repeat in (False, True):
+        n = len(FT.feature_columns(LY.MAIN_ORDERING, repeat))
+        v = vector_to_array("features")
+        rows = FT.assemble(ft, LY.MAIN_ORDERING, repeat).select("period_h", place.alias("place"), v.alias("v"))
+        sums = [F.round(F.sum(F.col("v")[i] * F.col("place")), 3) if i < n else F.lit(None).cast("double") for i in range(112)]
+        parts.append(rows.groupBy("period_h").agg(F.count(F.lit(1)).alias("n_rows"), *[
+            x.alias(f"v{i}") for i, x in enumerate(sums) if i < n]).select(
+            F.lit(n).alias("size"), "period_h", "n_rows", *[F.col(f"v{i}") if i < n else sums[i].alias(f"v{i}") for i in range(112)]))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def row_split(spark, sf_dir):
+    """ML2: 70/30 split of rows by a seeded md5 bucket; per side and period, rows and the sum of
+    the cells' numbers."""
+    keys = FT.dense_keys(eligible(spark, sf_dir), mask(spark), GRID)
+    place = F.sum((F.col("row") * GRID.n_cols + F.col("col") + 1).cast("long"))
+    train, test = M.split_rows(keys, 0.7, seed=7)
+    sides = [df.select(F.lit(name).alias("split"), "*") for name, df in (("train", train), ("test", test))]
+    return sides[0].unionByName(sides[1]).groupBy("split", "period_h").agg(
+        F.count(F.lit(1)).alias("n_rows"), place.alias("cells"))
+
+
+# One tree of one split over all rows, which SQL can follow.
+SINGLE_SPLIT = M.ForestPreset(num_trees=1, max_depth=1, max_bins=32, feature_subset="all", bootstrap=False)
+
+
+@query
+def rf_single_tree(spark, sf_dir):
+    """ML3, ML5, PRJ14, JN6: a forest of one split on the hour of the day, fitted on the trips per
+    train hour, and its prediction for every test hour."""
+    hours = held_counts(spark, sf_dir).groupBy("period_h").agg(F.sum("n").cast("double").alias("label"))
+    rows = hours.join(M.split_periods(hours.select("period_h"), 0.7, seed=7), "period_h").withColumn(
+        "hour", F.pmod(F.col("period_h"), F.lit(24)).cast("double"))
+    # One order of the rows, so that the label sums are the same in every run.
+    rows = rows.select("period_h", F.lit(0).alias("row"), F.lit(0).alias("col"), "label", "hour", "split")
+    model = M.fit_columns(rows.filter("split = 'train'"), ["hour"], SINGLE_SPLIT)
+    out = M.predict_columns(model, rows.filter("split = 'test'"), ["hour"])
+    return out.select("period_h", _round("prediction", "prediction"))
+
+
+@query
+def weather_json_text(spark, sf_dir):
+    """SRC6 from landed text: responses written as JSON lines, read with their schema, flattened."""
+    path = scratch_dir(spark, "weather-json")
+    raw = T.weather_json_from_events(T.load_events(spark, sf_dir))
+    raw.write.json(path)
+    flat = W.flatten_weather_json(W.read_weather_json(spark, path, raw.schema))
+    return flat.select("datetime", *[_round(k, k) for k in W.WEATHER_KEYS])
+
+
+@query
+def weather_last_row(spark, sf_dir):
+    """SRC3 over several files: an hour in two files takes its values from the later path."""
+    path = scratch_dir(spark, "weather-csv")
+    flat = W.flatten_weather_json(T.weather_json_from_events(T.load_events(spark, sf_dir)))
+    W.write_weather_csv(flat, f"{path}/b")
+    W.write_weather_csv(flat.select("datetime", *[(F.col(k) + 1).alias(k) for k in W.WEATHER_KEYS]), f"{path}/a")
+    typed = W.weather_table(W.read_weather_csv(spark, [f"{path}/b", f"{path}/a"]))
+    return typed.select("period_h", *[_round(k, k) for k in W.WEATHER_KEYS])
+
+
+@query
+def weather_request_hours(spark, sf_dir):
+    """GEN2: request hours from 1 January up to the last event, which is left out."""
+    last = T.load_events(spark, sf_dir).agg(F.max("ts")).first()[0]
+    return P.hours_from_year(spark, last.year, last)

@@ -1,15 +1,15 @@
 """The main job: trips -> counts -> layers -> features -> forest -> predictions -> stats.
 
 Shuffle budget on the trip side: one for the cell-hour counts (partial
-aggregation first), one for all lag layers together, one for the row pass of
-the Gaussian filter, one for the final per-cell combine, one for the dense
-left join. Weather, the mask and the static layers are broadcast behind
-explicit size bounds (hours in the span, cells in the grid).
-
-Lineage is cut twice with reliable storage: the counts are persisted (a lost
-executor recomputes its blocks from the scan), and the feature table is
-written once to the shared checkpoint folder and read back, so training
-passes and scoring never re-run the layer stack.
+aggregation first), one of those counts by cell for all lag layers, one by
+period for smoothing and pivot, one by cell for the dense join. The mask and the
+static layers are broadcast behind a bound on the cells of the grid; for tables
+by hour the choice is left to Spark, which sees their size.
+
+The counts are persisted (a lost executor recomputes its blocks from the scan),
+and the feature table is written once to the shared checkpoint folder and read
+back, so training passes and scoring never re-run the layer stack. ``close()`` on
+the result deletes the table and releases the counts.
 """
 
 from __future__ import annotations
@@ -27,8 +27,7 @@ from cellcast.operators import features as FT
 from cellcast.operators import lags as L
 from cellcast.operators import layers as LY
 from cellcast.operators import model as M
-from cellcast.session import scratch_dir
-from cellcast.sources.geo import bounded_broadcast
+from cellcast.session import delete_path, scratch_dir
 from cellcast.sources.trips import trip_cells
 
 
@@ -52,28 +51,45 @@ class DemandModelConfig:
 
 @dataclass
 class DemandModelResult:
+    """What the job leaves: ``rasters`` and ``raster_periods`` hold, by grouping, the predicted,
+    observed and halved two-hour rasters of the test periods and the periods that have one."""
     model: object
     split: DataFrame
     features: DataFrame
     predictions: DataFrame
     stats: DataFrame
+    rasters: dict[str, DataFrame]
+    raster_periods: dict[str, DataFrame]
     extras: dict = field(default_factory=dict)
+    scratch: list[str] = field(default_factory=list)
+    held: list[DataFrame] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Drop what the job kept for its result: scratch tables and persisted counts. The
+        model stays usable, the tables do not."""
+        spark = self.split.sparkSession
+        for df in self.held:
+            df.unpersist()
+        for path in self.scratch:
+            delete_path(spark, path)
 
 
 def ingest(spark: SparkSession, trip_paths, grid: GridSpec = NYC_50M, on_bad: str = "fail",
-           zone: int | None = None) -> DataFrame:
-    """Trip text -> persisted cell-hour counts."""
-    return C.persist_counts(C.cell_hour_counts(trip_cells(spark, trip_paths, grid, on_bad, zone)))
+           zone: int | None = None, partitions: int | None = None) -> DataFrame:
+    """Trip text -> persisted cell-hour counts; unpersist them when done."""
+    return C.persist_counts(C.cell_hour_counts(trip_cells(spark, trip_paths, grid, on_bad, zone, partitions)))
 
 
-def _materialize(spark: SparkSession, df: DataFrame, how: str, name: str,
+def _materialize(spark: SparkSession, df: DataFrame, how: str, name: str, scratch: list[str],
                  partition_by: list[str] | None = None) -> DataFrame:
+    """Cut the lineage; the folder of a written table is added to ``scratch``."""
     if how == "none":
         return df
     if how == "checkpoint":
         return df.checkpoint(eager=True)
     if how == "table":
         path = scratch_dir(spark, name)
+        scratch.append(path)
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
@@ -97,14 +113,15 @@ def build_features(counts: DataFrame, mask: DataFrame, geo: DataFrame, weather:
 def run(spark: SparkSession, counts: DataFrame, mask: DataFrame, geo: DataFrame,
         weather: DataFrame | None, cfg: DemandModelConfig = DemandModelConfig()) -> DemandModelResult:
     ordering = list(cfg.ordering)
+    scratch: list[str] = []
+    # Layers, manifest and both baselines read the counts; without this each would parse the trips anew.
+    held = [] if counts.is_cached else [counts.persist(StorageLevel.MEMORY_AND_DISK)]
     manifest, eligible, feats = build_features(counts, mask, geo, weather, cfg)
 
     periods = manifest.select("period_h").distinct()
     split = M.split_periods(periods, cfg.train_fraction, cfg.split_seed)
-    # One row per period: bounded by the hours of the span.
-    tagged = feats.join(bounded_broadcast(split.join(eligible, "period_h", "left_semi"),
-                                          FT.MAX_SPAN_HOURS, 16), "period_h")
-    tagged = _materialize(spark, tagged, cfg.materialize, "features", ["split"])
+    tagged = feats.join(split.join(eligible, "period_h", "left_semi"), "period_h")
+    tagged = _materialize(spark, tagged, cfg.materialize, "features", scratch, ["split"])
 
     train = tagged.filter(F.col("split") == "train").drop("split")
     test = tagged.filter(F.col("split") == "test").drop("split")
@@ -112,19 +129,24 @@ def run(spark: SparkSession, counts: DataFrame, mask: DataFrame, geo: DataFrame,
     predictions = M.predict(model, test, ordering, cfg.repeat_static, cfg.with_weather)
 
     test_periods = split.filter(F.col("split") == "test").select("period_h")
-    obs = LY.rasterize(counts, cfg.grid, "n", unique_keys=True)
-    two = LY.rasterize(L.two_hour(counts), cfg.grid, "n", unique_keys=True) \
-        .select("period_h", "row", "col", (F.col("value") / 2).alias("value"))
+
+    def test_layer(name: str) -> DataFrame:
+        return (manifest.filter(F.col("layer") == name).select("period_h")
+                .join(test_periods, "period_h", "left_semi"))
+
+    obs = LY.rasterize(counts, cfg.grid, "n", unique_keys=True).join(test_periods, "period_h", "left_semi")
+    two = (LY.rasterize(L.two_hour(counts), cfg.grid, "n", unique_keys=True).join(test_periods, "period_h", "left_semi")
+           .select("period_h", "row", "col", (F.col("value") / 2).alias("value")))
     pred = predictions.select("period_h", "row", "col", F.col("prediction").alias("value"))
     area = cfg.area if cfg.area is not None else mask.agg(F.count(F.lit(1))).scalar()
+    raster_periods = {"observed": test_layer(LY.OBSERVED), "two_hour": test_layer("two_hour"),
+                      "predicted": test_periods.join(eligible, "period_h", "left_semi")}
     stats = E.combined_stats(
         {"obs": obs, "pred": pred, "two": two},
-        {"pred": test_periods.join(eligible, "period_h", "left_semi"),
-         "obs": manifest.filter(F.col("layer") == LY.OBSERVED).join(test_periods, "period_h", "left_semi"),
-         "two": manifest.filter(F.col("layer") == "two_hour").join(test_periods, "period_h", "left_semi")},
-        area)
+        {"pred": raster_periods["predicted"], "obs": raster_periods["observed"], "two": raster_periods["two_hour"]}, area)
     return DemandModelResult(model, split, tagged, predictions, stats,
-                             {"eligible": eligible, "manifest": manifest})
+                             {"observed": obs, "two_hour": two, "predicted": pred}, raster_periods,
+                             {"eligible": eligible, "manifest": manifest}, scratch, held)
 
 
 def trip_summaries(counts: DataFrame) -> tuple[DataFrame, DataFrame]:

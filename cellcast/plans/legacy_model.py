@@ -13,6 +13,7 @@ from cellcast.functions.grid import NYC_50M, GridSpec
 from cellcast.operators import features as FT
 from cellcast.operators import layers as LY
 from cellcast.operators import model as M
+from cellcast.session import delete_path
 from cellcast.plans.demand_model import _materialize, trip_summaries
 
 
@@ -35,8 +36,15 @@ def run(spark: SparkSession, counts: DataFrame, mask: DataFrame, geo: DataFrame,
     eligible = LY.eligible_periods(manifest, ordering)
     wide = LY.wide_layers(counts, cfg.grid, ordering)
     feats = FT.feature_table(wide, eligible, mask, geo, None, cfg.grid, ordering)
-    feats = _materialize(spark, feats, cfg.materialize, "legacy-features")
+    scratch: list[str] = []
+    feats = _materialize(spark, feats, cfg.materialize, "legacy-features", scratch)
     train, test = M.split_rows(feats, cfg.train_fraction, cfg.split_seed)
     model = M.fit_forest(train, cfg.forest, ordering, cfg.repeat_static, weather=False, seed=cfg.forest_seed)
-    return {"model": model, "by_day": by_day, "by_month": by_month, "train": train, "test": test,
+
+    def close() -> None:
+        by_day.unpersist()
+        for path in scratch:
+            delete_path(spark, path)
+
+    return {"close": close, "model": model, "by_day": by_day, "by_month": by_month, "train": train, "test": test,
             "n_features": feats.agg(F.count(F.lit(1))).first()[0]}

@@ -10,13 +10,31 @@ the last bits, on both sides.
 
 from __future__ import annotations
 
-from cellcast.functions.grid import (
-    TEST_1KM, UTM_A, UTM_E2, UTM_EP2, UTM_K0, UTM_M1, UTM_M2, UTM_M3, UTM_M4, GridSpec,
-)
+from typing import NamedTuple
+
 from cellcast.sources.geo import GEO_LAYERS
 from cellcast.sources.weather import WEATHER_KEYS
 
-G = TEST_1KM
+
+class Grid(NamedTuple):
+    """The test grid, written out here so that the SQL shares no constant with the code it checks."""
+    x_min: float = 562786.017
+    y_max: float = 4530093.928
+    cell_width: float = 1000.0
+    cell_height: float = 1000.0
+    n_rows: int = 48
+    n_cols: int = 47
+
+
+G = Grid()
+# WGS84 from its axis and flattening; the meridian series follows from the eccentricity.
+UTM_A, _FLATTENING, UTM_K0 = 6378137.0, 1 / 298.257223563, 0.9996
+UTM_E2 = _FLATTENING * (2 - _FLATTENING)
+UTM_EP2 = UTM_E2 / (1 - UTM_E2)
+UTM_M1 = 1 - UTM_E2 / 4 - 3 * UTM_E2**2 / 64 - 5 * UTM_E2**3 / 256
+UTM_M2 = 3 * UTM_E2 / 8 + 3 * UTM_E2**2 / 32 + 45 * UTM_E2**3 / 1024
+UTM_M3 = 15 * UTM_E2**2 / 256 + 45 * UTM_E2**3 / 1024
+UTM_M4 = 35 * UTM_E2**3 / 3072
 EPOCH_SQL = "TIMESTAMP '2012-01-01 00:00:00'"
 
 
@@ -44,7 +62,7 @@ def _utm_sql(lat: str, lng: str) -> tuple[str, str]:
     return f"(CASE WHEN {ok} THEN {x} ELSE 0.0 END)", f"(CASE WHEN {ok} THEN {y} ELSE 0.0 END)"
 
 
-def _cells_cte(grid: GridSpec = G) -> str:
+def _cells_cte(grid: Grid = G) -> str:
     """CTE ``cells(trip_id, period_h, row, col)``: one row per event."""
     lat = ("CASE WHEN event_id % 97 = 0 THEN 0.0 WHEN event_id % 101 = 0 THEN 95.0 "
            "WHEN event_id % 107 = 0 THEN 40.92 "
@@ -85,7 +103,7 @@ def _trailing_cte(name: str, lo: int, hi: int) -> str:
     )"""
 
 
-def _in_extent(r: str = "row", c: str = "col", grid: GridSpec = G) -> str:
+def _in_extent(r: str = "row", c: str = "col", grid: Grid = G) -> str:
     return f"({r} BETWEEN 0 AND {grid.n_rows - 1} AND {c} BETWEEN 0 AND {grid.n_cols - 1})"
 
 
@@ -122,7 +140,7 @@ HOLDOUT = "(SELECT CAST(date_diff('hour', TIMESTAMP '2012-01-01 00:00:00', TIMES
 
 
 def _layers_cte(names_kd=("two_hour", "four_hour", "eight_hour"), older: bool = False,
-                grid: GridSpec = G) -> str:
+                grid: Grid = G) -> str:
     """CTE ``lay(layer, period_h, row, col, value)``: observed + lag layers in extent, plus
     Gaussian (gather over reflected index maps) and size-1 focal layers."""
     n_r, n_c = grid.n_rows, grid.n_cols
@@ -160,7 +178,7 @@ def _map_cte(name: str, n: int, taps: str) -> str:
     )"""
 
 
-def _gauss_maps_cte(grid: GridSpec = G) -> str:
+def _gauss_maps_cte(grid: Grid = G) -> str:
     kw = """kw AS (
       SELECT k, exp(-0.5 * k * k) / (SELECT sum(exp(-0.5 * j * j)) FROM range(-4, 5) s(j)) AS w
       FROM range(-4, 5) s(k)
@@ -300,7 +318,7 @@ def _geo_cols(r: str = "row", c: str = "col") -> list[str]:
             for j, k in enumerate(GEO_LAYERS, start=1)]
 
 
-def _grid_cte(grid: GridSpec = G) -> str:
+def _grid_cte(grid: Grid = G) -> str:
     return f"""gridc AS (
       SELECT CAST(r.r AS INTEGER) AS row, CAST(c.c AS INTEGER) AS col
       FROM range(0, {grid.n_rows}) r(r), range(0, {grid.n_cols}) c(c)
@@ -317,7 +335,7 @@ SQL["mask_expand"] = _with(_cells_cte(), _hours_cte(), _eligible_cte(), _grid_ct
 SELECT e.period_h, m.row, m.col FROM elig e, maskc m"""
 
 
-def _features_sql(older: bool) -> str:
+def _features_sql(older: bool, profile=None) -> str:
     names = OLDER_NAMES if older else MAIN_NAMES[1:]
     pivot = ",\n       ".join(f"max(CASE WHEN layer = '{k}' THEN value END) AS {k}" for k in ["observed"] + names)
     ctes = [_cells_cte(), _hours_cte(), _eligible_cte(), _grid_cte(), _layers_cte(older=older),
@@ -340,10 +358,14 @@ def _features_sql(older: bool) -> str:
     if not older:
         joins += "JOIN wx x ON x.period_h = e.period_h "
     cols = ["row", "col", "label", "month", "day", "hour"] + wd + ([] if older else WEATHER_KEYS) + names + GEO_LAYERS
-    sums = ", ".join(f"round(sum({k}), 6) AS sum_{k}" for k in cols)
+    sums = ", ".join([f"round(sum({k}), 6) AS sum_{k}" for k in cols]
+                     + [f"round(sum({k} * (row * {G.n_cols} + col + 1)), 3) AS placed_{k}" for k in cols])
+    rows = f"(SELECT e.period_h, {', '.join(feat)} FROM elig e, maskc m {joins})"
+    if profile:
+        return _with(*ctes, f"ft AS {rows}") + profile
     return _with(*ctes) + f"""
 SELECT period_h, CAST(count(*) AS BIGINT) AS n_rows, {sums}
-FROM (SELECT e.period_h, {", ".join(feat)} FROM elig e, maskc m {joins})
+FROM {rows}
 GROUP BY period_h"""
 
 
@@ -416,10 +438,11 @@ SELECT CAST(day_key // 100 AS INTEGER) AS month_key, CAST(NULL AS INTEGER) AS da
 FROM d GROUP BY 1"""
 
 SQL["line_quarantine"] = """
-SELECT 'good' AS outcome, 14 AS n_fields, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id % 89 <> 0
-UNION ALL
-SELECT 'bad' AS outcome, 13 AS n_fields, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id % 89 = 0
-HAVING count(*) > 0"""
+SELECT CASE WHEN event_id % 89 = 0 THEN 'fields' WHEN event_id % 83 = 0 OR event_id % 79 = 0 THEN 'datetime' ELSE 'good' END AS outcome,
+       CASE WHEN event_id % 89 = 0 THEN 13 ELSE 14 END AS n_fields, CAST(count(*) AS BIGINT) AS n
+FROM events GROUP BY ALL"""
+
+SQL["trips_text_gz"] = SQL["trips_cell_hour"]
 
 _STORE = _with(_cells_cte(), _hours_cte(), _manifest_cte(), _trailing_cte("two", 1, 2)) + f"""
 , test AS (SELECT layer AS grouping, period_h FROM man
@@ -448,3 +471,61 @@ SELECT period_h,
        CASE WHEN CAST(('0x' || substr(md5(CAST(period_h AS VARCHAR) || ':7'), 1, 8)) AS BIGINT) % 10000 < 7000
             THEN 'train' ELSE 'test' END AS split
 FROM elig"""
+
+
+SQL["raster_store_rewrite"] = _STORE + f"""
+, first AS (
+  SELECT 'observed' AS grouping, period_h, row, col, CAST(n AS DOUBLE) AS value FROM counts WHERE {_in_extent()}
+  UNION ALL
+  SELECT 'two_hour' AS grouping, period_h, row, col, CAST(n AS DOUBLE) / 2 AS value FROM two WHERE {_in_extent()})
+SELECT 'cell' AS kind, s.grouping, CAST(s.period_h AS INTEGER) AS period_h, s.row, s.col,
+       CASE WHEN s.grouping = 'observed' AND s.period_h % 5 = 0 THEN 2 * s.value ELSE s.value END AS value
+FROM first s JOIN test t ON t.grouping = s.grouping AND t.period_h = s.period_h
+WHERE NOT (s.grouping = 'observed' AND s.period_h % 5 = 1)
+UNION ALL
+SELECT 'listed', grouping, CAST(period_h AS INTEGER), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE) FROM test"""
+
+
+def _vector_sql() -> str:
+    head = ["row", "col", "month", "day", "hour", "wd_mon", "wd_tue", "wd_wed", "wd_thu", "wd_fri", "wd_sat", "wd_sun",
+            *WEATHER_KEYS]
+    layers = MAIN_NAMES[1:]
+    forms = [head + layers + GEO_LAYERS, head + [x for k in layers for x in [k, *GEO_LAYERS]]]
+    parts = []
+    for names in forms:
+        sums = [f"round(sum({k} * (row * {G.n_cols} + col + 1)), 3) AS v{i}" for i, k in enumerate(names)]
+        sums += [f"CAST(NULL AS DOUBLE) AS v{i}" for i in range(len(names), 112)]
+        parts.append(f"SELECT {len(names)} AS size, period_h, CAST(count(*) AS BIGINT) AS n_rows, {', '.join(sums)} FROM ft GROUP BY period_h")
+    return _features_sql(False, "\n" + "\nUNION ALL\n".join(parts))
+
+
+SQL["feature_vector"] = _vector_sql()
+
+SQL["row_split"] = _with(_cells_cte(), _hours_cte(), _eligible_cte(), _grid_cte()) + f"""
+SELECT CASE WHEN CAST(('0x' || substr(md5(e.period_h || ':' || m.row || ':' || m.col || ':7'), 1, 8)) AS BIGINT) % 10000 < 7000
+            THEN 'train' ELSE 'test' END AS split, e.period_h, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(sum(m.row * {G.n_cols} + m.col + 1) AS BIGINT) AS cells
+FROM elig e, maskc m GROUP BY ALL"""
+
+SQL["rf_single_tree"] = _with(_cells_cte()) + """
+, h AS (SELECT period_h, period_h % 24 AS hour, CAST(sum(n) AS DOUBLE) AS label,
+               CAST(('0x' || substr(md5(period_h || ':7'), 1, 8)) AS BIGINT) % 10000 < 7000 AS train
+        FROM counts GROUP BY period_h),
+t AS (SELECT hour, label FROM h WHERE train),
+cuts AS (SELECT DISTINCT hour AS cut FROM t WHERE hour < (SELECT max(hour) FROM t)),
+gain AS (
+  SELECT cut, sum(label) FILTER (hour <= cut) / count(*) FILTER (hour <= cut) AS low,
+         sum(label) FILTER (hour > cut) / count(*) FILTER (hour > cut) AS high,
+         pow(sum(label) FILTER (hour <= cut), 2) / count(*) FILTER (hour <= cut)
+         + pow(sum(label) FILTER (hour > cut), 2) / count(*) FILTER (hour > cut) AS explained
+  FROM cuts, t GROUP BY cut),
+best AS (SELECT * FROM gain ORDER BY explained DESC, cut LIMIT 1)
+SELECT period_h, round(CASE WHEN hour <= cut THEN low ELSE high END, 6) AS prediction FROM h, best WHERE NOT train"""
+
+SQL["weather_json_text"] = SQL["weather_flatten"]
+SQL["weather_last_row"] = SQL["weather_csv_roundtrip"]
+
+SQL["weather_request_hours"] = f"""
+SELECT CAST(x AS INTEGER) AS period_h FROM (
+  SELECT unnest(range({_hour("date_trunc('year', m)")}, {_hour('m')} + CASE WHEN m > date_trunc('hour', m) THEN 1 ELSE 0 END)) AS x
+  FROM (SELECT max(ts) AS m FROM events))"""

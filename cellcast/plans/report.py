@@ -3,6 +3,8 @@ three groupings (predicted, observed, two_hour), the top-share stats of each."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +16,12 @@ from cellcast.functions.grid import GridSpec
 GROUPINGS = {"observed": "obs", "predicted": "pred", "two_hour": "two"}
 
 
-def store_outputs(result, counts_two_half: DataFrame, observed: DataFrame, path: str, grid: GridSpec) -> None:
-    """Write predicted, observed and halved two-hour rasters of the test periods."""
-    pred = result.predictions.select(F.lit("predicted").alias("grouping"), "period_h", "row", "col",
-                                     F.col("prediction").alias("value"))
-    obs = observed.select(F.lit("observed").alias("grouping"), "period_h", "row", "col", "value")
-    two = counts_two_half.select(F.lit("two_hour").alias("grouping"), "period_h", "row", "col", "value")
-    cells = pred.unionByName(obs).unionByName(two)
-    periods = result.stats.select("period_h").distinct()
-    manifest = periods.select(F.explode(F.array(*[F.lit(g) for g in GROUPINGS])).alias("grouping"), "period_h")
-    write_layers(cells.join(periods, "period_h", "left_semi"), manifest, path, grid)
+def store_outputs(result, path: str, grid: GridSpec) -> None:
+    """Write the predicted, observed and halved two-hour rasters of the test periods: each
+    grouping for all test periods that have its raster, not only those that have all three."""
+    rasters = [r.select(F.lit(g).alias("grouping"), "period_h", "row", "col", "value") for g, r in result.rasters.items()]
+    periods = [p.select(F.lit(g).alias("grouping"), "period_h") for g, p in result.raster_periods.items()]
+    write_layers(reduce(DataFrame.unionByName, rasters), reduce(DataFrame.unionByName, periods), path, grid)
 
 
 def concentration_report(spark: SparkSession, path: str, area: int) -> DataFrame:

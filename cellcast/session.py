@@ -15,6 +15,8 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A join on (period, cell) may use a partitioning by cell alone: see operators.features.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -65,3 +67,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = os.path.dirname(ensure_checkpoint_dir(spark).rstrip("/"))
     return f"{base.rstrip('/')}/cellcast-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`scratch_dir` gave out, by the file system it lies in."""
+    if "/cellcast-" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

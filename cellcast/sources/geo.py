@@ -8,10 +8,10 @@ explicit in :func:`bounded_broadcast`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellcast.functions.grid import GridSpec
+from cellcast.functions.grid import GridSpec, in_extent
 
 # The six static layers, in feature order.
 GEO_LAYERS = ["roads", "roads_distance", "transport", "transport_distance",
@@ -33,25 +33,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int, row_bytes: int,
     return df
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def geo_wide(geo_long: DataFrame, layers=GEO_LAYERS) -> DataFrame:
-    """``(layer, row, col, value)`` -> ``(row, col, <one column per layer>)``.
+def geo_wide(geo_long: DataFrame, grid: GridSpec, layers=GEO_LAYERS) -> DataFrame:
+    """``(layer, row, col, value)`` -> ``(row, col, <one column per layer>)``, cells of the grid.
     A cell missing from a layer reads as 0, like a dense raster."""
-    wide = geo_long.groupBy("row", "col").pivot("layer", list(layers)).agg(F.first("value"))
+    wide = geo_long.filter(in_extent(F.col("row"), F.col("col"), grid)).groupBy("row", "col").pivot("layer", list(layers)).agg(F.first("value"))
     return wide.select("row", "col", *[F.coalesce(F.col(k), F.lit(0.0)).cast("double").alias(k)
                                        for k in layers])
 
 
-def mask_cells(mask_raster: DataFrame) -> DataFrame:
-    """Cells of the study area: mask value equal to 1."""
-    return mask_raster.filter(F.col("value") == 1).select("row", "col")
-
-
-def mask_with_geo(mask: DataFrame, geo: DataFrame, grid: GridSpec, layers=GEO_LAYERS) -> DataFrame:
-    """Mask cells with their static values, joined once (bounded by the grid)."""
-    g = bounded_broadcast(geo, grid.n_cells, 16 + 8 * len(layers))
-    out = mask.join(g, ["row", "col"], "left")
-    return out.select("row", "col", *[F.coalesce(F.col(k), F.lit(0.0)).alias(k) for k in layers])
+def mask_cells(mask_raster: DataFrame, grid: GridSpec) -> DataFrame:
+    """Cells of the study area: mask value equal to 1, on the grid, each once. So the mask
+    has at most ``grid.n_cells`` rows, whatever the raster holds."""
+    return (mask_raster.filter((F.col("value") == 1) & in_extent(F.col("row"), F.col("col"), grid))
+            .select("row", "col").distinct())

@@ -1,18 +1,22 @@
 """The layer store: rasters kept as cell tables, partitioned by grouping and period.
 
-``write_layers`` replaces exactly the (grouping, period) partitions it writes
-(dynamic partition overwrite), so re-running a period replaces that period.
-A period manifest is stored next to the cells, because an all-zero raster has
-no cells but still exists.
+``write_layers`` replaces exactly the (grouping, period) rasters it is given. Every write
+has an id; a manifest row per raster names the write that holds its cells, and readers
+take the cells of that write only. So a raster that is rewritten without any non-zero
+cell still replaces the old one, although no cell partition is written for it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellcast.functions.grid import GridSpec, cell_center
 
+RASTER = ["grouping", "period_h"]
+
 
 def with_centres(raster: DataFrame, grid: GridSpec) -> DataFrame:
     """Add map coordinates ``x``, ``y`` of each cell centre."""
@@ -21,27 +25,32 @@ def with_centres(raster: DataFrame, grid: GridSpec) -> DataFrame:
 
 
 def write_layers(cells: DataFrame, periods: DataFrame, path: str, grid: GridSpec) -> None:
-    """Write ``(grouping, period_h, row, col, value)`` non-zero cells and the
-    ``(grouping, period_h)`` manifest under ``path``."""
-    out = with_centres(cells.filter(F.col("value") != 0), grid)
-    (out.repartition("grouping", "period_h")
+    """Write ``(grouping, period_h, row, col, value)`` non-zero cells of the rasters that the
+    ``(grouping, period_h)`` manifest lists; cells of other rasters are left out."""
+    write_id = uuid.uuid4().hex
+    listed = periods.select(*RASTER).distinct()
+    out = with_centres(cells.filter(F.col("value") != 0).join(listed, RASTER, "left_semi"), grid)
+    (out.withColumn("write_id", F.lit(write_id)).repartition(*RASTER)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("grouping", "period_h").parquet(f"{path}/cells"))
-    (periods.select("grouping", "period_h").distinct()
+        .partitionBy(*RASTER).parquet(f"{path}/cells"))
+    (listed.withColumn("write_id", F.lit(write_id)).repartition(*RASTER)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("grouping").parquet(f"{path}/periods"))
+        .partitionBy(*RASTER).parquet(f"{path}/periods"))
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("write_id string, grouping string, period_h int").parquet(f"{path}/periods")
 
 
 def read_layers(spark: SparkSession, path: str, grouping: str | None = None) -> DataFrame:
     """Cells of the store; a grouping filter prunes partitions."""
-    df = spark.read.parquet(f"{path}/cells")
+    cells, manifest = spark.read.parquet(f"{path}/cells"), _manifest(spark, path)
     if grouping is not None:
-        df = df.filter(F.col("grouping") == grouping)
-    return df.select("grouping", F.col("period_h").cast("int").alias("period_h"),
-                     "row", "col", "value", "x", "y")
+        cells, manifest = (df.filter(F.col("grouping") == grouping) for df in (cells, manifest))
+    cells = cells.withColumn("period_h", F.col("period_h").cast("int"))
+    return cells.join(manifest, [*RASTER, "write_id"], "left_semi").select(*RASTER, "row", "col", "value", "x", "y")
 
 
 def list_rasters(spark: SparkSession, path: str) -> DataFrame:
     """``(grouping, period_h)`` of every stored raster, all-zero ones included."""
-    df = spark.read.parquet(f"{path}/periods")
-    return df.select("grouping", F.col("period_h").cast("int").alias("period_h"))
+    return _manifest(spark, path).select(*RASTER)

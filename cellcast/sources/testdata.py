@@ -61,11 +61,6 @@ def trip_lines_from_events(events: DataFrame) -> DataFrame:
     return events.select(F.concat_ws(",", *[fields[c] for c in TRIP_COLUMNS]).alias("value"))
 
 
-def event_hours(events: DataFrame) -> DataFrame:
-    """Distinct hour indexes that hold events."""
-    return events.select(hour_index(F.col("ts")).alias("period_h")).distinct()
-
-
 def event_hour_bounds(events: DataFrame) -> DataFrame:
     """One row ``(lo, hi)``: first and last event hour."""
     h = hour_index(F.col("ts"))
@@ -136,10 +131,23 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
-def damaged_trip_lines(events: DataFrame, every: int = 89) -> DataFrame:
-    """Trip lines where every ``every``-th event (by id, the first field) loses its
-    last field, leaving 13 fields."""
+def damaged_trip_lines(events: DataFrame) -> DataFrame:
+    """Trip lines of which some are bad, by event id (the first field): every 89th loses its last
+    field; of the rest, every 83rd has the header's word for its pickup time, and of the rest
+    every 79th hour 25."""
     lines = trip_lines_from_events(events)
     trip_id = F.substring_index(F.col("value"), ",", 1).cast("long")
-    return lines.select(F.when(trip_id % every == 0, F.regexp_replace("value", ",[^,]*$", ""))
-                        .otherwise(F.col("value")).alias("value"))
+    at = TRIP_COLUMNS.index("pickup_datetime")
+
+    def with_time(text: Column) -> Column:
+        parts = F.split("value", ",", -1)
+        return F.array_join(F.concat(F.slice(parts, 1, at), F.array(text), F.slice(parts, at + 2, 14)), ",")
+
+    time = F.split("value", ",", -1)[at]
+    damaged = (
+        F.when(trip_id % 89 == 0, F.regexp_replace("value", ",[^,]*$", ""))
+        .when(trip_id % 83 == 0, with_time(F.lit("pickup_datetime")))
+        .when(trip_id % 79 == 0, with_time(F.concat(F.substring(time, 1, 11), F.lit("25:00:00"))))
+        .otherwise(F.col("value")))
+    # inline() makes the line a value, as if read from a file: what parses it does not repeat the rules.
+    return lines.select(F.inline(F.array(F.struct(F.col("value"))))).select(F.inline(F.array(F.struct(damaged.alias("value")))))

@@ -25,53 +25,71 @@ TRIP_COLUMNS = [
 _DATETIME = r"^\s*([0-9]+)-([0-9]+)-([0-9]+)\s+([0-9]+):([0-9]+):([^:\s]*)\s*$"
 
 
-def read_trip_lines(spark: SparkSession, path: str | list[str], min_partitions: int | None = None) -> DataFrame:
-    """One ``value`` row per line (see :func:`spread_partitions`)."""
-    return spread_partitions(spark.read.text(path), min_partitions)
+# Fields that the projection reads.
+USED_COLUMNS = ["pickup_datetime", "pickup_longitude", "pickup_latitude"]
 
 
-def spread_partitions(lines: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread lines over at least ``min_partitions`` tasks (default: the cluster's
-    parallelism) when the source arrives in fewer, e.g. a few large gzip files,
-    which cannot be split. Parsing and projection are the CPU-heavy part and run
-    after this. With many input files this is a no-op: no shuffle is added."""
-    try:
-        want = min_partitions or lines.sparkSession.sparkContext.defaultParallelism
-        have = lines.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave as is
-        return lines
-    return lines.repartition(want) if have < want else lines
+def read_trip_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One ``value`` row per line; gzip files are read as they are, one task each."""
+    return spark.read.text(path)
+
+
+def spread(trips: DataFrame, partitions: int | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Spread the used fields of the trips by their hash over ``partitions`` tasks, for sources
+    of a few files that cannot be split; the costly projection runs after this. ``None``
+    leaves the trips where the scan put them, without a shuffle."""
+    narrow = trips.select(*keep, *USED_COLUMNS)
+    return narrow if partitions is None else narrow.repartition(partitions, *USED_COLUMNS)
+
+
+def _datetime_parts(text: Column) -> Column:
+    """Year, month, day, hour, minute, second of a text that has the shape of a datetime."""
+    return F.split(F.trim(text), r"[-:\s]+")
+
+
+def good_datetime(text: Column) -> Column:
+    """Whether a text is a datetime of the calendar: right shape, real date, hour below 24."""
+    parts = _datetime_parts(text)
+    number = [parts[i].try_cast("int") for i in range(4)]
+    date = F.try_make_timestamp(number[0], number[1], number[2], F.lit(0), F.lit(0), F.lit(0))
+    return F.coalesce(text.rlike(_DATETIME) & date.isNotNull() & (number[3] < 24), F.lit(False))
 
 
 def split_trip_lines(lines: DataFrame, on_bad: str = "fail", value_col: str = "value"):
     """Split lines into the 14 named string columns.
 
-    ``on_bad``: ``'fail'`` raises on the first line without exactly 14 fields,
-    ``'drop'`` removes such lines, ``'quarantine'`` returns ``(good, bad)``.
+    A line is bad without exactly 14 fields, or without a good pickup time (a header line,
+    an impossible date, an hour past 23). ``on_bad``: ``'fail'`` raises on the first bad
+    line, ``'drop'`` removes bad lines, ``'quarantine'`` returns ``(good, bad)`` where bad
+    has the line, its number of fields and the reason.
     """
     parts = F.split(F.col(value_col), ",", -1)
     with_parts = lines.select(F.col(value_col).alias("_line"), parts.alias("_parts"))
-    ok = F.size("_parts") == len(TRIP_COLUMNS)
+    whole = F.size("_parts") == len(TRIP_COLUMNS)
+    timed = good_datetime(F.get("_parts", F.lit(TRIP_COLUMNS.index("pickup_datetime"))))
+    ok = whole & timed
     fields = [F.col("_parts")[i].alias(name) for i, name in enumerate(TRIP_COLUMNS)]
     if on_bad == "fail":
+        # The pickup time is checked where it is parsed, so that no line is parsed twice.
         checked = with_parts.select(
-            F.when(ok, F.col("_parts")).otherwise(
+            F.when(whole, F.col("_parts")).otherwise(
                 F.raise_error(F.concat(F.lit("trip line without 14 fields: "), F.col("_line")))
             ).alias("_parts"))
         return checked.select(*fields)
     if on_bad == "drop":
         return with_parts.filter(ok).select(*fields)
     if on_bad == "quarantine":
+        reason = F.when(~whole, "fields").otherwise("datetime")
         return with_parts.filter(ok).select(*fields), with_parts.filter(~ok).select(
-            F.col("_line").alias("line"), F.size("_parts").alias("n_fields"))
+            F.col("_line").alias("line"), F.size("_parts").alias("n_fields"), reason.alias("reason"))
     raise ValueError(f"on_bad must be 'fail', 'drop' or 'quarantine', not {on_bad!r}")
 
 
 def pickup_period(text: Column) -> Column:
-    """Hour index of a 'YYYY-MM-DD HH:MM:SS' text; other shapes fail the task."""
-    def part(i):
-        return F.regexp_extract(text, _DATETIME, i).cast("int")
-    return F.when(text.rlike(_DATETIME), hour_index_from_parts(part(1), part(2), part(3), part(4))) \
+    """Hour index of a 'YYYY-MM-DD HH:MM:SS' text; other shapes and hours past 23 fail the task."""
+    parts = _datetime_parts(text)
+    year, month, day, hour = (parts[i].try_cast("int") for i in range(4))
+    return F.when(text.rlike(_DATETIME) & (hour < 24), hour_index_from_parts(year, month, day, hour)) \
         .otherwise(F.raise_error(F.concat(F.lit("bad pickup_datetime: "), F.coalesce(text, F.lit("NULL")))))
 
 
@@ -89,6 +107,8 @@ def project_trips(trips: DataFrame, grid: GridSpec, zone: int | None = None,
 
 
 def trip_cells(spark: SparkSession, path, grid: GridSpec, on_bad: str = "fail",
-               zone: int | None = None) -> DataFrame:
-    """Scan + split + project in one narrow stage."""
-    return project_trips(split_trip_lines(read_trip_lines(spark, path), on_bad=on_bad), grid, zone)
+               zone: int | None = None, partitions: int | None = None) -> DataFrame:
+    """Scan, split and project; ``partitions`` spreads the lines of a few large files."""
+    good = split_trip_lines(read_trip_lines(spark, path), on_bad=on_bad)
+    good = good[0] if on_bad == "quarantine" else good
+    return project_trips(spread(good, partitions), grid, zone)

@@ -21,8 +21,6 @@ WEATHER_KEYS = [
     "sunriseTime", "temperatureMinTime",
 ]
 CSV_KEYS = ["datetime"] + WEATHER_KEYS
-# Response fields removed before writing.
-DROPPED_KEYS = ["summary", "icon"]
 
 # 'YYYY-MM-DDTHH:MM:SS' with an optional offset; only the wall-clock parts are used.
 _ISO = r"^\s*([0-9]+)-([0-9]+)-([0-9]+)T([0-9]+):"
@@ -67,10 +65,11 @@ def write_weather_csv(flat: DataFrame, path: str, mode: str = "overwrite") -> No
     out.write.mode(mode).option("header", True).csv(path)
 
 
-def read_weather_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV -> raw string columns plus a read-order column ``_ord``."""
+def read_weather_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Header CSV -> raw string columns plus ``_ord``: file path, place in the file, line."""
     raw = spark.read.option("header", True).csv(path)
-    return raw.withColumn("_ord", F.monotonically_increasing_id())
+    meta = F.col("_metadata")
+    return raw.withColumn("_ord", F.struct(meta["file_path"], meta["file_block_start"], F.monotonically_increasing_id()))
 
 
 def weather_table(raw: DataFrame, order_col: str = "_ord") -> DataFrame:

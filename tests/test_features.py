@@ -69,3 +69,16 @@ def test_missing_weather_fails(spark):
         ft.agg(F.sum("cloudCover")).collect()
     dropped = FT.feature_table(wide, el, Q.mask(spark), Q.geo(spark), holed, Q.GRID, on_missing_weather="drop")
     assert dropped.select("period_h").distinct().count() == el.count() - 1
+
+
+def test_profile_sees_moved_cells(spark):
+    """Swapping the values of two cells of a period changes its profile."""
+    ft = Q._features(spark, SF_SMALL)
+    h = ft.agg(F.min("period_h")).first()[0]
+    one = ft.filter(F.col("period_h") == h)
+    hot = one.filter("two_hour > 0").orderBy("row", "col").first()
+    cold = one.filter("two_hour = 0").orderBy("row", "col").first()
+    at = lambda r: (F.col("row") == r["row"]) & (F.col("col") == r["col"])
+    moved = one.withColumn("two_hour", F.when(at(hot), cold["two_hour"]).when(at(cold), hot["two_hour"]).otherwise(F.col("two_hour")))
+    a, b = Q._feature_profile(one).first().asDict(), Q._feature_profile(moved).first().asDict()
+    assert {k for k in a if a[k] != b[k]} == {"placed_two_hour"}

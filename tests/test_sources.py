@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cellcast.functions.grid import TEST_1KM
 from cellcast.operators.layers import rasterize
-from cellcast.sources.geo import GEO_LAYERS, bounded_broadcast, geo_wide
+from cellcast.sources.geo import GEO_LAYERS, bounded_broadcast, geo_wide, mask_cells
 
 
 def test_bounded_broadcast_falls_back_to_shuffle(spark):
@@ -36,7 +36,15 @@ def test_rasterize_adds_repeats_and_gates_extent(spark):
 def test_geo_wide_missing_layer_reads_zero(spark):
     df = spark.createDataFrame([("roads", 0, 0, 1.5), ("airports", 0, 0, 2.0), ("roads", 1, 1, 3.0)],
                                "layer string, row int, col int, value double")
-    rows = {(r["row"], r["col"]): r for r in geo_wide(df).collect()}
+    rows = {(r["row"], r["col"]): r for r in geo_wide(df, TEST_1KM).collect()}
     assert rows[(0, 0)]["roads"] == 1.5 and rows[(0, 0)]["airports"] == 2.0
     assert rows[(0, 0)]["transport"] == 0.0 and rows[(1, 1)]["airports"] == 0.0
-    assert geo_wide(df).columns == ["row", "col"] + GEO_LAYERS
+    assert geo_wide(df, TEST_1KM).columns == ["row", "col"] + GEO_LAYERS
+
+
+def test_mask_repeats_and_cells_off_the_grid_are_dropped(spark):
+    df = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (2, 2, 0), (500, 500, 1), (-1, 3, 1), (47, 46, 1)],
+                               "row int, col int, value int")
+    assert sorted(map(tuple, mask_cells(df, TEST_1KM).collect())) == [(1, 1), (47, 46)]
+    geo = spark.createDataFrame([("roads", 500, 500, 1.5), ("roads", 1, 1, 3.0)], "layer string, row int, col int, value double")
+    assert [(r["row"], r["col"]) for r in geo_wide(geo, TEST_1KM).collect()] == [(1, 1)]

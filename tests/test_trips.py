@@ -26,7 +26,7 @@ def test_short_line_quarantine_and_drop(spark):
     df = spark.createDataFrame([(GOOD,), ("bad,line",)], "value string")
     good, bad = split_trip_lines(df, on_bad="quarantine")
     assert good.count() == 1
-    assert [(r["line"], r["n_fields"]) for r in bad.collect()] == [("bad,line", 2)]
+    assert [tuple(r) for r in bad.collect()] == [("bad,line", 2, "fields")]
     assert split_trip_lines(df, on_bad="drop").count() == 1
 
 
@@ -35,3 +35,24 @@ def test_bad_datetime_fails(spark):
     df = spark.createDataFrame([(bad,)], "value string")
     with pytest.raises(Exception):
         project_trips(split_trip_lines(df), TEST_1KM).collect()
+
+
+HEADER = "medallion,hack,vendor,rate,flag,pickup_datetime,dropoff,n,secs,miles,lng,lat,lng2,lat2"
+
+
+@pytest.mark.parametrize("time", ["pickup_datetime", "2013-01-01 25:00:00", "2013-01-01 24:00:00", "2013-02-30 10:00:00", "",
+                                  "2013-01-01", "2013-01-01 99999999999:00:00"])
+def test_bad_times_in_all_modes(spark, time):
+    line = GOOD.replace("2013-01-01 10:15:00", time)
+    df = spark.createDataFrame([(GOOD,), (line,), (HEADER,)], "value string")
+    assert project_trips(split_trip_lines(df, on_bad="drop"), TEST_1KM).count() == 1
+    good, bad = split_trip_lines(df, on_bad="quarantine")
+    assert project_trips(good, TEST_1KM).count() == 1
+    assert {r["reason"] for r in bad.collect()} == {"datetime"} and bad.count() == 2
+    with pytest.raises(PySparkException):
+        project_trips(split_trip_lines(df.filter(F.col("value") == line)), TEST_1KM).collect()
+
+
+def test_unpadded_time_is_good(spark):
+    df = spark.createDataFrame([(GOOD.replace("2013-01-01 10:15:00", " 2013-1-1  9:5:0 "),)], "value string")
+    assert project_trips(split_trip_lines(df, on_bad="drop"), TEST_1KM).first()["period_h"] == 366 * 24 + 9
