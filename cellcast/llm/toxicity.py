@@ -4,11 +4,12 @@ The lexicon is learned from labelled rows: words whose documents are toxic far m
 than the rest, too often for chance. Its words form a trie. Each word of a document is matched by running the
 Levenshtein automaton of that word over the trie, both at once, so that a misspelling
 within ``distance(len)`` edits of a lexicon word is found without comparing all pairs; a
-word of clean documents is never taken for a misspelling.
+word of clean documents is never taken for a misspelling, and only words with strong
+evidence match misspellings.
 
 A match counts by its weight, by its closeness, and by its context: words around it tell
 an insult (addressed at someone, near other matches) from a mention (in quotation marks,
-or introduced as a quotation). Four sums per document feed a logistic regression, trained
+or introduced as a quotation). Three sums per document feed a logistic regression, trained
 on the same labelled rows.
 
 Labels are learned from rows with ``crc32(doc_id as text) mod 5 <> 0`` only; score and
@@ -42,10 +43,12 @@ FIT_ROWS = 40_000
 FOLDS = 5
 LEXICON_SIZE = 2_000
 MAX_CHANCE = 1e-7
+SURE_CHANCE = 1e-12
 MIN_LIFT = 10.0
 PRIOR = 0.05
 CONTEXT_WORDS = 6
 MEMO_WORDS = 500_000
+N_FEATURES = 3
 
 # How speech is introduced, and how someone is addressed (four languages).
 REPORTING = frozenset("""said says say quote quoted quotes called calls word term wrote writes told asked
@@ -133,9 +136,14 @@ class Pieces:
                 or any((at, word[at:at + n]) in self.middles for at, n in self.middle_sizes))
 
 
+def sure_words(words: list[str], sure: list[bool]) -> list[str]:
+    return [w for w, s in zip(words, sure, strict=True) if s]
+
+
 class Lexicon(NamedTuple):
     words: list[str]
     weights: list[float]
+    sure: list[bool]  # words with evidence enough to match misspellings too
     common: frozenset[str]  # words of clean documents, never misspellings
 
 
@@ -144,8 +152,9 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.trie = Trie(lexicon.words)
-        self.pieces = Pieces(lexicon.words)
+        self.sure = sure_words(lexicon.words, lexicon.sure)
+        self.trie = Trie(self.sure)
+        self.pieces = Pieces(self.sure)
         self.exact = {w: i for i, w in enumerate(lexicon.words)}
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[float, int]] = {}
@@ -159,12 +168,12 @@ class Matcher:
         if not limit or word in self.lexicon.common or not self.pieces.may_hold(word):
             return None
         found = self.trie.nearest(word, limit)
-        if not found or found[0] > distance(len(self.lexicon.words[found[1]])):
+        if not found or found[0] > distance(len(self.sure[found[1]])):
             return None
-        return self.lexicon.weights[found[1]] / (1 + found[0]), found[0]
+        return self.lexicon.weights[self.exact[self.sure[found[1]]]] / (1 + found[0]), found[0]
 
     def features(self, text: str) -> list[float]:
-        """Weight of plain matches, of misspellings and of quoted matches, and of all per word."""
+        """Weight of matches, misspellings less by their edits; of quoted matches; of all per word."""
         words = words_of(text)
         distinct = set(words)
         if len(self.seen) > MEMO_WORDS:
@@ -174,23 +183,20 @@ class Matcher:
                 self.hits[w] = found
         self.seen |= distinct
         if distinct.isdisjoint(self.hits):
-            return [0.0, 0.0, 0.0, 0.0]
+            return [0.0] * N_FEATURES
         hits = [(i, *self.hits[w]) for i, w in enumerate(words) if w in self.hits]
         quoted = quoted_words(text)
-        exact = fuzzy = mention = 0.0
-        for k, (i, weight, edits) in enumerate(hits):
+        abuse = mention = 0.0
+        for k, (i, weight, _) in enumerate(hits):
             around = words[max(0, i - CONTEXT_WORDS):i] + words[i + 1:i + 1 + CONTEXT_WORDS]
             near = sum(abs(i - j) <= CONTEXT_WORDS for j, *_ in hits[max(0, k - 1):k + 2]) - 1
             told = (i in quoted) + any(w in REPORTING for w in around)
             meant = any(w in ADDRESS for w in around) + near
             if told > meant:
                 mention += weight
-            elif edits:
-                fuzzy += weight
             else:
-                exact += weight
-        return [math.log1p(exact), math.log1p(fuzzy), math.log1p(mention),
-                math.log1p(100 * (exact + fuzzy) / (len(words) + 20))]
+                abuse += weight
+        return [math.log1p(abuse), math.log1p(mention), math.log1p(100 * abuse / (len(words) + 20))]
 
 
 def quoted_words(text: str) -> set[int]:
@@ -254,7 +260,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
     totals = rows.agg(F.sum((F.col("toxic") == 1).cast("long")), F.sum((F.col("toxic") != 1).cast("long"))).first()
     n_toxic, n_clean = totals[0] or 0, totals[1] or 0
     if not n_toxic or not n_clean:
-        return Lexicon([], [], frozenset())
+        return Lexicon([], [], [], frozenset())
     counts = (rows.select("doc_id", "text", "toxic", "half").mapInArrow(run, "word string, key long, toxic boolean, half int")
               .groupBy("word", "key").agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((~F.col("toxic")).cast("long")).alias("c"),
                                           F.sum((~F.col("toxic") & (F.col("half") == 0)).cast("long")).alias("c0"))
@@ -266,9 +272,10 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
     share, chance = F.col("support") / (F.col("support") + F.col("c")), n_toxic / (n_toxic + n_clean)
     evidence = F.col("support") * F.log(share / chance) + F.col("c") * F.coalesce(F.log((1 - share) / (1 - chance)), F.lit(0.0))
     found = (counts.filter((F.col("support") > 0) & (lift >= MIN_LIFT)).filter(evidence >= -math.log(MAX_CHANCE))
-             .select("word", "support", F.log(lift).alias("weight")).orderBy(F.desc("support"), "word").limit(size).collect())
+             .select("word", "support", F.log(lift).alias("weight"), (evidence >= -math.log(SURE_CHANCE)).alias("sure")).orderBy(F.desc("support"), "word").limit(size).collect())
     words = [r["word"] for r in found]
-    trie, pieces = Trie(words), Pieces(words)
+    sure = [bool(r["sure"]) for r in found]
+    trie, pieces = Trie(sure_words(words, sure)), Pieces(sure_words(words, sure))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +287,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
     # sample; the regression sees the other half, and so what false matches are worth.
     near = counts.filter("c0 > 0").select("word").mapInArrow(close, "word string").collect()
     counts.unpersist()
-    return Lexicon(words, [float(r["weight"]) for r in found], frozenset(r[0] for r in near) - set(words))
+    return Lexicon(words, [float(r["weight"]) for r in found], sure, frozenset(r[0] for r in near) - set(words))
 
 
 _matchers: dict[int, Matcher] = {}
@@ -299,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     rows = training_rows(docs, labels, fit_rows)
     lexicon = learn_lexicon(rows)
     if not lexicon.words:
-        return Model(lexicon, [0.0] * 4, math.log(PRIOR / (1 - PRIOR)))
+        return Model(lexicon, [0.0] * N_FEATURES, math.log(PRIOR / (1 - PRIOR)))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     table = table.select(F.when(F.col("label") == 1, 1.0).otherwise(0.0).alias("label"), array_to_vector("x").alias("features"))
     labels_seen = {r[0] for r in table.select("label").distinct().collect()}
     if len(labels_seen) < 2:
-        return Model(Lexicon([], [], frozenset()), [0.0] * 4, math.log(PRIOR / (1 - PRIOR)))
+        return Model(Lexicon([], [], [], frozenset()), [0.0] * N_FEATURES, math.log(PRIOR / (1 - PRIOR)))
     found = LogisticRegression(maxIter=50, regParam=1e-3, standardization=True).fit(table.cache())
     table.unpersist()
     return Model(lexicon, [float(w) for w in found.coefficients], float(found.intercept))
