@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cellcast.llm.text import SLICE_BYTES, Words, mix64, slices, small_batches, utf8, word_hashes
 
 MEMO_PIECES = 400_000
-BATCH_BYTES = 2 * SLICE_BYTES
+BATCH_BYTES = SLICE_BYTES
 RANK_BLOCK = 512
 NO_PAIR = np.int64(1 << 40)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
