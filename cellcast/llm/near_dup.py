@@ -114,10 +114,9 @@ def fewest_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -
     return out
 
 
-def similar_pairs(sig: np.ndarray, side: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """Index pairs that survive the pruning: all pairs, or those across sides 0 and 1 if both occur."""
+def similar_pairs(sig: np.ndarray, side: np.ndarray, across: bool, threshold: float = THRESHOLD) -> np.ndarray:
+    """Index pairs that survive the pruning: those across sides 0 and 1, or else all pairs."""
     fewest = fewest_matches(threshold)
-    across = side.min() != side.max()
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if across else (np.arange(len(sig)),) * 2
     step = max(1, (1 << 22) // max(len(right) * STEP, 1))
     kept = []
@@ -208,16 +207,18 @@ def signature_table(docs: DataFrame) -> DataFrame:
 def block_links(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links within units of work.
 
-    ``units`` has ``(unit, side, doc_id, copies, text)``, each unit's rows adjoining. The result
-    has, per unit and document, the number of documents it is linked to and the least
-    document of its cluster.
+    ``units`` has ``(unit, side, doc_id, copies, text)``, each unit's rows adjoining. A unit of
+    two blocks has the pairs across them, none if one is empty; that of a block with itself has
+    all pairs. The result has, per unit and document, the number of documents it is linked to
+    and the least document of its cluster.
     """
 
     def solve(t: pa.Table) -> pa.RecordBatch:
+        unit = t.column("unit")[0].as_py()
         ids, one = np.unique(t.column("doc_id").to_numpy(), return_index=True)  # equal rows once
         side, copies = t.column("side").to_numpy()[one], t.column("copies").to_numpy()[one]
         value, first = shingle_sets(t.column("text").combine_chunks().take(pa.array(one)))
-        pairs = verify(similar_pairs(signatures(value, first), side, threshold), value, first, threshold)
+        pairs = verify(similar_pairs(signatures(value, first), side, unit["low"] != unit["high"], threshold), value, first, threshold)
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, pairs[:, 0], copies[pairs[:, 1]])
         np.add.at(links, pairs[:, 1], copies[pairs[:, 0]])

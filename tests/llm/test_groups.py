@@ -64,6 +64,17 @@ def test_jaccard_classes_equal_brute_force(spark, tmp_path, block_shingles):
         assert {r.doc_id for r in left.collect()} == set(root.values())
 
 
+def test_jaccard_links_count_once_where_blocks_are_empty(spark, tmp_path):
+    sizes = [2, 3, 4] * 6  # groups of near copies, each in somewhat more blocks than documents
+    texts, want = [], []
+    for g, n in enumerate(sizes):
+        words = sentence(f"g{g}", 200).split()
+        want += [(len(texts) + k, len(texts), n - 1) for k in range(n)]
+        texts += [" ".join(words[:len(words) - k]) for k in range(n)]
+    got = near_dup.jaccard_classes(docs(spark, texts), str(tmp_path / "b"), block_shingles=150).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == want
+
+
 def test_jaccard_repeated_rows_and_empty_table(spark, tmp_path):
     d = docs(spark, [PROSE, sentence(1)])
     twice = d.unionAll(d).unionAll(d.select(F.lit(None).cast("long").alias("doc_id"), *d.columns[1:]))
