@@ -6,12 +6,17 @@ on the text around them alone, so an insertion moves only the cuts beside it, an
 passage that stands in two documents is cut alike in both but for its edges. Chunks are
 known by a 64-bit digest of their bytes. Of each digest the document with the least id
 keeps its chunk; elsewhere, and further on in the same document, the chunk is a repeat.
-Runs of repeated chunks with at least ``MIN_RUN_WORDS`` words are cut out of the text.
-With this length the whole chunks inside a passage of 50 words are found whatever
-surrounds it; a shorter repeat, such as a single common line, stays.
+Each repeat knows its place in the owner. The edges of a run of repeated chunks lie in chunks
+that the text around them shapes, so a run is grown word by word for as long as the words
+beside it equal those beside its places in the owners, at most ``CONTEXT_WORDS`` from the
+repeated chunk. Runs of at least ``MIN_RUN_WORDS`` words in whole chunks, or of at least
+``MIN_PASSAGE_WORDS`` words when grown, are cut out of the text; a shorter repeat, such as
+a single common line, stays. A passage is missed only if no whole chunk lies inside it, or
+if other documents own all that do.
 
 A digest's documents are never brought together: owners come from an aggregation with
-partial sums, and a join that Spark can split marks the repeats. Chunks and owners are
+partial sums, and joins that Spark can split mark the repeats and bring the words beside
+them, which are read once per place in an owner. Chunks, owners, repeats and those words are
 written to the shared folder, so a lost executor costs one step.
 
 A null text stays null and an empty one empty; neither has chunks. A document of copies
@@ -38,7 +43,10 @@ from cellcast.session import scratch_dir
 WINDOW_BYTES = 16
 REACH = 4
 MIN_RUN_WORDS = 16
-CHUNKS_SCHEMA = "doc_id long, digest long, start int, stop int, words int, again boolean"
+MIN_PASSAGE_WORDS = 50
+CONTEXT_WORDS = 64
+CHUNKS_SCHEMA = "doc_id long, digest long, start int, stop int, words int, at int, source int, again boolean"
+EDGES_SCHEMA = "doc_id long, owner long, place int, before boolean"
 
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
@@ -78,7 +86,8 @@ def find_chunks(data: np.ndarray, offs: np.ndarray) -> tuple[Words, np.ndarray]:
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """One row per chunk; ``again`` where the same document has had its digest before."""
+    """One row per chunk; ``at`` is its first word's number in the document, ``source`` that of the
+    document's first chunk of the digest, ``again`` where that is another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -89,13 +98,17 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             end = ends.end[np.cumsum(n_words) - 1] if len(n_words) else chunks.end
             digest = word_hashes(data, Words(chunks.start, end, chunks.first))
             row = row_of(chunks.first)
+            at = np.cumsum(n_words) - n_words
+            at = at - ends.first[row]
+            _, one, same = np.unique(mix64(digest ^ mix64(row.astype(np.uint64))), return_index=True, return_inverse=True)
             again = np.ones(len(row), bool)
-            again[np.unique(mix64(digest ^ mix64(row.astype(np.uint64))), return_index=True)[1]] = False
+            again[one] = False
             yield pa.RecordBatch.from_arrays([
                 part.column(0).take(pa.array(row)), pa.array(digest.view(np.int64)),
                 pa.array((chunks.start - offs[row]).astype(np.int32)), pa.array((chunks.end - offs[row]).astype(np.int32)),
-                pa.array(n_words.astype(np.int32)), pa.array(again),
-            ], ["doc_id", "digest", "start", "stop", "words", "again"])
+                pa.array(n_words.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(at[one[same]].astype(np.int32)),
+                pa.array(again),
+            ], ["doc_id", "digest", "start", "stop", "words", "at", "source", "again"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, CHUNKS_SCHEMA)
@@ -112,27 +125,133 @@ def repeated_runs(start: np.ndarray, stop: np.ndarray, words: np.ndarray, min_wo
 
 
 def repeats(docs: DataFrame, folder: str) -> DataFrame:
-    """``(doc_id, repeats)``: the repeated chunks of each document that has any."""
+    """``(doc_id, repeats)``: the repeated chunks of each document that has any, with their places."""
     spark = docs.sparkSession
     chunk_table(docs).write.parquet(f"{folder}/chunks")
     chunks = spark.read.parquet(f"{folder}/chunks")
     first = chunks.filter(~F.col("again"))
-    (first.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-     .filter(F.col("owner") < F.col("last")).select("digest", "owner").write.parquet(f"{folder}/owners"))
+    (first.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("place"))
+     .filter(F.col("owner") < F.col("last")).select("digest", "owner", "place").write.parquet(f"{folder}/owners"))
     owners = spark.read.parquet(f"{folder}/owners")
-    piece = ["doc_id", "start", "stop", "words"]
-    elsewhere = first.join(owners, "digest").filter(F.col("doc_id") != F.col("owner")).select(*piece)
-    within = chunks.filter(F.col("again") & F.col("doc_id").isNotNull()).select(*piece)
-    return (elsewhere.unionAll(within).groupBy("doc_id")
-            .agg(F.collect_set(F.struct("start", "stop", "words")).alias("repeats")))
+    piece = ["start", "stop", "words", "at", "owner", "place"]
+    elsewhere = first.join(owners, "digest").filter(F.col("doc_id") != F.col("owner")).select("doc_id", *piece)
+    within = chunks.filter(F.col("again") & F.col("doc_id").isNotNull()).withColumns(
+        {"owner": F.col("doc_id"), "place": F.col("source")}).select("doc_id", *piece)
+    (elsewhere.unionAll(within).groupBy("doc_id").agg(F.collect_set(F.struct(*piece)).alias("repeats"))
+     .write.parquet(f"{folder}/repeats"))
+    return spark.read.parquet(f"{folder}/repeats")
+
+
+def runs_of(chunks: list[dict]) -> list[list[dict]]:
+    """Adjoining repeated chunks of a document; one chunk may stand several times, with several owners."""
+    runs: list[list[dict]] = []
+    stop = -1
+    for c in sorted(chunks, key=lambda c: (c["start"], c["owner"], c["place"])):
+        if c["start"] > stop:
+            runs.append([])
+        runs[-1].append(c)
+        stop = max(stop, c["stop"])
+    return runs
+
+
+def run_edges(run: list[dict]) -> list[tuple[int, int, int, bool]]:
+    """``(at, owner, place, before)``: where each owner of a run's chunks first and last has one of them."""
+    left: dict[int, dict] = {}
+    right: dict[int, dict] = {}
+    for c in run:
+        left.setdefault(c["owner"], c)
+        right[c["owner"]] = c
+    return ([(c["at"], o, c["place"], True) for o, c in left.items()]
+            + [(c["at"] + c["words"], o, c["place"] + c["words"], False) for o, c in right.items()])
+
+
+def contexts(docs: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    """``(doc_id, contexts)``: the words beside the places in the owners of each document's runs."""
+    spark = docs.sparkSession
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, chunks in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows += {(doc_id, o, p, before) for run in runs_of(chunks.as_py()) for _, o, p, before in run_edges(run)}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_()))],
+                ["doc_id", "owner", "place", "before"])
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            data, offs = utf8(part.column(1))
+            words = solid_words(data, offs)
+            h = word_hashes(data, words).view(np.int64)
+            owner, place, before, beside_ = [], [], [], []
+            for k, (doc_id, places) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                mine = h[words.first[k]:words.first[k + 1]]
+                for p in places:
+                    at = p["place"]
+                    owner.append(doc_id)
+                    place.append(at)
+                    before.append(p["before"])
+                    beside_.append(mine[max(0, at - CONTEXT_WORDS):at][::-1] if p["before"] else mine[at:at + CONTEXT_WORDS])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owner, pa.int64()), pa.array(place, pa.int32()), pa.array(before, pa.bool_()),
+                 pa.array(beside_, pa.list_(pa.int64()))], ["owner", "place", "before", "beside"])
+
+    found.mapInArrow(edges, EDGES_SCHEMA).write.parquet(f"{folder}/edges")
+    asked = spark.read.parquet(f"{folder}/edges")
+    key = ["owner", "place", "before"]
+    places = asked.select(*key).distinct().groupBy("owner").agg(F.collect_list(F.struct("place", "before")).alias("places"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("owner"), F.col("text").cast("string").alias("text"))
+    (small_batches(texts).join(places, "owner").select("owner", "text", "places")
+     .mapInArrow(beside, "owner long, place int, before boolean, beside array<long>").distinct()
+     .write.parquet(f"{folder}/beside"))
+    return (asked.join(spark.read.parquet(f"{folder}/beside"), key).groupBy("doc_id")
+            .agg(F.collect_list(F.struct(*key, "beside")).alias("contexts")))
+
+
+def grown(run: list[dict], h: np.ndarray, beside: dict[tuple[int, int, bool], list[np.ndarray]]) -> tuple[int, int]:
+    """The words of a run and those around it that equal the words around it in an owner."""
+    a, b = min(c["at"] for c in run), max(c["at"] + c["words"] for c in run)
+    lo, hi = a, b
+    for at, owner, place, before in run_edges(run):
+        for theirs in beside.get((owner, place, before), ()):
+            mine = h[:at][::-1] if before else h[at:]
+            n = min(len(mine), len(theirs))
+            differ = np.flatnonzero(mine[:n] != theirs[:n])
+            n = int(differ[0]) if len(differ) else n
+            lo, hi = (min(lo, at - n), hi) if before else (lo, max(hi, at + n))
+    return lo, hi
+
+
+def removed_spans(raw: bytes, chunks: list[dict], around: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """Byte spans of the passages of a text to remove."""
+    data = np.frombuffer(raw, np.uint8)
+    words = solid_words(data, np.array([0, len(data)]))
+    h = word_hashes(data, words).view(np.int64)
+    beside: dict[tuple[int, int, bool], list[np.ndarray]] = {}
+    for c in around:
+        beside.setdefault((c["owner"], c["place"], c["before"]), []).append(np.array(c["beside"], np.int64))
+    spans: list[tuple[int, int]] = []
+    for run in runs_of(chunks):
+        at = np.array(sorted({(c["start"], c["stop"], c["words"]) for c in run}), np.int64)
+        whole = repeated_runs(at[:, 0], at[:, 1], at[:, 2], min_words)
+        lo, hi = grown(run, h, beside)
+        if whole or hi - lo >= MIN_PASSAGE_WORDS:
+            a, b = int(words.start[lo]), int(words.start[hi]) if hi < len(h) else len(data)
+            while spans and a <= spans[-1][1]:
+                last = spans.pop()
+                a, b = min(a, last[0]), max(b, last[1])
+            spans.append((a, b))
+    return spans
 
 
 def remove_repeats(docs: DataFrame, folder: str | None = None, min_words: int = MIN_RUN_WORDS) -> DataFrame:
     """``docs`` without repeated passages, and ``removed``: their byte spans in the old text."""
     folder = folder or scratch_dir(docs.sparkSession, "chunks")
-    found = repeats(docs, folder).withColumnRenamed("doc_id", "key")
+    found = repeats(docs, folder)
+    around = contexts(docs, found, folder).withColumnRenamed("doc_id", "key")
+    found = found.withColumnRenamed("doc_id", "key")
     rows = docs.select(packed(docs), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("key"))
-    joined = rows.join(found, "key", "left").select("row", "text", "repeats")
+    joined = rows.join(found, "key", "left").join(around, "key", "left").select("row", "text", "repeats", "contexts")
     span_type = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
     schema = packed_schema(docs, T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(span_type)))
 
@@ -140,11 +259,10 @@ def remove_repeats(docs: DataFrame, folder: str | None = None, min_words: int =
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
         for part in slices(batches):
             texts, spans = [], []
-            for text, chunks in zip(part.column(1), part.column(2), strict=True):
+            for text, chunks, beside in zip(part.column(1), part.column(2), part.column(3), strict=True):
                 runs = []
                 if text.is_valid and chunks.is_valid and len(chunks):
-                    at = np.array(sorted((c["start"], c["stop"], c["words"]) for c in chunks.as_py()), np.int64)
-                    runs = repeated_runs(at[:, 0], at[:, 1], at[:, 2], min_words)
+                    runs = removed_spans(text.as_buffer().to_pybytes(), chunks.as_py(), beside.as_py() or [], min_words)
                 if runs:
                     raw, parts, done = text.as_buffer().to_pybytes(), [], 0
                     for a, b in runs:

@@ -113,6 +113,24 @@ def test_repeated_passages_go_and_the_first_stays(spark, tmp_path):
     assert chunk_dedup.remove_repeats(d.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_passages_just_over_50_words_go_whole(spark, tmp_path):
+    rng = random.Random(51)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    first, later, own = [], [], []
+    for k in range(1200):
+        passage, a, b = prose(rng.randint(51, 60)), "left" + prose(30), prose(30) + "right"
+        first.append(f"{prose(30)}x {passage} y{prose(30)}")
+        later.append(f"{a}z\n{passage} w{b}")
+        own.append(f"{a}z\nw{b}")
+    out = chunk_dedup.remove_repeats(docs(spark, first + later), str(tmp_path / "p")).collect()
+    got = {r.doc_id: r.text for r in out}
+    assert [got[k] for k in range(len(first))] == first
+    missed = [k for k, text in enumerate(own) if got[len(first) + k] != text]
+    assert not missed, (len(missed), [got[len(first) + k] for k in missed[:2]])
+
+
 def test_chunks_cover_texts_and_resist_insertions():
     import pyarrow as pa
 
