@@ -65,6 +65,12 @@ def distance(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
+def reach(length: int) -> int:
+    """Most edits that a text word of some length can be away from a lexicon word: a misspelling
+    may be shorter than its word by as many letters as that word's limit allows."""
+    return max(distance(length + k) for k in range(3) if k <= distance(length + k))
+
+
 def words_of(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
@@ -80,8 +86,9 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = i
 
-    def nearest(self, word: str, limit: int) -> tuple[int, int] | None:
-        """``(edits, index)`` of the closest lexicon word within ``limit`` edits, the first of equals.
+    def nearest(self, word: str, limit: int, limits: list[int] | None = None) -> tuple[int, int] | None:
+        """``(edits, index)`` of the closest lexicon word within ``limit`` edits, and within its own
+        of ``limits`` if given; the first of equals.
 
         The state of the word's Levenshtein automaton after the characters on a path of the
         trie is the row of edit distances to all prefixes of the word; a path ends where no
@@ -93,7 +100,7 @@ class Trie:
             node, row = todo.pop()
             for c, child in node.items():
                 if not c:
-                    if row[-1] <= limit and (best is None or (row[-1], child) < best):
+                    if row[-1] <= (limit if limits is None else min(limit, limits[child])) and (best is None or (row[-1], child) < best):
                         best = (row[-1], child)
                     continue
                 left = row[0] + 1
@@ -140,6 +147,10 @@ def sure_words(words: list[str], sure: list[bool]) -> list[str]:
     return [w for w, s in zip(words, sure, strict=True) if s]
 
 
+def own_limits(words: list[str]) -> list[int]:
+    return [distance(len(w)) for w in words]
+
+
 class Lexicon(NamedTuple):
     words: list[str]
     weights: list[float]
@@ -154,6 +165,7 @@ class Matcher:
         self.lexicon = lexicon
         self.sure = sure_words(lexicon.words, lexicon.sure)
         self.trie = Trie(self.sure)
+        self.limits = own_limits(self.sure)
         self.pieces = Pieces(self.sure)
         self.exact = {w: i for i, w in enumerate(lexicon.words)}
         self.seen: set[str] = set()
@@ -163,12 +175,11 @@ class Matcher:
         """``(weight, edits)`` of a word that is, or misspells, a lexicon word."""
         if word in self.exact:
             return self.lexicon.weights[self.exact[word]], 0
-        # A misspelling may be shorter than its word, so that the word's limit is the greater.
-        limit = distance(len(word) + 1)
+        limit = reach(len(word))
         if not limit or word in self.lexicon.common or not self.pieces.may_hold(word):
             return None
-        found = self.trie.nearest(word, limit)
-        if not found or found[0] > distance(len(self.sure[found[1]])):
+        found = self.trie.nearest(word, limit, self.limits)
+        if not found:
             return None
         return self.lexicon.weights[self.exact[self.sure[found[1]]]] / (1 + found[0]), found[0]
 
@@ -275,12 +286,12 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
              .select("word", "support", F.log(lift).alias("weight"), (evidence >= -math.log(SURE_CHANCE)).alias("sure")).orderBy(F.desc("support"), "word").limit(size).collect())
     words = [r["word"] for r in found]
     sure = [bool(r["sure"]) for r in found]
-    trie, pieces = Trie(sure_words(words, sure)), Pieces(sure_words(words, sure))
+    trie, pieces, limits = Trie(sure_words(words, sure)), Pieces(sure_words(words, sure)), own_limits(sure_words(words, sure))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [w for w in batch.column(0).to_pylist()
-                    if distance(len(w) + 1) and pieces.may_hold(w) and trie.nearest(w, distance(len(w) + 1))]
+                    if reach(len(w)) and pieces.may_hold(w) and trie.nearest(w, reach(len(w)), limits)]
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["word"])
 
     # Clean words that an automaton would take for misspellings. They come from one half of the

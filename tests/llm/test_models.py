@@ -102,6 +102,35 @@ def test_levenshtein_automaton_equals_brute_force():
             assert pieces.may_hold(word)
 
 
+def test_matcher_equals_brute_force():
+    import random
+    rng = random.Random(12)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    lexicon = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 11))) for _ in range(150)})
+    m = toxicity.Matcher(toxicity.Lexicon(lexicon, [float(i + 1) for i in range(len(lexicon))], [True] * len(lexicon), frozenset()))
+    shorter = 0
+    for _ in range(600):
+        word = rng.choice(lexicon)
+        for _ in range(rng.randint(0, 3)):  # some edits, half of them lost letters
+            at = rng.randrange(len(word) + 1)
+            word = word[:at] + rng.choice(["", "", "a", "e"]) + word[at + rng.randint(0, 1):]
+        near = [(edits(word, w), i) for i, w in enumerate(lexicon)]
+        best = min(((e, i) for e, i in near if e <= toxicity.distance(len(lexicon[i]))), default=None)
+        assert m.match(word) == (best and ((best[1] + 1) / (1 + best[0]), best[0])), word
+        shorter += bool(best) and len(lexicon[best[1]]) == len(word) + 2
+    assert shorter
+    one = toxicity.Matcher(toxicity.Lexicon(["worthless"], [1.0], [True], frozenset()))
+    assert one.match("wortles") == (1 / 3, 2)
+
+
 def toxic_docs(spark, n=400):
     insults = ["moronic", "worthless", "idiotic"]
     texts, labels = [], []
