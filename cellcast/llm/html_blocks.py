@@ -29,8 +29,9 @@ from cellcast.llm.text import slices, small_batches
 
 TREE_DEPTH = 6
 
-# Elements whose text is no text, elements that end a block, void elements.
-HIDDEN = "script|style|noscript|template|svg|math|iframe|object|textarea|select|button|head|title"
+# Elements whose text is no text, elements that end a block, void elements. All that
+# a head may hold is among them or void; text ends a head, whose closing tag may be left out.
+HIDDEN = "script|style|noscript|template|svg|math|iframe|object|textarea|select|button|title"
 BLOCK_TAGS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset
     figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary
     table tbody td tfoot th thead tr ul""".split())
@@ -48,6 +49,9 @@ ASIDE_WORDS = frozenset("""ad ads advert adverts advertisement advertising adv b
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/a-z][^>]*(?:>|\Z)", re.S | re.I)
+# Names that say what a page or wrapper has, not what an element is.
+STATE = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_]open")
+STATE_TAGS = frozenset("div section".split())
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
 
@@ -60,17 +64,34 @@ class Block(NamedTuple):
     heading: bool
 
 
-def _marks(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
-    """Whether an element starts main text, or something beside it."""
-    names = {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower())} if attributes else set()
-    aside = tag in ASIDE_TAGS or bool(names & ASIDE_WORDS) or tag == "header" and not inside_main
-    return tag in MAIN_TAGS or "main" in names and not aside, aside
+class Open:
+    """An open element: its tag and what it passes on to what it holds."""
+
+    def __init__(self, tag: str, main: bool, aside: bool, named: list[Open]):
+        self.tag, self.main, self.aside = tag, main, aside
+        self.named = named  # this and outer elements whose names mark them as no main text
+        self.holds_main = self.holds_article = False
+
+
+def _marks(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool]:
+    """Whether an element starts main text, and whether its tag or its names mark it as something
+    beside it. The names of a body speak of the page."""
+    names: set[str] = set()
+    for m in NAMES.finditer(attributes) if attributes and tag != "body" else ():
+        whole = m[1].lower().strip("\"'").split()
+        names.update(w for x in whole if tag not in STATE_TAGS or not STATE.fullmatch(x) for w in re.split(r"[^a-z]+", x))
+    aside = tag in ASIDE_TAGS or tag == "header" and not inside_main
+    named = bool(names & ASIDE_WORDS)
+    return tag in MAIN_TAGS or "main" in names and not aside and not named, aside, named
 
 
 def cut_blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     blocks: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # tag, main, aside: as inherited
+    open_: list[Open] = []
+    outside = Open("", False, False, [])
+    named_around: list[list[Open]] = []  # for each block
+    articles: list[list[Open]] = []  # named elements around each article
     parts: list[str] = []
     link_parts: list[str] = []
     in_link = 0
@@ -85,9 +106,10 @@ def cut_blocks(page: str) -> list[Block]:
     def end() -> None:
         whole = " ".join(entities.unescape("".join(parts)).split())
         if whole:
-            _, main, aside = open_[-1] if open_ else ("", False, False)
+            last = open_[-1] if open_ else outside
             links = len(" ".join(link_parts).split())
-            blocks.append(Block(whole, len(whole.split(" ")), links, main, aside, heading))
+            blocks.append(Block(whole, len(whole.split(" ")), links, last.main, last.aside, heading))
+            named_around.append(last.named)
         parts.clear()
         link_parts.clear()
 
@@ -108,18 +130,34 @@ def cut_blocks(page: str) -> list[Block]:
             heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
             if closing:
                 for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] == tag:
+                    if open_[k].tag == tag:
                         del open_[k:]
                         break
             elif tag not in VOID:
-                if tag in ("p", "li", "td", "tr") and open_ and open_[-1][0] == tag:
+                if tag in ("p", "li", "td", "tr") and open_ and open_[-1].tag == tag:
                     open_.pop()  # ends by itself where the next one starts
-                _, main, aside = open_[-1] if open_ else ("", False, False)
-                starts, beside = _marks(tag, m[4], main)
-                open_.append((tag, main or starts, aside or beside))
+                last = open_[-1] if open_ else outside
+                starts, beside, named = _marks(tag, m[4], last.main)
+                this = Open(tag, last.main or starts, last.aside or beside, last.named)
+                if tag == "main":
+                    for e in last.named:
+                        e.holds_main = True
+                elif tag == "article" and not beside and not named and not last.aside:
+                    articles.append(last.named)
+                if named:
+                    this.named = [*last.named, this]
+                open_.append(this)
     text(page[at:])
     end()
-    return blocks
+    # What holds the page's main text is nothing beside it, whatever its names say: an element with
+    # a main in it or, on a page whose articles all lie in named elements, with an article.
+    has_main = any(b.main and not b.aside and not [e for e in around if not e.holds_main]
+                   for b, around in zip(blocks, named_around, strict=True))
+    for around in () if has_main else articles:
+        for e in around:
+            e.holds_article = True
+    return [b._replace(aside=b.aside or any(not e.holds_main and not e.holds_article for e in around))
+            for b, around in zip(blocks, named_around, strict=True)]
 
 
 def block_features(blocks: list[Block]) -> list[list[float]]:

@@ -34,6 +34,32 @@ def test_main_text(tree, page, want):
     assert html_blocks.main_text(page or "", tree) == want
 
 
+ARTICLE = "<article><h1>The mill</h1><p>It stood by the brook for three hundred years, and then it burned.</p></article>"
+STORY = ("<p>The committee met on Tuesday and talked for three hours about the new road, which most who live near it don't want."
+         "</p><p>It will meet again in May, when the engineers have looked at the ground and the costs are known to all.</p>")
+
+
+@pytest.mark.parametrize("before, inside, after", [
+    ("<body class='has-sidebar'>", ARTICLE, "</body>"), ("<body class='nav-open menu'>", ARTICLE, "</body>"),
+    ("<div class='no-sidebar'>", ARTICLE, "</div>"), ("<div class='legal-article'>", ARTICLE, "</div>"),
+    ("<div id='page-search'><main>", STORY, "</main></div>"),
+    ("<body class='social'><div class=has-sidebar>", STORY, "</div></body>"),
+    ("<html><head><meta charset=utf-8><title>A mill</title><body>", ARTICLE, "</body></html>"),
+    ("<head><title>A mill</title><script>var t = '<p>'</script><style>p{}</style>", ARTICLE, ""),
+    ("<div class='with-sidebar'>", ARTICLE, "<div class='related'><article><p>Another story you may like to read today.</p></article></div></div>"),
+    ("<div class='sidebar-wrap'><main>", ARTICLE, "</main><div class='related'><article><p>Another story that you may like to read.</p></article></div></div>"),
+])
+def test_wrappers_and_open_heads_keep_the_main_text(tree, before, inside, after):
+    want = html_blocks.main_text(inside, tree)
+    assert want and html_blocks.main_text(before + inside + after, tree) == want
+
+
+def test_named_boxes_stay_out(tree):
+    box = "<div class='{}'><p>Some other text that stands beside the article and goes on for a while.</p></div>"
+    for name in ("sidebar", "related", "legal-notice", "comments"):
+        assert html_blocks.main_text(f"<body class='has-sidebar'>{ARTICLE}{box.format(name)}", tree) == html_blocks.main_text(ARTICLE, tree)
+
+
 def test_extract_query(spark):
     long = "<article>" + "<p>word word word word word</p>" * 5000 + "</article>"
     rows = [(1, "u", "<article><p>é text</p></article>", "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", long, "x"),
