@@ -9,10 +9,12 @@ brought together in one task.
 
 Law of the assignment: ``bytes``, shards get near equal sizes. A record has at least one
 byte, so that empty texts count. A null text has size 1 and the checksum of no bytes.
-Equal texts are no unit here, so a text with many copies spreads over the shards.
-A null ``doc_id`` hashes like any other value; repeated rows share a virtual slot, get
-positions of their own and count each; columns beyond ``doc_id`` and ``text`` are not
-read; an empty table gives an empty result (and a map of empty slots).
+Equal texts are no unit here, so a text with many copies spreads over the shards. Nor are
+equal ids: a record hashes by its id, its size, its checksum and its number among records
+equal in all three, so that null ids, one id on many rows and repeated rows spread over the
+slots too. Repeated rows get positions of their own and count each; columns beyond
+``doc_id`` and ``text`` are not read; an empty table gives an empty result (and a map of
+empty slots).
 """
 
 from __future__ import annotations
@@ -22,18 +24,31 @@ from pyspark.sql import functions as F
 
 N_SLOTS = 4096
 N_SHARDS = 8
+COPIES = 1000
 
 
-def virtual_slot(doc_id: Column, n_slots: int = N_SLOTS) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(n_slots)).cast("int")
+def virtual_slot(*key: Column | str, n_slots: int = N_SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(n_slots)).cast("int")
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """Id, size, checksum and virtual slot of every row; no text goes further."""
+    """Id, size, checksum and virtual slot of every row; no text goes further.
+
+    Equal records are counted and listed again by number, ``COPIES`` at a time, so that no task
+    lists all of one that is repeated very often.
+    """
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"),
-                       F.crc32(raw).cast("long").alias("text_crc32"), virtual_slot(doc_id, n_slots).alias("vslot"))
+    key = ["doc_id", "size", "text_crc32"]
+    counted = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"),
+                           F.crc32(raw).cast("long").alias("text_crc32"))
+               .groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    few = counted.filter(F.col("n") <= COPIES).select(*key, "n", F.lit(0).cast("long").alias("at"))
+    many = counted.filter(F.col("n") > COPIES).select(
+        *key, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("at"))
+    parts = few.unionAll(many.repartition(F.col("doc_id"), F.col("text_crc32"), F.col("at")))
+    last = F.least(F.col("n"), F.col("at") + COPIES) - 1
+    each = parts.select(*key, F.explode(F.sequence(F.col("at"), last)).alias("copy"))
+    return each.select(*key, virtual_slot(*key, "copy", n_slots=n_slots).alias("vslot"))
 
 
 def slot_bytes(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:

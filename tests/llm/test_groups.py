@@ -207,3 +207,24 @@ def test_shards_of_an_empty_table_and_repeated_rows(spark, tmp_path):
         stored = sharding.store_map(sharding.first_map(sharding.slot_bytes(rows)), str(tmp_path / str(k)))
         out = sharding.place_rows(rows, sharding.latest(stored)).collect()
         assert len(out) == table.count() == len({(r.shard, r.slot) for r in out})
+
+
+def test_shards_spread_null_and_repeated_ids(spark, tmp_path):
+    n = 2500
+    rows = [(None, f"text {i}") for i in range(n)] + [(7, f"other {i}") for i in range(n)] + [(8, "same text")] * n
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sharding.records(table)
+    found.write.parquet(str(tmp_path / "records"))
+    found = spark.read.parquet(str(tmp_path / "records"))
+    stored = sharding.store_map(sharding.first_map(sharding.slot_bytes(found)), str(tmp_path / "map"))
+    out = sharding.place_rows(found, sharding.latest(stored)).collect()
+    want = sorted(((i is None, i or 0), len(t) + 1, zlib.crc32(t.encode())) for i, t in rows)
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.size, r.text_crc32) for r in out) == want
+    size = [sum(r.size for r in out if r.shard == s) for s in range(8)]
+    assert max(size) - min(size) <= max(r.size for r in out)
+    held = [0] * sharding.N_SLOTS
+    for r in out:
+        held[r.vslot] += 1
+    assert max(held) < 20  # 7500 rows in 4096 slots
+    for s in range(8):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
