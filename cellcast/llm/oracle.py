@@ -70,5 +70,63 @@ select d.doc_id, (select min(b) from reach r where r.a = d.doc_id) as class_id,
        (select count(*) from links l where l.a = d.doc_id) as n_links,
        least(d.doc_id, (select min(b) from links l where l.a = d.doc_id and l.same)) as representative
 from documents d
+""",
+    "op11_filter_audit": r"""
+with letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as b),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order, unnest([1, 2, 3, 4, 5])::int as step,
+         unnest([a.b, b.b, c.b, d.b, e.b]) as bit,
+         unnest([0, a.b, a.b + b.b, a.b + b.b + c.b, a.b + b.b + c.b + d.b]) as before
+  from letters a, letters b, letters c, letters d, letters e
+  where a.b + b.b + c.b + d.b + e.b = 31 and a.b | b.b | c.b | d.b | e.b = 31),
+texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+masks as (
+  select doc_id, part,
+         (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int
+         + 8 * regexp_matches(t, '[#$%&*|]')::int
+         + 16 * (doc_id > min(doc_id) over (partition by t))::int as mask
+  from texts),
+marks as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+cells as (
+  select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+  from masks left join marks using (doc_id) group by part, mask),
+steps as (
+  select part, filter_order, step, bit,
+         sum(n) filter (where mask & (before | bit) = 0) as kept,
+         sum(n) filter (where mask & before = 0 and mask & bit > 0) as removed,
+         sum(n) filter (where mask & before > 0 and mask & bit > 0) as redundant,
+         sum(n) filter (where mask = bit) as unique_fails,
+         sum(good) filter (where mask & before = 0 and mask & bit > 0) as good_lost,
+         sum(toxic) filter (where mask & before = 0 and mask & bit > 0) as toxic_lost
+  from cells, orders group by all)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+       coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+       coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+       coalesce(sum(removed) over (partition by part, bit), 0)::bigint as shapley
+from steps
+""",
+    "op13_lexical_search": r"""
+with d as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) as term from documents),
+i as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) as term from benchmark),
+size as (select doc_id, count(*) as n from d group by doc_id),
+whole as (select count(*) as docs, sum(n)::bigint as l from size),
+hits as (select doc_id, term, count(*) as tf from d where term in (select term from i) group by doc_id, term),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from hits, whole group by term, docs),
+scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // l))))::bigint as score
+  from i join hits using (term) join weights using (term) join size using (doc_id), whole
+  group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0
+qualify rank <= 10
 """,
 }

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellcast.llm import (
-    bpe, chunk_dedup, decontaminate, html_blocks, near_dup, quality, sharding, token_counts, tool_calls, toxicity)
+    bpe, chunk_dedup, decontaminate, filter_audit, html_blocks, lexical_search, near_dup, order_minhash, quality, sharding,
+    token_counts, tool_calls, toxicity)
 from cellcast.llm.oracle import ORACLE_SQL  # noqa: F401
 from cellcast.session import scratch_dir
 
@@ -136,3 +137,21 @@ def op7_tool_calls(spark, sf_dir):
     """Every tool call with its result, in topological levels, checked and as canonical JSON."""
     calls, results = tool_traffic(table(spark, sf_dir, "conversations"))
     return tool_calls.link_calls(calls, results, spark.createDataFrame(TOOLS, tool_calls.SCHEMA_COLUMNS))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    """What each of five filters removes in every order, by source."""
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_order_minhash(spark, sf_dir):
+    """Fingerprint of every document, of its edited text, and their likenesses."""
+    return order_minhash.edited_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
