@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from cellcast.operators import features as FT
 from cellcast.operators import layers as LY
 from cellcast.operators import model as M
 from cellcast.operators import smooth as S
+from cellcast.operators import trees as TR
 from cellcast.plans import demand_model as DM
 from cellcast.session import scratch_dir
 from cellcast.sources import geo as GEO
@@ -537,6 +539,36 @@ def raster_store_rewrite(spark, sf_dir):
     return found.unionByName(listing)
 
 
+@query
+def raster_store_snapshots(spark, sf_dir):
+    """SNK2-3 through the commit log: an all-zero first write, a full one, one that rewrites two
+    fifths of the observed rasters, and one that stops before its commit; cells and listing of
+    the versions 1 to 3 and, after the clean-up, of the newest."""
+    path = scratch_dir(spark, "layer-store")
+    stored, test = _store_inputs(spark, sf_dir)
+    fifth = F.col("period_h") % 5
+    observed = F.col("grouping") == "observed"
+    RS.write_layers(stored.filter(F.lit(False)), test.filter(observed), path, GRID)
+    RS.write_layers(stored, test, path, GRID)
+    doubled = stored.filter(observed & (fifth == 0)).withColumn("value", F.col("value") * 2)
+    RS.write_layers(doubled, test.filter(observed & fifth.isin(0, 1)), path, GRID)
+    RS.stage_layers(stored.withColumn("value", F.lit(-1.0)), test, path, GRID)
+
+    def state(version, label):
+        rasters = RS.list_rasters(spark, path, version)
+        cells = RS.read_layers(spark, path, version=version).groupBy(*RS.RASTER).agg(
+            F.count(F.lit(1)).alias("n_cells"), F.sum("value").alias("total"),
+            F.sum(F.col("value") * (F.col("row") * GRID.n_cols + F.col("col") + 1)).alias("placed"))
+        return rasters.join(cells, RS.RASTER, "left").select(
+            F.lit(label).alias("version"), *RS.RASTER, F.coalesce("n_cells", F.lit(0)).cast("long").alias("n_cells"),
+            *[F.round(F.coalesce(F.col(c), F.lit(0.0)), 6).alias(c) for c in ("total", "placed")])
+
+    kept = f"{path}-versions"
+    reduce(DataFrame.unionByName, [state(v, v) for v in (1, 2, 3)]).write.parquet(kept)
+    RS.vacuum(spark, path, min_age_s=0.0)
+    return spark.read.parquet(kept).unionByName(state(None, 0))
+
+
 @query
 def feature_vector(spark, sf_dir):
     """O-FEAT: the vectors of the full feature table in both forms (52 entries, or 112 with the
@@ -611,3 +643,47 @@ def weather_request_hours(spark, sf_dir):
     """GEN2: request hours from 1 January up to the last event, which is left out."""
     last = T.load_events(spark, sf_dir).agg(F.max("ts")).first()[0]
     return P.hours_from_year(spark, last.year, last)
+
+
+# ---- forests as tables of nodes ------------------------------------------------------
+
+# A tree of all rows and features, and a small forest with draws of both.
+TWO_LEVELS = TR.TableForest(num_trees=1, max_depth=2, feature_subset="all", bootstrap=False)
+SMALL_FOREST = TR.TableForest(num_trees=5, max_depth=3)
+
+
+def _table_forest(spark, sf_dir, spec):
+    """The job with lag layers, calendar and static values as features and a forest by aggregation."""
+    cfg = DM.DemandModelConfig(grid=GRID, ordering=tuple(LY.OLDER_ORDERING), with_weather=False, forest=spec)
+    return DM.run(spark, counts(spark, sf_dir), mask(spark), geo(spark), None, cfg)
+
+
+def _nodes(nodes):
+    return nodes.select("tree", "node", "feature", _round("threshold", "threshold"), "left", "right", "n",
+                        _round("prediction", "prediction"))
+
+
+@query
+def rf_two_levels(spark, sf_dir):
+    """ML3-4: the split search by sums per node, feature and bin, over two levels and 23 features."""
+    return _nodes(_table_forest(spark, sf_dir, TWO_LEVELS).model)
+
+
+@query
+def forest_nodes(spark, sf_dir):
+    """ML3-4: the nodes of a forest with drawn rows and features."""
+    return _nodes(_table_forest(spark, sf_dir, SMALL_FOREST).model)
+
+
+@query
+def forest_predict(spark, sf_dir):
+    """ML5-6, PRJ14, JN6: every cell of every eligible test hour led through the nodes."""
+    out = _table_forest(spark, sf_dir, SMALL_FOREST).predictions
+    return out.select("period_h", "row", "col", _round("prediction", "prediction"))
+
+
+@query
+def forest_concentration(spark, sf_dir):
+    """ML10: top-share stats of the predicted, observed and baseline rasters."""
+    stats = _table_forest(spark, sf_dir, SMALL_FOREST).stats
+    return stats.select("period_h", "layer", *[_round(c, c) for c in E.STAT_COLUMNS])

@@ -27,6 +27,7 @@ from cellcast.operators import features as FT
 from cellcast.operators import lags as L
 from cellcast.operators import layers as LY
 from cellcast.operators import model as M
+from cellcast.operators import trees as TR
 from cellcast.session import delete_path, scratch_dir
 from cellcast.sources.trips import trip_cells
 
@@ -35,7 +36,7 @@ from cellcast.sources.trips import trip_cells
 class DemandModelConfig:
     grid: GridSpec = NYC_50M
     ordering: tuple[str, ...] = tuple(LY.MAIN_ORDERING)
-    forest: M.ForestPreset = M.MAIN_FOREST
+    forest: M.ForestPreset | TR.TableForest = M.MAIN_FOREST
     train_fraction: float = 0.7
     split_seed: int = 7
     forest_seed: int = 11
@@ -110,6 +111,18 @@ def build_features(counts: DataFrame, mask: DataFrame, geo: DataFrame, weather:
     return manifest, eligible, feats
 
 
+def _fit_and_predict(spark: SparkSession, train: DataFrame, test: DataFrame, cfg: DemandModelConfig, scratch: list[str]):
+    """The fitted forest (a model, or a table of nodes) and its predictions for the test rows."""
+    ordering = list(cfg.ordering)
+    if isinstance(cfg.forest, M.ForestPreset):
+        model = M.fit_forest(train, cfg.forest, ordering, cfg.repeat_static, cfg.with_weather, cfg.forest_seed)
+        return model, M.predict(model, test, ordering, cfg.repeat_static, cfg.with_weather)
+    columns = FT.feature_columns(ordering, cfg.repeat_static, cfg.with_weather)
+    scratch.append(scratch_dir(spark, "forest"))
+    nodes = TR.fit_nodes(TR.feature_rows(train, columns), len(columns), scratch[-1], cfg.forest)
+    return nodes, TR.score(nodes, TR.feature_rows(test, columns, label=None), cfg.forest)
+
+
 def run(spark: SparkSession, counts: DataFrame, mask: DataFrame, geo: DataFrame,
         weather: DataFrame | None, cfg: DemandModelConfig = DemandModelConfig()) -> DemandModelResult:
     ordering = list(cfg.ordering)
@@ -125,8 +138,7 @@ def run(spark: SparkSession, counts: DataFrame, mask: DataFrame, geo: DataFrame,
 
     train = tagged.filter(F.col("split") == "train").drop("split")
     test = tagged.filter(F.col("split") == "test").drop("split")
-    model = M.fit_forest(train, cfg.forest, ordering, cfg.repeat_static, cfg.with_weather, cfg.forest_seed)
-    predictions = M.predict(model, test, ordering, cfg.repeat_static, cfg.with_weather)
+    model, predictions = _fit_and_predict(spark, train, test, cfg, scratch)
 
     test_periods = split.filter(F.col("split") == "test").select("period_h")
 

@@ -529,3 +529,125 @@ SQL["weather_request_hours"] = f"""
 SELECT CAST(x AS INTEGER) AS period_h FROM (
   SELECT unnest(range({_hour("date_trunc('year', m)")}, {_hour('m')} + CASE WHEN m > date_trunc('hour', m) THEN 1 ELSE 0 END)) AS x
   FROM (SELECT max(ts) AS m FROM events))"""
+
+
+_WRITTEN = f"""
+, first AS (
+  SELECT 'observed' AS grouping, period_h, row, col, CAST(n AS DOUBLE) AS value FROM counts WHERE {_in_extent()}
+  UNION ALL
+  SELECT 'two_hour' AS grouping, period_h, row, col, CAST(n AS DOUBLE) / 2 AS value FROM two WHERE {_in_extent()}),
+versions AS (
+  SELECT 1 AS version, t.*, 0.0 AS factor FROM test t WHERE grouping = 'observed'
+  UNION ALL SELECT 2, t.*, 1.0 FROM test t
+  UNION ALL SELECT v, t.*, CASE WHEN grouping = 'two_hour' THEN 1.0 WHEN period_h % 5 = 0 THEN 2.0 WHEN period_h % 5 = 1 THEN 0.0 ELSE 1.0 END
+  FROM test t, (VALUES (3), (0)) x(v))"""
+SQL["raster_store_snapshots"] = _STORE + _WRITTEN + f"""
+SELECT CAST(version AS INTEGER) AS version, v.grouping, CAST(v.period_h AS INTEGER) AS period_h,
+       CAST(CASE WHEN factor > 0 THEN count(value) ELSE 0 END AS BIGINT) AS n_cells,
+       round(coalesce(sum(value * factor), 0.0), 6) AS total,
+       round(coalesce(sum(value * factor * (row * {G.n_cols} + col + 1)), 0.0), 6) AS placed
+FROM versions v LEFT JOIN first f ON f.grouping = v.grouping AND f.period_h = v.period_h
+GROUP BY version, v.grouping, v.period_h, factor"""
+
+
+# ---- forests as tables of nodes ------------------------------------------------------------
+
+PRIME, FACTORS, POISSON = 2147483647, (73856093, 19349663, 83492791, 49979687), (3679, 7358, 9197, 9810, 9963, 9994)
+
+
+def _hash(keys: list[str], seed: int = 11) -> str:
+    """Three rounds of the integer hash, each a subquery-free expression of the one before."""
+    h = "(" + " + ".join(f"CAST({k} AS BIGINT) * {f}" for k, f in zip(keys, FACTORS, strict=False)) + f" + {seed}) % {PRIME}"
+    return f"list_reduce([{h}, 0, 0], lambda h, z: (h * h + {FACTORS[0]}) % {PRIME})"
+
+
+def _forest_sql(trees: int, depth: int, bins: int, everything: bool, tail: str) -> str:
+    """The split search over the older job's features, level by level, and what follows."""
+    names = ["row", "col", "month", "day", "hour", "wd_mon", "wd_tue", "wd_wed", "wd_thu", "wd_fri", "wd_sat", "wd_sun",
+             *OLDER_NAMES, *GEO_LAYERS]
+    n = len(names)
+    tried = n if everything else -(-n // 3)
+    x = ", ".join(f"floor(CAST({k} AS DOUBLE) * 1e6 + 0.5) / 1e6" for k in names)
+    u = _hash(["period_h", "row", "col", "tree"]) + " % 10000"
+    weight = "CAST(1 AS DOUBLE)" if everything else "(" + " + ".join(f"(u >= {p})::int" for p in POISSON) + ")::double"
+    parts = [f"""
+, xs AS MATERIALIZED (
+  SELECT period_h, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, label, [{x}] AS x,
+         CAST(('0x' || substr(md5(period_h || ':7'), 1, 8)) AS BIGINT) % 10000 < 7000 AS train FROM ft),
+long AS (SELECT unnest(range(0, {n})) AS feature, unnest(x) AS v FROM xs WHERE train),
+span AS MATERIALIZED (SELECT feature, min(v) AS lo, max(v) AS hi FROM long GROUP BY feature),
+counted AS (
+  SELECT feature, CASE WHEN hi > lo THEN least(4095, CAST(floor((v - lo) / (hi - lo) * 4096) AS INTEGER)) ELSE 0 END AS cell,
+         count(*) AS n, max(v) AS top FROM long JOIN span USING (feature) GROUP BY ALL),
+weighed AS (SELECT *, least(n, ceil(sum(n) OVER (PARTITION BY feature) / {bins})) AS w FROM counted),
+named AS (
+  SELECT feature, cell, top, CASE WHEN count(*) OVER (PARTITION BY feature) <= {bins}
+         THEN row_number() OVER (PARTITION BY feature ORDER BY cell) - 1
+         ELSE floor(coalesce(sum(w) OVER (PARTITION BY feature ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    * {bins} / sum(w) OVER (PARTITION BY feature)) END AS part FROM weighed),
+placed AS MATERIALIZED (
+  SELECT feature, cell, dense_rank() OVER (PARTITION BY feature ORDER BY part) - 1 AS bin,
+         max(top) OVER (PARTITION BY feature, part) AS cut FROM named),
+cuts AS (SELECT DISTINCT feature, bin, cut AS threshold FROM placed),
+drawn_rows AS (
+  SELECT period_h, row, col, label, x, tree, {'0' if everything else u} AS u FROM xs, range(0, {trees}) t(tree) WHERE train),
+rows0 AS MATERIALIZED (SELECT tree, 1 AS node, label, x, {weight} AS w FROM drawn_rows WHERE {'true' if everything else f'u >= {POISSON[0]}'}),
+front0 AS (SELECT tree, 1 AS node FROM range(0, {trees}) t(tree))"""]
+    for d in range(depth):
+        parts.append(f"""
+features{d} AS (
+  SELECT tree, node, feature FROM front{d}, range(0, {n}) f(feature)
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY {_hash(["tree", "node", "feature"])}, feature) <= {tried}),
+hist{d} AS MATERIALIZED (
+  SELECT tree, node, feature, bin, sum(w) AS w, sum(w * label) AS s
+  FROM (SELECT tree, node, feature, label, w,
+               CASE WHEN hi > lo THEN least(4095, CAST(floor((x[feature + 1] - lo) / (hi - lo) * 4096) AS INTEGER)) ELSE 0 END AS cell
+        FROM rows{d} JOIN features{d} USING (tree, node) JOIN span USING (feature))
+  JOIN placed USING (feature, cell) GROUP BY ALL),
+sides{d} AS (
+  SELECT tree, node, feature, bin, sum(w) OVER f AS w, sum(s) OVER f AS s, sum(w) OVER g AS wl, sum(s) OVER g AS sl FROM hist{d}
+  WINDOW f AS (PARTITION BY tree, node, feature), g AS (PARTITION BY tree, node, feature ORDER BY bin)),
+split{d} AS MATERIALIZED (
+  SELECT tree, node, feature, bin, threshold, wl, sl, w - wl AS wr, s - sl AS sr,
+         sl * sl / wl + (s - sl) * (s - sl) / (w - wl) - s * s / w AS gain
+  FROM sides{d} JOIN cuts USING (feature, bin) WHERE wl < w AND gain > 1e-6
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, feature, bin) = 1),
+front{d + 1} AS (SELECT tree, node * 2 + unnest([0, 1]) AS node FROM split{d}),
+rows{d + 1} AS MATERIALIZED (
+  SELECT tree, r.node * 2 + (x[feature + 1] > threshold)::int AS node, label, x, w FROM rows{d} r JOIN split{d} s USING (tree, node))""")
+    found = ["SELECT tree, 1 AS node, max(n) AS n, max(s) AS s FROM (SELECT tree, feature, sum(w) AS n, sum(s) AS s FROM hist0 GROUP BY ALL) GROUP BY tree"]
+    for d in range(depth):
+        found += [f"SELECT tree, node * 2, wl, sl FROM split{d}", f"SELECT tree, node * 2 + 1, wr, sr FROM split{d}"]
+    inner = " UNION ALL ".join(f"SELECT tree, node, feature, threshold FROM split{d}" for d in range(depth))
+    parts.append(f"""
+inner_nodes AS MATERIALIZED ({inner}),
+nodes AS MATERIALIZED (
+  SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, CAST(feature AS INTEGER) AS feature, threshold,
+         CASE WHEN feature IS NOT NULL THEN CAST(node * 2 AS INTEGER) END AS left,
+         CASE WHEN feature IS NOT NULL THEN CAST(node * 2 + 1 AS INTEGER) END AS right, n, s / n AS prediction
+  FROM ({" UNION ALL ".join(found)}) LEFT JOIN inner_nodes USING (tree, node))""")
+    at = f"(SELECT period_h, row, col, x, tree, 1 AS node FROM xs, range(0, {trees}) t(tree) WHERE NOT train)"
+    for _ in range(depth):
+        at = (f"(SELECT period_h, row, col, x, tree, CASE WHEN feature IS NULL THEN node WHEN x[feature + 1] <= threshold THEN node * 2 "
+              f"ELSE node * 2 + 1 END AS node FROM {at} LEFT JOIN inner_nodes USING (tree, node))")
+    parts.append(f"""
+predicted AS (SELECT period_h, row, col, avg(prediction) AS prediction FROM {at} JOIN nodes USING (tree, node) GROUP BY ALL)""")
+    return _features_sql(True, ",".join(parts) + tail)
+
+
+_NODES = """
+SELECT tree, node, feature, round(threshold, 6) AS threshold, "left", "right", n, round(prediction, 6) AS prediction FROM nodes"""
+SQL["rf_two_levels"] = _forest_sql(1, 2, 32, True, _NODES)
+SQL["forest_nodes"] = _forest_sql(5, 3, 32, False, _NODES)
+SQL["forest_predict"] = _forest_sql(5, 3, 32, False, """
+SELECT period_h, row, col, round(prediction, 6) AS prediction FROM predicted""")
+SQL["forest_concentration"] = _forest_sql(5, 3, 32, False, f""",
+held AS (SELECT DISTINCT period_h FROM xs WHERE NOT train), {_trailing_cte("two", 1, 2).strip()},
+src AS (
+  SELECT period_h, 'pred' AS layer, row, col, prediction AS value FROM predicted
+  UNION ALL SELECT period_h, 'obs', row, col, CAST(n AS DOUBLE) FROM counts WHERE {_in_extent()} AND period_h IN (SELECT period_h FROM held)
+  UNION ALL SELECT period_h, 'two', row, col, CAST(n AS DOUBLE) / 2 FROM two WHERE {_in_extent()} AND period_h IN (SELECT period_h FROM held)),
+st AS ({_stats_sql("src")})
+SELECT CAST(h.period_h AS INTEGER) AS period_h, l.layer, coalesce(one_percent, 0.0) AS one_percent, coalesce(five_percent, 0.0) AS five_percent,
+       coalesce(ten_percent, 0.0) AS ten_percent, coalesce(twenty_percent, 0.0) AS twenty_percent, coalesce(total, 0.0) AS total
+FROM held h CROSS JOIN (VALUES ('pred'), ('obs'), ('two')) l(layer) LEFT JOIN st ON st.period_h = h.period_h AND st.layer = l.layer""")

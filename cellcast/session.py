@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -69,9 +70,32 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/cellcast-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _file(spark: SparkSession, path: str):
+    """A path and the file system it lies in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file(spark, path)
+    return fs.exists(at)
+
+
+def modified_at(spark: SparkSession, path: str | None) -> float:
+    """When a path was last changed, in seconds; ``None`` is now."""
+    if path is None:
+        return time.time()
+    at, fs = _file(spark, path)
+    return fs.getFileStatus(at).getModificationTime() / 1000.0
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at, fs = _file(spark, path)
+    fs.delete(at, True)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`scratch_dir` gave out, by the file system it lies in."""
     if "/cellcast-" not in path:
         raise ValueError(f"not a scratch folder: {path}")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_folder(spark, path)
