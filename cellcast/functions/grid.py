@@ -73,17 +73,27 @@ UTM_FALSE_EASTING = 500000.0
 UTM_FALSE_NORTHING_SOUTH = 10000000.0
 
 
-def utm_zone(lat: Column, lng: Column) -> Column:
-    """Automatic UTM zone number, with the Norway and Svalbard exceptions."""
-    base = (F.floor((lng + 180.0) / 6.0) + 1).cast("int")
-    return (
-        F.when((lat >= 56) & (lat < 64) & (lng >= 3) & (lng < 12), F.lit(32))
-        .when((lat >= 72) & (lat <= 84) & (lng >= 0) & (lng < 9), F.lit(31))
-        .when((lat >= 72) & (lat <= 84) & (lng >= 9) & (lng < 21), F.lit(33))
-        .when((lat >= 72) & (lat <= 84) & (lng >= 21) & (lng < 33), F.lit(35))
-        .when((lat >= 72) & (lat <= 84) & (lng >= 33) & (lng < 42), F.lit(37))
-        .otherwise(base)
-    )
+# The irregular zones around Norway and Svalbard, as latitude from and below (or up to
+# and with the last degree of the projection), longitude from and below, zone.
+IRREGULAR_ZONES = [
+    (56.0, 64.0, 3.0, 12.0, 32),
+    (72.0, 84.0, 0.0, 9.0, 31),
+    (72.0, 84.0, 9.0, 21.0, 33),
+    (72.0, 84.0, 21.0, 33.0, 35),
+    (72.0, 84.0, 33.0, 42.0, 37),
+]
+LAST_LATITUDE = 84.0
+
+
+def utm_zone(lat: Column, lng: Column, irregular=tuple(IRREGULAR_ZONES)) -> Column:
+    """Automatic UTM zone number: the interval of the irregular zones that holds the point, or
+    else the zone of its six degrees. The table is short and its intervals are disjoint, so the
+    lookup is an expression; a join would cost a row's worth of work for five rows."""
+    zone = (F.floor((lng + 180.0) / 6.0) + 1).cast("int")
+    for lat_from, lat_to, lng_from, lng_to, number in irregular:
+        below = (lat <= lat_to) if lat_to == LAST_LATITUDE else (lat < lat_to)
+        zone = F.when((lat >= lat_from) & below & (lng >= lng_from) & (lng < lng_to), F.lit(number)).otherwise(zone)
+    return zone
 
 
 def with_utm(df: DataFrame, lat: Column, lng: Column, zone: int | None = None,

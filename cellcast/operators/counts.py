@@ -26,6 +26,23 @@ def persist_counts(counts: DataFrame, storage=StorageLevel.MEMORY_AND_DISK) -> D
     return counts.persist(storage)
 
 
+def write_by_cell(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Write a table of cells in buckets by ``(row, col)``, one file each, and read it back.
+
+    What is joined or summed by cell from it needs no exchange, and a lost executor costs the
+    reading of its buckets. The table lies in ``path``, a folder that all executors share;
+    dropping it from the catalog leaves the files.
+    """
+    spark = df.sparkSession
+    order = [c for c in ("row", "col", "period_h") if c in df.columns]
+    (df.repartition(buckets, "row", "col").write.bucketBy(buckets, "row", "col").sortBy(*order)
+       .mode("overwrite").option("path", path).saveAsTable(table))
+    # Else Spark reads the buckets of one cell in several tasks where it sees no use for them
+    # directly above the scan, as below the fan-out of the lag layers.
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    return spark.table(table)
+
+
 def trips_by_day(counts: DataFrame) -> DataFrame:
     """Trips per calendar day (``day_key`` = yyyymmdd), out-of-extent trips included."""
     return counts.groupBy(day_key(F.col("period_h")).alias("day_key")).agg(

@@ -1,9 +1,13 @@
 """Concentration of demand: how much of a raster's total its top cells hold.
 
-For each (period, layer) raster, cells are ranked by value (descending, ties
-broken by cell) and the values of the top 1, 5, 10 and 20 % of the evaluation
-area are summed. Only stored (non-zero) cells are ranked; zeros add nothing to
-a prefix sum because all values are non-negative.
+For each (period, layer) raster, the values of the top 1, 5, 10 and 20 % of the
+evaluation area are summed, greatest first. Only stored (non-zero) cells count;
+zeros add nothing to a prefix sum because all values are non-negative.
+
+No cell is ranked: which of several equal cells comes first does not change a
+sum, so a raster is a histogram of its values, combined in the map tasks, and
+the window runs over its distinct values. ``ranked_top_share`` ranks the cells
+and gives the same sums.
 """
 
 from __future__ import annotations
@@ -22,23 +26,38 @@ def top_k_sizes(area: int) -> dict[str, int]:
     return {name: int(area * f) for name, f in SHARE_FRACTIONS}
 
 
+def _sizes(area) -> dict:
+    """``area`` is an int or a Column, e.g. a scalar subquery that counts the mask cells, which
+    keeps the count inside the same plan."""
+    if isinstance(area, int):
+        return top_k_sizes(area)
+    return {name: F.floor(area.cast("double") * f) for name, f in SHARE_FRACTIONS}
+
+
 def top_share(layers: DataFrame, area, keys=("period_h", "layer")) -> DataFrame:
     """``(period_h, layer, one_percent, five_percent, ten_percent, twenty_percent, total)``.
 
-    ``area`` is an int or a Column (e.g. a scalar subquery counting mask cells,
-    which keeps the count inside the same plan). One window per raster; a
-    raster holds at most one row per grid cell, so no window partition grows
-    with the trip volume.
+    The exchange by raster carries one row per distinct value, at most one per grid cell.
     """
     keys = list(keys)
-    if isinstance(area, int):
-        ks = top_k_sizes(area)
-    else:
-        ks = {name: F.floor(area.cast("double") * f) for name, f in SHARE_FRACTIONS}
+    histogram = layers.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
+    above = Window.partitionBy(*keys).orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = histogram.select(*keys, "value", "_n", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+
+    def taken(k):
+        return F.greatest(F.lit(0), F.least(F.col("_n"), k - F.col("_above")))
+
+    aggs = [F.sum(F.col("value") * taken(F.lit(k) if isinstance(k, int) else k)).alias(name) for name, k in _sizes(area).items()]
+    return placed.groupBy(*keys).agg(*aggs, F.sum(F.col("value") * F.col("_n")).alias("total"))
+
+
+def ranked_top_share(layers: DataFrame, area, keys=("period_h", "layer")) -> DataFrame:
+    """The same by ranking every cell, ties broken by cell: one window per raster."""
+    keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(F.col("value").desc(), "row", "col")
     ranked = layers.select(*keys, "value", F.row_number().over(w).alias("_rn"))
     aggs = [F.coalesce(F.sum(F.when(F.col("_rn") <= k, F.col("value"))), F.lit(0.0)).alias(name)
-            for name, k in ks.items()]
+            for name, k in _sizes(area).items()]
     return ranked.groupBy(*keys).agg(*aggs, F.sum("value").alias("total"))
 
 

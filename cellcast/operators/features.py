@@ -43,14 +43,18 @@ def cell_partitions(grid: GridSpec, hours: int = DEFAULT_SPAN_HOURS) -> int:
     return max(1, math.ceil(grid.n_cells * hours / ROWS_PER_TASK))
 
 
-def dense_keys(eligible: DataFrame, mask: DataFrame, grid: GridSpec, hours: int = DEFAULT_SPAN_HOURS) -> DataFrame:
+def dense_keys(eligible: DataFrame, mask: DataFrame, grid: GridSpec, hours: int = DEFAULT_SPAN_HOURS,
+               by_cell: bool = False) -> DataFrame:
     """``(period_h, row, col)`` for every mask cell at every eligible period.
 
     The eligible hours are a scalar subquery of the same plan, one array with a number
     per hour. The result stays partitioned by cell; ``hours`` only sizes the tasks.
+    ``by_cell`` says that the mask is partitioned so already.
     """
     periods = eligible.agg(F.sort_array(F.collect_set("period_h"))).scalar()
-    cells = mask.select("row", "col").repartition(cell_partitions(grid, hours), "row", "col")
+    cells = mask.select("row", "col")
+    if not by_cell:
+        cells = cells.repartition(cell_partitions(grid, hours), "row", "col")
     return cells.select(F.explode(periods).alias("period_h"), "row", "col")
 
 

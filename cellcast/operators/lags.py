@@ -13,7 +13,7 @@ layer, so that only un-copied counts cross the network. The per-layer functions
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellcast.functions.periods import shift_period
@@ -80,19 +80,21 @@ LAG_OFFSETS = {
 }
 
 
-def lag_layers(counts: DataFrame, layers=tuple(LAG_OFFSETS)) -> DataFrame:
+def lag_layers(counts: DataFrame, layers=tuple(LAG_OFFSETS), by_cell: bool = False) -> DataFrame:
     """Sparse wide table ``(period_h, row, col, <layer>...)`` in one shuffle of the counts.
 
     The counts are partitioned by cell before they fan out: all hours of a cell meet in
     one task, so the sums need no second exchange. A cell has one count per hour, however
-    many trips it had.
+    many trips it had. ``by_cell`` says that they are partitioned so already
+    (``counts.write_by_cell``).
 
     A layer column is NULL where that layer has no row (a zero of the dense
     raster); a row exists where at least one requested layer has one.
     """
     wanted = {k: LAG_OFFSETS[k] for k in layers}
     xs = sorted({x for v in wanted.values() for x in v})
-    fan = counts.select("period_h", "row", "col", "n").repartition("row", "col").select(
+    placed = counts.select("period_h", "row", "col", "n")
+    fan = (placed if by_cell else placed.repartition("row", "col")).select(
         F.explode(F.array(*[F.lit(x) for x in xs])).alias("_x"), "period_h", "row", "col", "n")
     fan = fan.select((F.col("period_h") + F.col("_x")).cast("int").alias("period_h"),
                      "row", "col", "_x", "n")
@@ -101,3 +103,20 @@ def lag_layers(counts: DataFrame, layers=tuple(LAG_OFFSETS)) -> DataFrame:
         hit = F.col("_x").isin(*offs) if len(offs) > 1 else (F.col("_x") == offs[0])
         aggs.append(F.sum(F.when(hit, F.col("n"))).cast("double").alias(name))
     return fan.groupBy(*KEYS).agg(*aggs)
+
+
+def trailing_window(counts: DataFrame, start: int, end: int) -> DataFrame:
+    """Like :func:`trailing_sum` over ``range(start, end)``, by a RANGE frame.
+
+    A frame yields rows where its input has rows only, so every cell is made dense first, from
+    its first hour to the last one that its trips reach. One exchange by cell serves the ends,
+    the join and the window; a cell's rows are bounded by the hours of the calendar.
+    """
+    if end <= start:
+        return trailing_sum(counts, start, end)
+    cells = counts.select(*KEYS, "n").repartition("row", "col")
+    ends = cells.groupBy("row", "col").agg(F.min("period_h").alias("lo"), F.max("period_h").alias("hi"))
+    spine = ends.select(F.explode(F.sequence(F.col("lo"), F.col("hi") + (end - 1))).alias("period_h"), "row", "col")
+    frame = Window.partitionBy("row", "col").orderBy("period_h").rangeBetween(-(end - 1), -start)
+    dense = spine.join(cells.hint("merge"), KEYS, "left")
+    return dense.select(*KEYS, F.sum("n").over(frame).alias("n")).filter(F.col("n").isNotNull())

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellcast.functions.grid import GridSpec
@@ -88,3 +88,42 @@ def kernel_density(layers: DataFrame, grid: GridSpec, sigma: float = 1.0, trunca
 def focal_mean(layers: DataFrame, grid: GridSpec, size: int = 1, keys=("layer", "period_h")) -> DataFrame:
     """Uniform ``size x size`` mean; ``size=1`` is the identity."""
     return separable_filter(layers, uniform_kernel(size), grid, keys)
+
+
+def running_axis(df: DataFrame, size: int, axis: str, n: int, keys: list[str]) -> DataFrame:
+    """Sums over ``size`` cells along one axis, by running sums.
+
+    A line of the raster (one per row or column that has a non-zero cell) is laid out with its
+    mirrored edges, ``n + size - 1`` places; a window sum is the difference of two running
+    sums, so the work per place does not depend on ``size``. Cells are counted the same way,
+    so that a window without any has no row, whatever the last bits of the sums.
+    """
+    other = "col" if axis == "row" else "row"
+    left, right = size // 2, size - 1 - size // 2
+    line = [*keys, other]
+    at = F.explode(F.sequence(F.lit(-left), F.lit(n - 1 + right))).alias("_p")
+    lines = df.select(*keys, "row", "col", "value").repartition(*line)
+    places = lines.select(*line).distinct().select(*line, at)
+    turn = F.pmod(F.col("_p"), F.lit(2 * n))
+    places = places.withColumn(axis, F.when(turn < n, turn).otherwise(2 * n - 1 - turn).cast("int"))
+    laid = places.join(lines.hint("merge"), [*line, axis], "left")
+    upto = Window.partitionBy(*line).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = laid.select(*line, "_p", F.sum(F.coalesce("value", F.lit(0.0))).over(upto).alias("_s"), F.count("value").over(upto).alias("_c"))
+    order = Window.partitionBy(*line).orderBy("_p")
+
+    def span(c: str):
+        return F.lead(c, right).over(order) - F.coalesce(F.lag(c, left + 1).over(order), F.lit(0))
+
+    out = run.select(*line, F.col("_p").cast("int").alias(axis), span("_s").alias("value"), span("_c").alias("_c"))
+    return out.filter(F.col(axis).between(0, n - 1) & (F.col("_c") > 0)).select(*keys, "row", "col", "value")
+
+
+def wide_focal_mean(layers: DataFrame, grid: GridSpec, size: int, keys=("layer", "period_h")) -> DataFrame:
+    """:func:`focal_mean` for large windows: the cost per cell does not grow with ``size``, which
+    may exceed the axes. Sums of whole numbers are exact until they are divided."""
+    if size < 1:
+        raise ValueError("size must be >= 1")
+    keys = list(keys)
+    rows_done = running_axis(layers, size, "row", grid.n_rows, keys)
+    both = running_axis(rows_done, size, "col", grid.n_cols, keys)
+    return both.select(*keys, "row", "col", (F.col("value") / float(size * size)).alias("value"))

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.functions.grid import TEST_1KM, in_extent
+from cellcast.functions.grid import TEST_1KM, in_extent, utm_zone, with_utm
 from cellcast.functions import periods as P
 from cellcast.operators import evaluate as E
 from cellcast.operators import features as FT
@@ -25,9 +25,11 @@ from cellcast.operators import model as M
 from cellcast.operators import smooth as S
 from cellcast.operators import trees as TR
 from cellcast.plans import demand_model as DM
+from cellcast.plans import report as R
 from cellcast.session import scratch_dir
 from cellcast.sources import geo as GEO
 from cellcast.sources import rasters as RS
+from cellcast.sources import trip_store as TS
 from cellcast.sources import weather as W
 from cellcast.operators import counts as C
 from cellcast.operators import lags as L
@@ -687,3 +689,147 @@ def forest_concentration(spark, sf_dir):
     """ML10: top-share stats of the predicted, observed and baseline rasters."""
     stats = _table_forest(spark, sf_dir, SMALL_FOREST).stats
     return stats.select("period_h", "layer", *[_round(c, c) for c in E.STAT_COLUMNS])
+
+
+@query
+def outputs_listing(spark, sf_dir):
+    """ML7, FLT5, SNK2-3: predicted, observed and halved two-hour rasters of the test hours written to
+    the store as the job leaves them, and the rasters that the store lists."""
+    path = scratch_dir(spark, "outputs")
+    R.store_outputs(_table_forest(spark, sf_dir, SMALL_FOREST), path, GRID)
+    return RS.list_rasters(spark, path)
+
+
+@query
+def rf_deep(spark, sf_dir):
+    """ML4: the deep preset (300 trees, depth 10, 64 bins) fitted on the trips per train hour, exported
+    as nodes, and every test hour led through them (rows-only check)."""
+    c = held_counts(spark, sf_dir)
+    hours = c.groupBy("period_h").agg(F.sum("n").cast("double").alias("label"))
+    lags = {f"lag_{k}": k for k in (1, 24, 168)}
+    rows = hours.join(M.split_periods(hours.select("period_h"), 0.7, seed=7), "period_h")
+    for name, k in lags.items():
+        before = hours.select((F.col("period_h") + k).cast("int").alias("period_h"), F.col("label").alias(name))
+        rows = rows.join(before, "period_h", "left").na.fill(0.0, [name])
+    rows = rows.withColumns({"hour": F.pmod(F.col("period_h"), F.lit(24)).cast("double"),
+                             "weekday": F.weekday(P.period_date(F.col("period_h"))).cast("double"),
+                             "row": F.lit(0), "col": F.lit(0)})
+    columns = ["hour", "weekday", *lags]
+    model = M.fit_columns(rows.filter("split = 'train'"), columns, M.DEEP_FOREST)
+    nodes = TR.model_nodes(model, scratch_dir(spark, "deep-forest"))
+    x = F.array(*[F.col(k) for k in columns]).alias("x")
+    test = rows.filter("split = 'test'").select("period_h", "row", "col", x)
+    return TR.score(nodes, test, M.DEEP_FOREST, root=0).select("period_h", _round("prediction", "prediction"))
+
+
+# ---- landed files --------------------------------------------------------------------
+
+def _landed(lines, batch, path):
+    """Lines landed as gzip files in a folder per batch (the trip's number modulo three)."""
+    trip_id = F.substring_index("value", ",", 1).cast("long")
+    (lines.select("value", (trip_id % 3).alias("batch")).filter(batch).write.mode("append")
+     .partitionBy("batch").option("compression", "gzip").text(path))
+
+
+@query
+def quarantine_ingest(spark, sf_dir):
+    """SRC2, AGG1 in one pass: cell-hour counts of the good lines, and every bad line kept, by file
+    folder and reason with the sum of the trips' numbers."""
+    base = scratch_dir(spark, "trip-store")
+    _landed(T.damaged_trip_lines(T.load_events(spark, sf_dir)), F.lit(True), f"{base}/in")
+    TS.ingest_new(spark, f"{base}/in", f"{base}/store", GRID, partitions=spark.sparkContext.defaultParallelism)
+    trip_id = F.substring_index("line", ",", 1).cast("long")
+    batch = F.regexp_extract("file", "batch=([0-9]+)", 1).cast("int")
+    bad = TS.bad_lines(spark, f"{base}/store").groupBy(batch.alias("batch"), "reason").agg(
+        F.sum("n").alias("n"), F.sum(trip_id * F.col("n")).alias("ids"))
+    none = F.lit(None).cast("int")
+    return TS.stored_counts(spark, f"{base}/store").select(
+        none.alias("batch"), F.lit("good").alias("reason"), "period_h", "row", "col", "n", F.lit(None).cast("long").alias("ids")).unionByName(
+        bad.select("batch", "reason", none.alias("period_h"), none.alias("row"), none.alias("col"), "n", "ids"))
+
+
+@query
+def trips_incremental(spark, sf_dir):
+    """SRC1 with a ledger: a first landing, a second one beside it and a repeat; every file counts once."""
+    base = scratch_dir(spark, "trip-store")
+    lines = T.trip_lines_from_events(T.load_events(spark, sf_dir))
+    tasks = spark.sparkContext.defaultParallelism
+    for batch in (F.col("batch") == 0, F.col("batch") > 0, F.lit(False)):
+        _landed(lines, batch, f"{base}/in")
+        TS.ingest_new(spark, f"{base}/in", f"{base}/store", GRID, "fail", partitions=tasks)
+    return TS.stored_counts(spark, f"{base}/store")
+
+
+# ---- written counts, dense frames, wide windows, zones ---------------------------------
+
+def by_cell_tables(spark, sf_dir, buckets=8):
+    """Counts and mask written in buckets by cell, under names of their own."""
+    base = scratch_dir(spark, "by-cell")
+    name = base.rsplit("-", 1)[-1]
+    return (C.write_by_cell(counts(spark, sf_dir), f"counts_{name}", f"{base}/counts", buckets),
+            C.write_by_cell(mask(spark), f"mask_{name}", f"{base}/mask", buckets))
+
+
+def materialized_lags(c, m):
+    """Lag layers of written counts at every mask cell of every eligible hour: no exchange by cell."""
+    el = LY.eligible_periods(LY.period_manifest(c, [LY.OBSERVED] + LY.OLDER_ORDERING), LY.OLDER_ORDERING)
+    lags = L.lag_layers(c, by_cell=True)
+    dense = FT.dense_keys(el, m, GRID, by_cell=True)
+    return dense.join(lags.hint("shuffle_hash"), ["period_h", "row", "col"], "left")
+
+
+@query
+def counts_materialized(spark, sf_dir):
+    """SNK4: counts written in buckets by cell; their lag layers, made dense, per period."""
+    layers = [LY.OBSERVED, *LY.OLDER_ORDERING]
+    place = (F.col("row") * GRID.n_cols + F.col("col") + 1).cast("double")
+    dense = materialized_lags(*by_cell_tables(spark, sf_dir))
+    return dense.groupBy("period_h").agg(F.count(F.lit(1)).alias("n_rows"), *[
+        F.round(F.coalesce(F.sum(x), F.lit(0.0)), 3).alias(f"{kind}_{k}")
+        for k in layers for kind, x in (("sum", F.col(k)), ("placed", F.col(k) * place))])
+
+
+@query
+def row_counts(spark, sf_dir):
+    """AGG14: rows of the trips, the counts, the layers and the feature table of the older job."""
+    c = held_counts(spark, sf_dir)
+    el = LY.eligible_periods(LY.period_manifest(c, [LY.OBSERVED] + LY.OLDER_ORDERING), LY.OLDER_ORDERING)
+    tables = {"trips": cells(spark, sf_dir), "counts": c, "layers": LY.long_layers(c, GRID, LY.OLDER_ORDERING),
+              "features": FT.dense_keys(el, mask(spark), GRID)}
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("step"), "n") for k, df in tables.items()])
+
+
+@query
+def trailing_dense(spark, sf_dir):
+    """WIN3: the eight-hour sum by a RANGE frame over cells made dense, as the fan-out gives it."""
+    return L.trailing_window(counts(spark, sf_dir), 1, 9)
+
+
+@query
+def focal_mean_wide(spark, sf_dir):
+    """SPT2: windows of 25 and 26 cells by running sums; per period cells, mass, mass by place and peak."""
+    src = _two_hour_layer(spark, sf_dir)
+    place = F.col("row") * GRID.n_cols + F.col("col") + 1
+    parts = [S.wide_focal_mean(src, GRID, size).groupBy("period_h").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.round(F.sum("value"), 6).alias("total"),
+        F.round(F.sum(F.col("value") * place), 4).alias("placed"), F.round(F.max("value"), 6).alias("peak")).select(
+        F.lit(size).alias("size"), "*") for size in (25, 26)]
+    return parts[0].unionByName(parts[1])
+
+
+# Latitudes and longitudes on, below and above the borders of the irregular zones.
+ZONE_LATITUDES = [-80.0, -33.0, 0.0, 55.999, 56.0, 60.0, 63.999, 64.0, 71.999, 72.0, 78.0, 83.999, 84.0]
+ZONE_LONGITUDES = [-180.0, -0.001, 0.0, 2.999, 3.0, 5.999, 6.0, 8.999, 9.0, 11.999, 12.0, 20.999, 21.0, 32.999, 33.0, 41.999, 42.0, 179.999]
+
+
+@query
+def utm_zones(spark, sf_dir):
+    """PRJ3: zone, easting and northing of points at the borders of all irregular zones, one per event."""
+    def nth(values, i):
+        return F.element_at(F.array(*map(F.lit, values)), (F.pmod(i, F.lit(len(values))) + 1).cast("int"))
+
+    e = T.load_events(spark, sf_dir).select("event_id")
+    points = e.select("event_id", nth(ZONE_LATITUDES, F.col("event_id")).alias("lat"), nth(
+        ZONE_LONGITUDES, F.floor(F.col("event_id") / len(ZONE_LATITUDES))).alias("lng"))
+    placed = with_utm(points, F.col("lat"), F.col("lng"))
+    return placed.select("event_id", utm_zone(F.col("lat"), F.col("lng")).alias("zone"), F.round("x", 3).alias("x"), F.round("y", 2).alias("y"))

@@ -29,6 +29,7 @@ from cellcast.operators import layers as LY
 from cellcast.operators import model as M
 from cellcast.operators import trees as TR
 from cellcast.session import delete_path, scratch_dir
+from cellcast.sources import trip_store
 from cellcast.sources.trips import trip_cells
 
 
@@ -47,6 +48,7 @@ class DemandModelConfig:
     truncate: float = 4.0
     focal_size: int = 1
     area: int | None = None          # evaluation area; default = number of mask cells
+    hours: int = FT.DEFAULT_SPAN_HOURS  # eligible hours that the expansion tasks are sized for
     materialize: str = "table"       # 'table' (parquet in the checkpoint folder), 'checkpoint' or 'none'
 
 
@@ -76,8 +78,16 @@ class DemandModelResult:
 
 
 def ingest(spark: SparkSession, trip_paths, grid: GridSpec = NYC_50M, on_bad: str = "fail",
-           zone: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Trip text -> persisted cell-hour counts; unpersist them when done."""
+           zone: int | None = None, partitions: int | None = None, store: str | None = None) -> DataFrame:
+    """Trip text -> persisted cell-hour counts; unpersist them when done.
+
+    With a ``store`` folder the files are counted once each, whatever the number of calls, and
+    ``on_bad='quarantine'`` keeps their bad lines there (``trip_store.bad_lines``)."""
+    if store is not None:
+        trip_store.ingest_new(spark, trip_paths, store, grid, on_bad, zone, partitions)
+        return C.persist_counts(trip_store.stored_counts(spark, store))
+    if on_bad == "quarantine":
+        raise ValueError("on_bad='quarantine' needs a store for the bad lines")
     return C.persist_counts(C.cell_hour_counts(trip_cells(spark, trip_paths, grid, on_bad, zone, partitions)))
 
 
@@ -107,7 +117,7 @@ def build_features(counts: DataFrame, mask: DataFrame, geo: DataFrame, weather:
     eligible = LY.eligible_periods(manifest, ordering)
     wide = LY.wide_layers(counts, cfg.grid, ordering, cfg.sigma, cfg.truncate, cfg.focal_size)
     feats = FT.feature_table(wide, eligible, mask, geo, weather if cfg.with_weather else None,
-                             cfg.grid, ordering, cfg.on_missing_weather)
+                             cfg.grid, ordering, cfg.on_missing_weather, cfg.hours)
     return manifest, eligible, feats
 
 

@@ -651,3 +651,72 @@ st AS ({_stats_sql("src")})
 SELECT CAST(h.period_h AS INTEGER) AS period_h, l.layer, coalesce(one_percent, 0.0) AS one_percent, coalesce(five_percent, 0.0) AS five_percent,
        coalesce(ten_percent, 0.0) AS ten_percent, coalesce(twenty_percent, 0.0) AS twenty_percent, coalesce(total, 0.0) AS total
 FROM held h CROSS JOIN (VALUES ('pred'), ('obs'), ('two')) l(layer) LEFT JOIN st ON st.period_h = h.period_h AND st.layer = l.layer""")
+
+
+# ---- landed files, written counts, dense frames, wide windows, zones -----------------------
+
+_BAD = "event_id % 89 = 0 OR event_id % 83 = 0 OR event_id % 79 = 0"
+SQL["quarantine_ingest"] = _with(_cells_cte()) + f"""
+SELECT CAST(NULL AS INTEGER) AS batch, 'good' AS reason, period_h, row, col, CAST(count(*) AS BIGINT) AS n, CAST(NULL AS BIGINT) AS ids
+FROM cells WHERE NOT ({_BAD.replace("event_id", "trip_id")}) GROUP BY period_h, row, col
+UNION ALL
+SELECT CAST(event_id % 3 AS INTEGER), CASE WHEN event_id % 89 = 0 THEN 'fields' ELSE 'datetime' END, CAST(NULL AS INTEGER),
+       CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), CAST(count(*) AS BIGINT), CAST(sum(event_id) AS BIGINT)
+FROM events WHERE {_BAD} GROUP BY 1, 2"""
+
+SQL["trips_incremental"] = SQL["trips_cell_hour"]
+
+_PER_PERIOD = ", ".join(f"round(sum({x}), 3) AS {kind}_{k}" for k in ["observed", *OLDER_NAMES] for kind, x in (
+    ("sum", "label" if k == "observed" else k), ("placed", f"{'label' if k == 'observed' else k} * (row * {G.n_cols} + col + 1)")))
+SQL["counts_materialized"] = _features_sql(True, f"""
+SELECT period_h, CAST(count(*) AS BIGINT) AS n_rows, {_PER_PERIOD} FROM ft GROUP BY period_h""")
+
+SQL["row_counts"] = _with(_cells_cte(), _hours_cte(), _eligible_cte(), _grid_cte(), _layers_cte(older=True)) + """
+SELECT 'trips' AS step, CAST(count(*) AS BIGINT) AS n FROM cells
+UNION ALL SELECT 'counts', count(*) FROM counts
+UNION ALL SELECT 'layers', count(*) FROM lay
+UNION ALL SELECT 'features', (SELECT count(*) FROM elig) * (SELECT count(*) FROM maskc)"""
+
+SQL["trailing_dense"] = SQL["trailing_8h"]
+
+
+def _uniform(size: int) -> str:
+    return f"u{size} AS (SELECT k, 1.0::DOUBLE AS w FROM range(-{size // 2}, {size - size // 2}) s(k))"
+
+
+SQL["focal_mean_wide"] = _with(_cells_cte(), _trailing_cte("two", 1, 2), *[
+    x for size in (25, 26) for x in (_uniform(size), _map_cte(f"ur{size}", G.n_rows, f"u{size}"), _map_cte(f"uc{size}", G.n_cols, f"u{size}"))
+]) + "\nUNION ALL\n".join(f"""
+SELECT CAST({size} AS INTEGER) AS size, period_h, CAST(count(*) AS BIGINT) AS n_cells, round(sum(value), 6) AS total,
+       round(sum(value * (row * {G.n_cols} + col + 1)), 4) AS placed, round(max(value), 6) AS peak
+FROM (SELECT t.period_h, rm.i AS row, cm.i AS col, sum(t.n * rm.w * cm.w) / {size * size}.0 AS value
+      FROM (SELECT * FROM two WHERE {_in_extent()}) t JOIN ur{size} rm ON t.row = rm.ri JOIN uc{size} cm ON t.col = cm.ri GROUP BY ALL)
+GROUP BY period_h""" for size in (25, 26))
+
+
+def _zones_sql() -> str:
+    lats = [-80.0, -33.0, 0.0, 55.999, 56.0, 60.0, 63.999, 64.0, 71.999, 72.0, 78.0, 83.999, 84.0]
+    lngs = [-180.0, -0.001, 0.0, 2.999, 3.0, 5.999, 6.0, 8.999, 9.0, 11.999, 12.0, 20.999, 21.0, 32.999, 33.0, 41.999, 42.0, 179.999]
+    x, y = _utm_sql("lat", "lng")
+    # The series with its own zone in place of the regular one.
+    regular = "floor((lng + 180) / 6) + 1"
+    x, y = x.replace(regular, "zone"), y.replace(regular, "zone")
+    return f"""
+WITH p AS (
+  SELECT event_id, ([{', '.join(map(repr, lats))}])[(event_id % {len(lats)} + 1)::int]::DOUBLE AS lat,
+         ([{', '.join(map(repr, lngs))}])[((event_id // {len(lats)}) % {len(lngs)} + 1)::int]::DOUBLE AS lng FROM events),
+zones(lat_from, lat_to, lng_from, lng_to, number) AS (
+  VALUES (56.0, 63.9999999, 3.0, 12.0, 32), (72.0, 84.0, 0.0, 9.0, 31), (72.0, 84.0, 9.0, 21.0, 33), (72.0, 84.0, 21.0, 33.0, 35),
+         (72.0, 84.0, 33.0, 42.0, 37)),
+z AS (SELECT p.*, coalesce(number, floor((lng + 180) / 6) + 1)::int AS zone
+      FROM p LEFT JOIN zones ON lat >= lat_from AND lat <= lat_to AND lng >= lng_from AND lng < lng_to)
+SELECT event_id, zone, round({x}, 3) AS x, round({y}, 2) AS y FROM z"""
+
+
+SQL["utm_zones"] = _zones_sql()
+
+SQL["outputs_listing"] = _with(_cells_cte(), _hours_cte(), _manifest_cte(), _eligible_cte()) + """
+SELECT grouping, CAST(period_h AS INTEGER) AS period_h FROM (
+  SELECT layer AS grouping, period_h FROM man WHERE layer IN ('observed', 'two_hour')
+  UNION ALL SELECT 'predicted', period_h FROM elig)
+WHERE CAST(('0x' || substr(md5(CAST(period_h AS VARCHAR) || ':7'), 1, 8)) AS BIGINT) % 10000 >= 7000"""

@@ -106,9 +106,30 @@ def project_trips(trips: DataFrame, grid: GridSpec, zone: int | None = None,
     return out.drop("_lat_t", "_lng_t")
 
 
+# Fields that stand in where a line is bad, so that the projection runs over all lines.
+_STAND_IN = {"pickup_datetime": "2012-01-01 00:00:00", "pickup_longitude": "0", "pickup_latitude": "0"}
+
+
+def judged_lines(lines: DataFrame, keep: tuple[str, ...] = (), value_col: str = "value") -> DataFrame:
+    """Every line once: ``keep``, the used fields of a good one, and for a bad one ``reason``
+    (``fields`` or ``datetime``) and the ``line`` itself; both are null for a good line."""
+    parts = F.split(F.col(value_col), ",", -1)
+    split = lines.select(*keep, F.inline(F.array(F.struct(F.col(value_col).alias("line"), parts.alias("parts")))))
+    whole = F.size("parts") == len(TRIP_COLUMNS)
+    timed = good_datetime(F.get("parts", F.lit(TRIP_COLUMNS.index("pickup_datetime"))))
+    judged = split.select(*keep, F.inline(F.array(F.struct(
+        F.when(~whole, "fields").when(~timed, "datetime").alias("reason"), F.col("line"), F.col("parts")))))
+    bad = F.col("reason").isNotNull()
+    fields = [F.when(bad, F.lit(_STAND_IN[c])).otherwise(F.get("parts", F.lit(TRIP_COLUMNS.index(c)))).alias(c) for c in USED_COLUMNS]
+    return judged.select(*keep, "reason", F.when(bad, F.col("line")).alias("line"), *fields)
+
+
 def trip_cells(spark: SparkSession, path, grid: GridSpec, on_bad: str = "fail",
-               zone: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Scan, split and project; ``partitions`` spreads the lines of a few large files."""
+               zone: int | None = None, partitions: int | None = None):
+    """Scan, split and project; ``partitions`` spreads the lines of a few large files. With
+    ``on_bad='quarantine'`` the result is ``(cells, bad lines)``; ``sources.trip_store`` keeps
+    both from one pass."""
     good = split_trip_lines(read_trip_lines(spark, path), on_bad=on_bad)
-    good = good[0] if on_bad == "quarantine" else good
+    if on_bad == "quarantine":
+        return project_trips(spread(good[0], partitions), grid, zone), good[1]
     return project_trips(spread(good, partitions), grid, zone)

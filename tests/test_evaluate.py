@@ -16,3 +16,17 @@ def test_top_share_prefix_sums(spark):
 def test_top_k_sizes_truncate():
     assert E.top_k_sizes(313024) == {"one_percent": 3130, "five_percent": 15651,
                                      "ten_percent": 31302, "twenty_percent": 62604}
+
+
+def test_histogram_of_values_equals_ranking(spark):
+    import random
+
+    from cellcast.operators import evaluate as E
+    rng = random.Random(2)
+    rows = [(h, "a", r, c, float(rng.choice([1, 1, 1, 2, 2, 5, 0.5, rng.random()]))) for h in range(4) for r in range(9) for c in range(9)]
+    rows += [(9, "a", 0, 0, 3.0), (10, "b", 0, 0, 2.0), (10, "b", 0, 1, 2.0)]
+    df = spark.createDataFrame(rows, "period_h int, layer string, row int, col int, value double")
+    for area in (100, 313, 7, 0):
+        a, b = ({(r.period_h, r.layer): [round(r[c], 9) for c in E.STAT_COLUMNS] for r in f(df, area).collect()}
+                for f in (E.top_share, E.ranked_top_share))
+        assert a == b

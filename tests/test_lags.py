@@ -58,3 +58,10 @@ def test_fan_out_equals_densified_window(spark):
     w = Window.partitionBy("row", "col").orderBy("period_h").rangeBetween(-2, -1)
     win = d.select("period_h", F.sum("n").over(w).alias("n")).filter(F.col("n") > 0)
     assert as_dict(win) == as_dict(L.two_hour(c))
+
+
+def test_range_frame_over_dense_cells_equals_fan_out(spark):
+    c = counts(spark, [(h, r, 0, h % 4 + 1) for h in (3, 4, 9, 30, 31, 60) for r in range(2)] + [(5, 7, 7, 2)])
+    for start, end in ((1, 9), (0, 3), (24, 25), (2, 2)):
+        want = sorted(map(tuple, L.trailing_sum(c, start, end).collect()))
+        assert sorted(map(tuple, L.trailing_window(c, start, end).collect())) == want

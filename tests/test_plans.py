@@ -89,3 +89,28 @@ def test_trips_are_parsed_once(spark, name, scans):
     leaves = [plan.apply(i).getClass().getSimpleName() for i in range(plan.size())]
     assert "InMemoryRelation" in leaves
     assert leaves.count("LogicalRelation") == scans
+
+
+def main_tree(df) -> str:
+    """The tree of the plan as it ran, without its subqueries."""
+    qe = df._jdf.queryExecution()
+    qe.executedPlan().executeCollect()
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = qe.explainString(mode).partition("== Initial Plan ==")[0]
+    return text.partition("===== Subqueries =====")[0]
+
+
+def test_written_counts_need_no_exchange_by_cell(spark):
+    """Lag layers of the written counts and their dense join: neither side is exchanged."""
+    c, m = catalog.by_cell_tables(spark, SF_SMALL)
+    with without_broadcasts(spark):
+        tree = main_tree(catalog.materialized_lags(c, m).groupBy().agg(F.sum("two_hour"), F.count("row")))
+    below = tree[tree.index("ShuffledHashJoin"):]
+    assert "Exchange" not in below and "Sort " not in below and below.count("Scan parquet") == 2
+
+
+def test_top_share_ranks_no_cells(spark):
+    """Values are combined before the exchange by raster, above which the window runs."""
+    tree = main_tree(catalog.QUERIES["top_share"](spark, SF_SMALL))
+    below = tree[tree.index("Window"):]
+    assert below.index("Exchange") < below.index("HashAggregate")

@@ -78,3 +78,22 @@ def test_gaussian_weights():
 
 def test_focal_size_one_is_identity(spark, raster):
     np.testing.assert_array_equal(run(spark, raster, S.uniform_kernel(1)), raster)
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 25, 26, 40])
+def test_running_sums_equal_the_gather(spark, size):
+    rng = np.random.default_rng(size)
+    arr = np.where(rng.random((9, 12)) < 0.1, rng.integers(1, 9, (9, 12)), 0).astype(float)
+    rows = [("l", 0, int(r), int(c), float(arr[r, c])) for r, c in zip(*np.nonzero(arr), strict=True)]
+    df = spark.createDataFrame(rows, "layer string, period_h int, row int, col int, value double")
+    out = np.zeros_like(arr)
+    found = S.wide_focal_mean(df, SMALL, size).collect()
+    for r in found:
+        out[r["row"], r["col"]] += r["value"]
+    want = brute(arr, S.uniform_kernel(size))
+    assert np.allclose(out, want) and len(found) == (want > 1e-12).sum()
+
+
+def test_running_sums_of_no_cells(spark):
+    df = spark.createDataFrame([], "layer string, period_h int, row int, col int, value double")
+    assert S.wide_focal_mean(df, SMALL, 5).count() == 0
