@@ -1,9 +1,16 @@
 """Main-text extraction by classified text blocks.
 
 A page is cut into flat text blocks at block-level tags. Each block has its number of
-words, its link density, the same of the blocks beside it, and marks of the elements
-around it. A decision tree, trained on the blocks of the small labelled pages below, tells
-main text from the rest; the blocks of main text are joined in page order.
+words, its link density, the same of the blocks beside it, how much plain text stands
+around it, its place on the page, and marks of the elements around it. A decision tree,
+trained on a small labelled table, tells main text from the rest; the blocks of main text
+are joined in page order.
+
+The labelled table is made of the pages written out below and of ``COMPOSED_PAGES`` pages
+composed from their parts by a seeded rule: main text and boilerplate in several shapes,
+with article and main elements or plain wrappers, with names that tell, names that say
+nothing, and names that lie (a section of the article that is called a discussion). So no
+name decides by itself: what a name is worth, the tree learns beside the other features.
 
 Each page is read on its own, whole, in one pass without a shuffle. A null or empty page,
 or one without main text, gives an empty text; pages that end in the middle of a tag, a
@@ -15,6 +22,7 @@ gives an empty result.
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -27,11 +35,12 @@ from pyspark.sql import functions as F
 
 from cellcast.llm.text import slices, small_batches
 
-TREE_DEPTH = 6
+TREE_DEPTH = 12
+COMPOSED_PAGES = 2000
 
 # Elements whose text is no text, elements that end a block, void elements. All that
 # a head may hold is among them or void; text ends a head, whose closing tag may be left out.
-HIDDEN = "script|style|noscript|template|svg|math|iframe|object|textarea|select|button|title"
+HIDDEN = "script|style|noscript|template|svg|iframe|object|textarea|select|button|title"
 BLOCK_TAGS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset
     figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary
     table tbody td tfoot th thead tr ul""".split())
@@ -39,12 +48,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Elements and words in class, id and role that mark what surrounds a text.
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
 MAIN_TAGS = frozenset("article main".split())
-ASIDE_WORDS = frozenset("""ad ads advert adverts advertisement advertising adv banner sponsor sponsored promo promoted
-    promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer foot masthead topbar toolbar
-    sidebar side aside widget related recommended recommendations trending teaser cookie cookies consent gdpr notice
-    notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social follow
-    comment comments commentlist disqus respond reply replies discussion copyright legal disclaimer skip tagcloud
+# Words that seldom name a part of an article, and words that may.
+ASIDE_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted
+    promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar
+    sidebar widget related recommended recommendations trending teaser cookie cookies consent gdpr popup modal overlay
+    newsletter subscribe subscription signup login share sharing comments commentlist comment disqus tagcloud
     complementary contentinfo""".split())
+DOUBTFUL_WORDS = frozenset("""adv foot side aside notice notices alert search social follow respond reply replies
+    discussion copyright legal disclaimer skip""".split())
+# Elements that wrap others; the names of all others (a heading's anchor, a paragraph's style) are doubtful.
+WRAPPERS = frozenset("div section ul ol dl table aside nav form header footer figure details fieldset center tbody article main".split())
+# Phrases of legal lines, consent notes and invitations.
+PHRASES = re.compile(r"©|\(c\) |copyright|all rights reserved|terms (?:of|and)|privacy|cookie|subscribe|newsletter|sign (?:up|in)"
+                     r"|log ?in|follow us|powered by|tous droits|alle rechte|datenschutz|impressum|derechos reservados", re.I)
+SENTENCE = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>.*?(?:</\1\s*>|\Z)"
@@ -60,42 +77,48 @@ class Block(NamedTuple):
     words: int
     link_words: int
     main: bool     # inside an article or main element
-    aside: bool    # inside an element that its tag or names mark as no main text
-    heading: bool
+    aside: bool    # inside an element whose tag stands beside main text
+    named: bool    # inside a wrapper with a name that seldom belongs to an article
+    doubtful: bool  # inside an element with a name that may
+    heading: int   # level, 0 for none
+    item: bool     # list item or table cell
 
 
 class Open:
     """An open element: its tag and what it passes on to what it holds."""
 
-    def __init__(self, tag: str, main: bool, aside: bool, named: list[Open]):
-        self.tag, self.main, self.aside = tag, main, aside
+    def __init__(self, tag: str, main: bool, aside: bool, doubtful: bool, named: list[Open]):
+        self.tag, self.main, self.aside, self.doubtful = tag, main, aside, doubtful
         self.named = named  # this and outer elements whose names mark them as no main text
         self.holds_main = self.holds_article = False
 
 
-def _marks(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool]:
-    """Whether an element starts main text, and whether its tag or its names mark it as something
-    beside it. The names of a body speak of the page."""
+def _marks(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether an element starts main text, and whether its tag or its names, surely or perhaps,
+    mark it as something beside it. The names of a body speak of the page."""
     names: set[str] = set()
     for m in NAMES.finditer(attributes) if attributes and tag != "body" else ():
         whole = m[1].lower().strip("\"'").split()
         names.update(w for x in whole if tag not in STATE_TAGS or not STATE.fullmatch(x) for w in re.split(r"[^a-z]+", x))
     aside = tag in ASIDE_TAGS or tag == "header" and not inside_main
-    named = bool(names & ASIDE_WORDS)
-    return tag in MAIN_TAGS or "main" in names and not aside and not named, aside, named
+    sure = bool(names & ASIDE_WORDS)
+    named = sure and tag in WRAPPERS
+    doubtful = bool(names & DOUBTFUL_WORDS) or sure and not named
+    return tag in MAIN_TAGS or "main" in names and not aside and not named, aside, named, doubtful
 
 
 def cut_blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     blocks: list[Block] = []
     open_: list[Open] = []
-    outside = Open("", False, False, [])
+    outside = Open("", False, False, False, [])
     named_around: list[list[Open]] = []  # for each block
     articles: list[list[Open]] = []  # named elements around each article
     parts: list[str] = []
     link_parts: list[str] = []
     in_link = 0
-    heading = False
+    heading = 0
+    item = False
 
     def text(s: str) -> None:
         if s:
@@ -108,7 +131,7 @@ def cut_blocks(page: str) -> list[Block]:
         if whole:
             last = open_[-1] if open_ else outside
             links = len(" ".join(link_parts).split())
-            blocks.append(Block(whole, len(whole.split(" ")), links, last.main, last.aside, heading))
+            blocks.append(Block(whole, len(whole.split(" ")), links, last.main, last.aside, False, last.doubtful, heading, item))
             named_around.append(last.named)
         parts.clear()
         link_parts.clear()
@@ -127,7 +150,8 @@ def cut_blocks(page: str) -> list[Block]:
         elif tag in BLOCK_TAGS:
             end()
             in_link = 0
-            heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
+            heading = int(tag[1]) if not closing and len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" else 0
+            item = not closing and tag in ("li", "td", "th", "dt", "dd")
             if closing:
                 for k in range(len(open_) - 1, -1, -1):
                     if open_[k].tag == tag:
@@ -137,8 +161,9 @@ def cut_blocks(page: str) -> list[Block]:
                 if tag in ("p", "li", "td", "tr") and open_ and open_[-1].tag == tag:
                     open_.pop()  # ends by itself where the next one starts
                 last = open_[-1] if open_ else outside
-                starts, beside, named = _marks(tag, m[4], last.main)
-                this = Open(tag, last.main or starts, last.aside or beside, last.named)
+                starts, beside, named, doubtful = _marks(tag, m[4], last.main)
+                # What starts main text says more than the doubtful name of what holds it.
+                this = Open(tag, last.main or starts, last.aside or beside, doubtful or last.doubtful and not starts, last.named)
                 if tag == "main":
                     for e in last.named:
                         e.holds_main = True
@@ -156,19 +181,32 @@ def cut_blocks(page: str) -> list[Block]:
     for around in () if has_main else articles:
         for e in around:
             e.holds_article = True
-    return [b._replace(aside=b.aside or any(not e.holds_main and not e.holds_article for e in around))
+    return [b._replace(named=any(not e.holds_main and not e.holds_article for e in around))
             for b, around in zip(blocks, named_around, strict=True)]
 
 
 def block_features(blocks: list[Block]) -> list[list[float]]:
-    """Words and link density of each block and its neighbours, and its marks."""
-    flat = [(float(b.words), b.link_words / b.words) for b in blocks]
-    some_main = float(any(b.main for b in blocks))
+    """Words and link density of each block and its neighbours, plain text around it, place and marks."""
+    n = len(blocks)
+    some_main = float(any(b.main and not b.aside and not b.named for b in blocks))
+    flat = [(float(b.words), b.link_words / b.words, float(b.aside or b.named), float(bool(PHRASES.search(b.text)) and b.words < 60),
+             float(bool(SENTENCE.search(b.text)))) for b in blocks]
+    # Words of sentences that are no links, summed from the top of the page.
+    plain = [0.0]
+    for words, links, aside, phrase, sentence in flat:
+        plain.append(plain[-1] + (words if links < 0.5 and not aside and not phrase and sentence else 0.0))
+    titles = [0]
+    for b in blocks:
+        titles.append(titles[-1] + (b.heading in (1, 2)))
+    none = (0.0, 0.0, 0.0, 0.0, 0.0)
     out = []
     for k, b in enumerate(blocks):
-        before = flat[k - 1] if k else (0.0, 0.0)
-        after = flat[k + 1] if k + 1 < len(flat) else (0.0, 0.0)
-        out.append([*flat[k], *before, *after, float(b.main), float(b.aside), float(b.heading), some_main])
+        before, after = flat[k - 1] if k else none, flat[k + 1] if k + 1 < n else none
+        inside = float(b.main and not b.aside and not b.named)
+        near = plain[min(k + 4, n)] - plain[max(k - 3, 0)] - (plain[k + 1] - plain[k])
+        out.append([*flat[k], *before, *after, plain[k] - plain[max(k - 3, 0)], plain[min(k + 4, n)] - plain[k + 1], near,
+                    inside, some_main - inside, float(b.doubtful), float(b.heading), float(b.item), float(titles[k] > 0), float(titles[-1] > 0),
+                    k / n, (n - 1 - k) / n, plain[k] / max(plain[-1], 1.0)])
     return out
 
 
@@ -239,9 +277,118 @@ LABELLED_PAGES = [
 ]
 
 
-def labelled_blocks() -> list[tuple[float, list[float]]]:
+def _words(rng: random.Random, n: int) -> str:
+    """Invented words: the tree sees their number only."""
+    return " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def _sentences(rng: random.Random, n: int, links: bool = False) -> str:
+    """About ``n`` words in sentences."""
+    parts = []
+    while n > 0:
+        k = min(n, rng.randint(4, 18))
+        s = _words(rng, k)
+        if links and rng.random() < 0.15:
+            s = f"<a href=x>{s}</a>" if k < 5 else s.replace(" ", " <a href=x>", 1) + "</a>"
+        parts.append(s.capitalize() + rng.choice("....!?"))
+        n -= k
+    return " ".join(parts)
+
+
+def _article(rng: random.Random, quotes: bool) -> str:
+    """Blocks of main text, each beginning with "+ "; an article that is marked as such may quote
+    legal lines and notices."""
+    out = [f"<h{rng.choice('112')}>+ {_words(rng, rng.randint(1, 10))}</h1>"] if rng.random() < 0.7 else []
+    for _ in range(rng.randint(1, rng.choice([4, 12, 12, 40]))):
+        kind = rng.random()
+        if quotes and rng.random() < 0.15:
+            line = rng.choice(["All rights reserved.", "© 2020 {}", "We use cookies {}", "Subscribe to {}", "Terms of {}", "{} privacy {}", "Log in {}"])
+            out.append(f"<p>+ {line.replace('{}', _words(rng, rng.randint(1, 9)))}</p>")
+        elif quotes and rng.random() < 0.1:
+            out.append(f"<p>+ {_words(rng, rng.randint(1, 12))}</p>")
+        elif kind < 0.66:
+            out.append(f"<p>+ {_sentences(rng, rng.choice([2, 6, 15, 30, 50, 90]), True)}</p>")
+        elif kind < 0.74:
+            out.append(f"<h{rng.choice('23')}>+ {_words(rng, rng.randint(1, 6))}</h2><p>+ {_sentences(rng, 40)}</p>")
+        elif kind < 0.82:
+            out.append("<ul>" + "".join(f"<li>+ {_words(rng, rng.randint(2, 12))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+        elif kind < 0.88:
+            out.append(f"<blockquote>+ {_sentences(rng, 25)}</blockquote>")
+        else:  # names that lie
+            name = rng.choice(["discussion", "legal", "alert", "search-results", "notice", "replies", "side-effects", "copyright-law", "follow-up"])
+            out.append(rng.choice([
+                f'<section id="{name}"><h2>+ {_words(rng, 2)}</h2><p>+ {_sentences(rng, 45)}</p></section>',
+                f'<div class="{name}"><p>+ {_sentences(rng, 30)}</p></div>', f'<p class="{name}">+ {_sentences(rng, 20)}</p>',
+                f'<h2 id="{rng.choice([name, "related", "comments", "menu", "login"])}">+ {_words(rng, 3)}</h2><p>+ {_sentences(rng, 30)}</p>']))
+    return "".join(out)
+
+
+def _boilerplate(rng: random.Random, kind: str) -> str:
+    def item() -> str:
+        return f"<a href=x>{_words(rng, rng.choice([1, 1, 2, 5, 8]))}</a>"
+
+    legal = rng.choice(["© 2021 {}", "Copyright {}", "{}. All rights reserved.", "All rights reserved by {}", "Terms of use and {}", "Privacy {}",
+                        "Powered by {}", "Tous droits réservés {}", "Alle Rechte vorbehalten {}", "(c) {}"])
+    return {
+        "menu": lambda: rng.choice(["<ul>" + "".join(f"<li>{item()}</li>" for _ in range(rng.randint(2, 8))) + "</ul>",
+                                    " | ".join(item() for _ in range(rng.randint(2, 7))), f"<p>{item()}</p><p>{item()}</p>",
+                                    "".join(f"<div>{_words(rng, rng.choice([1, 1, 1, 2]))}</div>" for _ in range(rng.randint(2, 6)))]),
+        "tagline": lambda: f"<p>{_words(rng, rng.randint(2, 9))}</p>",
+        "legal": lambda: f"<p>{legal.format(_words(rng, rng.randint(1, 12)))}</p>",
+        "notice": lambda: f"<p>{rng.choice(['We use cookies', 'This site uses cookies', 'Our privacy rules have changed'])} {_sentences(rng, rng.randint(6, 30))}</p>"
+                          + rng.choice(["", f"<p>{item()}</p>"]),
+        "invite": lambda: f"<p>{rng.choice(['Subscribe', 'Sign up for our newsletter', 'Follow us', 'Log in'])} {_words(rng, rng.randint(0, 14))}</p>",
+        "teasers": lambda: (f"<h3>{_words(rng, 2)}</h3>" if rng.random() < 0.6 else "") + "".join(f"<p>{item()}</p>" for _ in range(rng.randint(2, 6))),
+        "advert": lambda: f"<p>{_sentences(rng, rng.randint(3, 25))}</p>",
+        "comments": lambda: f"<h3>{_words(rng, rng.randint(1, 2))}</h3>" + "".join(f"<p>{_sentences(rng, rng.randint(2, 40))}</p>" for _ in range(rng.randint(1, 5))),
+    }[kind]()
+
+
+# What names the kinds of boilerplate have where pages name them.
+_KIND_NAMES = {"menu": ["menu", "navbar", "breadcrumbs", "top-nav"], "tagline": ["masthead", "topbar"], "legal": ["footer", "copyright", "legal"],
+               "notice": ["cookie-notice", "consent", "gdpr", "notice"], "invite": ["newsletter", "subscribe", "signup", "login"],
+               "teasers": ["related", "sidebar", "recommended", "widget"], "advert": ["ad", "advert", "sponsored", "banner"], "comments": ["comments", "commentlist"]}
+# Names that lie as well as tell; beside a marked article they tell.
+_EITHER_NAMES = ["discussion", "replies", "legal-notice", "notice", "side", "follow"]
+_KIND_TAGS = {"menu": "nav", "tagline": "header", "legal": "footer", "teasers": "aside", "invite": "form"}
+
+
+def compose_page(rng: random.Random) -> str:
+    """A labelled page. Adverts, comments and notices of whole sentences can be told apart by their
+    wrappers only, or by the article's, so they have one there; the other kinds may stand without."""
+    style = rng.choice(["elements", "names", "none", "none", "mixed"])
+    wrap = rng.random()
+    marked = style in ("elements", "mixed") and wrap < 0.8
+
+    def part(kind: str, bare: bool = True) -> str:
+        inner = _boilerplate(rng, kind)
+        how = rng.choice(["elements", "names", "none"]) if style == "mixed" else style
+        how = "names" if how == "none" and not bare else how
+        if how == "elements" and kind in _KIND_TAGS:
+            return f"<{_KIND_TAGS[kind]}>{inner}</{_KIND_TAGS[kind]}>"
+        if how == "none" and (kind not in ("advert", "comments") or marked and bare):
+            return rng.choice([f"<div>{inner}</div>", inner, f'<div class="{rng.choice(["row", "box", "x1"])}">{inner}</div>'])
+        names = _KIND_NAMES[kind] + (_EITHER_NAMES if marked and bare else [])
+        return f'<{rng.choice(["div", "section"])} {rng.choice(["class", "id"])}="{rng.choice(names)}">{inner}</div>'.replace("</div>", "</div></section>")
+
+    body = _article(rng, marked)
+    if rng.random() < 0.3:  # within the article, but told from it by a wrapper
+        body += part(rng.choice(["advert", "teasers", "comments", "invite"]), bare=False) + (f"<p>+ {_sentences(rng, 30)}</p>" if rng.random() < 0.5 else "")
+    if marked:
+        body = rng.choice(["<article>{}</article>", "<main>{}</main>", '<div role="main">{}</div>']).format(body)
+    elif wrap < 0.6:
+        body = f'<div class="{rng.choice(["content", "post", "story", "row"])}">{body}</div>'
+    some = [rng.choice([0.0, 0.4, 0.5]) for _ in range(2)]
+    first = [part(k) for k in ("notice", "tagline", "menu", "advert", "invite") if rng.random() < some[0]]
+    last = [part(k) for k in ("comments", "teasers", "invite", "notice", "menu", "legal", "legal") if rng.random() < some[1]]
+    page = "".join([*first, body, *last])
+    return page.replace("<p", "<div").replace("</p>", "</div>") if rng.random() < 0.2 else page
+
+
+def labelled_blocks(seed: int = 7) -> list[tuple[float, list[float]]]:
+    rng = random.Random(seed)
     out = []
-    for page in LABELLED_PAGES:
+    for page in [*LABELLED_PAGES * 3, *(compose_page(rng) for _ in range(COMPOSED_PAGES))]:
         blocks = cut_blocks(page)
         label = [float(b.text.startswith("+ ")) for b in blocks]
         plain = [b._replace(text=b.text[2:], words=max(b.words - 1, 1)) if y else b
@@ -253,7 +400,7 @@ def labelled_blocks() -> list[tuple[float, list[float]]]:
 def train_tree(spark: SparkSession, depth: int = TREE_DEPTH):
     """The tree as nested ``Node`` tuples with the prediction in the leaves."""
     rows = spark.createDataFrame(labelled_blocks(), "label double, x array<double>")
-    model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, seed=5).fit(
+    model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=3, seed=5).fit(
         rows.select("label", array_to_vector("x").alias("features")).coalesce(1))
 
     def read(node):

@@ -1,6 +1,7 @@
 """Main text, tool calls, toxicity and the pipeline."""
 
 import json
+import random
 import zlib
 
 import pytest
@@ -18,7 +19,50 @@ def tree(spark):
 
 
 def test_tree_fits_its_table(tree):
-    assert all(html_blocks.decide(tree, x) == (y > 0.5) for y, x in html_blocks.labelled_blocks())
+    table = html_blocks.labelled_blocks()
+    assert sum(html_blocks.decide(tree, x) == (y > 0.5) for y, x in table) >= 0.995 * len(table)
+
+
+def plain_blocks(page):
+    """Blocks of a labelled page without their labels, and the labels."""
+    blocks = html_blocks.cut_blocks(page)
+    label = [b.text.startswith("+ ") for b in blocks]
+    return [b._replace(text=b.text[2:], words=max(b.words - 1, 1)) if y else b for b, y in zip(blocks, label, strict=True)], label
+
+
+def test_tree_on_composed_pages_it_has_not_seen(tree):
+    rng = random.Random(2024)
+    right = blocks = same = 0
+    for _ in range(300):
+        plain, label = plain_blocks(html_blocks.compose_page(rng))
+        found = [html_blocks.decide(tree, x) for x in html_blocks.block_features(plain)]
+        right, blocks, same = right + sum(map(bool.__eq__, found, label)), blocks + len(label), same + (found == label)
+    assert right >= 0.99 * blocks and same >= 0.92 * 300
+
+
+@pytest.mark.parametrize("page", [
+    # names that lie inside an article
+    "<article><h1>+ Sleep</h1><p>+ We measured the sleep of forty adults.</p><section id='discussion'><h2>+ Discussion</h2><p>+ The "
+    "results show that naps help, although the effect is small and fades.</p></section></article>",
+    "<article><h1>+ Storm</h1><div class='alert'><p>+ Stay indoors until the wind drops below the limit, the council said.</p></div>"
+    "<p>+ Roads are closed.</p></article><div class='sidebar'><p>Buy a coat today.</p></div>",
+    "<article><p class='legal'>+ The court ruled on Monday that the contract was void from the start.</p><p>+ More follows.</p></article>",
+    "<article><h1>+ Library</h1><h2 id='search-results'>+ How people search</h2><p>+ Most readers look at the first three results only, "
+    "a study says.</p></article><footer>All rights reserved.</footer>",
+    "<article><p>+ The formula is <math><mi>a</mi><mo>=</mo><mi>b</mi></math> as everyone knows.</p></article>",
+    # pages without any mark
+    "<body><p>News for the valley</p><h1>+ The mill</h1><p>+ The mill stood by the brook for three hundred years and ground the grain of "
+    "nine villages.</p><p>+ In the spring of last year its wheel stopped, and nobody has found the money to mend it since then.</p>"
+    "<p>All rights reserved by the valley paper</p><p>We use cookies to make this site better for you. By staying you agree.</p></body>",
+    "<div><div>Home</div><div>Sport</div><div>Login</div></div><div><h2>+ Rain ahead</h2><div>+ Heavy rain is expected along the coast from "
+    "Tuesday evening until Thursday, forecasters said on Monday.</div><div>+ Farmers were told to move their animals to higher ground "
+    "before nightfall, as rivers may rise quickly.</div></div><div>Share this</div><div>Copyright 2024 Coast News</div>",
+    # legal lines that belong to the article
+    "<nav><a href=1>Home</a></nav><article><h1>+ Marks</h1><p>+ All rights reserved.</p><p>+ So every book says on its second page.</p>"
+    "</article><footer>&copy; The Paper, all rights reserved.</footer>"])
+def test_names_do_not_decide(tree, page):
+    want = [b.text[2:] for b in html_blocks.cut_blocks(page) if b.text.startswith("+ ")]
+    assert html_blocks.main_text(page.replace("+ ", ""), tree) == "\n\n".join(want)
 
 
 @pytest.mark.parametrize("page, want", [
