@@ -299,17 +299,37 @@ def jaccard_classes(docs: DataFrame, folder: str | None = None, threshold: float
     return linked.unionAll(alone)
 
 
+def own_keys(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, shared)``: rows packed, with the text and a ``key`` that is the id, or a number of its
+    own for each text of an id that different texts share; ``shared`` are such ids. Rows with a
+    null id have a null key."""
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    ids = stored(rows.filter("id is not null").groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")), f"{folder}/ids")
+    shared = ids.filter("lo != hi").select("id")
+    if shared.isEmpty():  # texts are moved only where ids clash
+        return rows.select("row", "text", F.col("id").alias("key")), shared
+    top = ids.agg(F.max("id")).first()[0]
+    # Written once, so that the numbers are the same wherever they are read.
+    named = stored(rows.join(shared.hint("merge"), "id", "left_semi").select("id", "h").distinct().withColumn(
+        "own", F.lit(max(top, 0) + 1) + F.monotonically_increasing_id()), f"{folder}/own-keys")
+    keyed = rows.join(named.hint("merge"), ["id", "h"], "left")
+    return keyed.select("row", "text", F.coalesce("own", "id").alias("key")), shared
+
+
 def keep_one(docs: DataFrame, folder: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stand for their class, all columns: its least id. Rows with a
-    null id stay; of rows with equal ids one stays."""
+    null id stay. Of rows with equal ids and texts one stays; different texts are different
+    documents whatever their ids, and those with an id of their own go before others in a class."""
     folder = folder or scratch_dir(docs.sparkSession, "near-dup")
-    found = jaccard_classes(docs, folder, threshold).groupBy("doc_id").agg(
+    rows, _ = own_keys(docs, f"{folder}/keys")
+    found = jaccard_classes(rows.select(F.col("key").alias("doc_id"), "text"), folder, threshold).groupBy("doc_id").agg(
         F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
     marked = stored(found.filter("doc_id != class_id or n > 1").select(
         F.col("doc_id").alias("key"), (F.col("doc_id") != F.col("class_id")).alias("gone")), f"{folder}/marked")
-    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("key"))
+    rows = rows.select("row", "key")
     left = rows.join(marked, "key", "left_anti")
     several = marked.filter("not gone")
-    if not several.isEmpty():  # only rows that share an id need to be compared with one another
+    if not several.isEmpty():  # only rows that share a key need to be compared with one another
         left = left.unionAll(rows.join(several.select("key"), "key", "left_semi").dropDuplicates(["key"]))
     return unpacked(left, docs)

@@ -228,3 +228,18 @@ def test_shards_spread_null_and_repeated_ids(spark, tmp_path):
     assert max(held) < 20  # 7500 rows in 4096 slots
     for s in range(8):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
+def test_clashing_ids_lose_no_text(spark, tmp_path):
+    """One id on different texts, beside copies and near copies of some of them."""
+    a, b, c = sentence("a"), sentence("b"), sentence("c")
+    near_a = a.replace("wax7", "other")
+    rows = [(1, a), (1, b), (2, c), (1, c), (3, near_a), (3, near_a), (1, a), (4, sentence("d")), (None, a), (None, None), (5, None), (5, "")]
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, key string, h string")
+    left = sorted(((r.doc_id, r.text) for r in near_dup.keep_one(d, str(tmp_path / "k")).collect()), key=str)
+    texts = [t for _, t in left]
+    assert texts.count(b) == 1 and texts.count(sentence("d")) == 1 and texts.count(c) == 1
+    assert (2, c) in left  # rather than the row that shares its id with other texts
+    assert sum(t in (a, near_a) for i, t in left if i is not None) == 1
+    assert (None, a) in left and (None, None) in left
+    assert sum(i == 5 for i, _ in left) == 1
