@@ -61,7 +61,8 @@ WRAPPERS = frozenset("div section ul ol dl table aside nav form header footer fi
 # Phrases of legal lines, consent notes and invitations.
 PHRASES = re.compile(r"©|\(c\) |copyright|all rights reserved|terms (?:of|and)|privacy|cookie|subscribe|newsletter|sign (?:up|in)"
                      r"|log ?in|follow us|powered by|tous droits|alle rechte|datenschutz|impressum|derechos reservados", re.I)
-SENTENCE = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
+ENDS = frozenset(".!?…:;。！？")
+CLOSERS = "\"'”’»)]"
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>.*?(?:</\1\s*>|\Z)"
@@ -189,8 +190,8 @@ def block_features(blocks: list[Block]) -> list[list[float]]:
     """Words and link density of each block and its neighbours, plain text around it, place and marks."""
     n = len(blocks)
     some_main = float(any(b.main and not b.aside and not b.named for b in blocks))
-    flat = [(float(b.words), b.link_words / b.words, float(b.aside or b.named), float(bool(PHRASES.search(b.text)) and b.words < 60),
-             float(bool(SENTENCE.search(b.text)))) for b in blocks]
+    flat = [(float(b.words), b.link_words / b.words, float(b.aside or b.named), float(b.words < 60 and bool(PHRASES.search(b.text))),
+             float(b.text.rstrip(CLOSERS)[-1:] in ENDS)) for b in blocks]
     # Words of sentences that are no links, summed from the top of the page.
     plain = [0.0]
     for words, links, aside, phrase, sentence in flat:
