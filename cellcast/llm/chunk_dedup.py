@@ -3,16 +3,23 @@
 A gear rolling hash over the last 16 bytes is taken at every word end; a chunk ends where
 that hash is greatest among the four word ends before and the four after it. Cuts depend
 on the text around them alone, so an insertion moves only the cuts beside it, and a
-passage that stands in two documents is cut alike in both but for its edges. Chunks are
-known by a 64-bit digest of their bytes. Of each digest the document with the least id
-keeps its chunk; elsewhere, and further on in the same document, the chunk is a repeat.
-Each repeat knows its place in the owner. The edges of a run of repeated chunks lie in chunks
-that the text around them shapes, so a run is grown word by word for as long as the words
-beside it equal those beside its places in the owners, at most ``CONTEXT_WORDS`` from the
-repeated chunk. Runs of at least ``MIN_RUN_WORDS`` words in whole chunks, or of at least
-``MIN_PASSAGE_WORDS`` words when grown, are cut out of the text; a shorter repeat, such as
-a single common line, stays. A passage is missed only if no whole chunk lies inside it, or
-if other documents own all that do.
+passage that stands in two documents is cut alike in both but for its edges. Where a
+phrase repeats, equal greatest hashes follow each other; every fourth of them ends a chunk.
+No chunk has more than ``MAX_CHUNK_WORDS`` words. Chunks are known by a 64-bit digest of
+their bytes. Of each digest the document with the least id keeps its chunk; elsewhere, and
+further on in the same document, the chunk is a repeat and knows its place in the owner.
+
+Repeated chunks that adjoin here and in one owner are a stretch. The edges of a passage lie
+in chunks that the text around them shapes, so a stretch is grown word by word for as long
+as the words beside it equal those beside its place in the owner. What is not repeated there
+is less than one chunk, so ``MAX_CHUNK_WORDS`` words on either side are enough; a longer
+passage has stretches of its own further on. Grown stretches of at least
+``MIN_PASSAGE_WORDS`` words are cut out of the text: each equals, word by word, a stretch of
+its owner's text. A shorter repeat stays. A passage is missed if no whole chunk lies inside
+it, or if documents that don't hold it own all that do.
+
+Words are runs without white space; characters of scripts written without blanks (Han, kana,
+Thai, Lao) count as one word each. A text that repeats one phrase keeps its first.
 
 A digest's documents are never brought together: owners come from an aggregation with
 partial sums, and joins that Spark can split mark the repeats and bring the words beside
@@ -29,6 +36,7 @@ one, follows the text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +50,10 @@ from cellcast.session import scratch_dir
 
 WINDOW_BYTES = 16
 REACH = 4
-MIN_RUN_WORDS = 16
+TIES = 4
+MAX_CHUNK_WORDS = 64
 MIN_PASSAGE_WORDS = 50
-CONTEXT_WORDS = 64
-CHUNKS_SCHEMA = "doc_id long, digest long, start int, stop int, words int, at int, source int, again boolean"
+CHUNKS_SCHEMA = "doc_id long, digest long, words int, at int, source int, again boolean"
 EDGES_SCHEMA = "doc_id long, owner long, place int, before boolean"
 
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -61,10 +69,27 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def find_chunks(data: np.ndarray, offs: np.ndarray) -> tuple[Words, np.ndarray]:
+def text_words(data: np.ndarray, offs: np.ndarray) -> Words:
+    """Runs without white space, cut at each character of a script written without blanks."""
+    words = solid_words(data, offs)
+    alone = (data >= 0xE3) & (data <= 0xE9)  # first bytes of U+3000 to U+9FFF
+    alone[:-1] |= (data[:-1] == 0xE0) & (data[1:] >= 0xB8) & (data[1:] <= 0xBB)  # U+0E00 to U+0EFF
+    if not alone.any():
+        return words
+    mark = np.zeros(len(data) + 3, bool)
+    mark[words.start] = True
+    at = np.flatnonzero(alone)
+    mark[at] = True
+    solid = np.append(~np.isin(data, np.frombuffer(b" \t\n\v\f\r", np.uint8)), [False] * 3)
+    mark[at + 3] |= solid[at + 3]
+    start = np.flatnonzero(mark)
+    run_end = words.end[np.searchsorted(words.start, start, "right") - 1]
+    return Words(start, np.minimum(run_end, np.append(start[1:], len(data))), np.searchsorted(start, offs))
+
+
+def find_chunks(data: np.ndarray, offs: np.ndarray, words: Words) -> tuple[Words, np.ndarray]:
     """Chunks of a slice as byte spans (white space after a chunk belongs to it) and the
     number of words in each."""
-    words = solid_words(data, offs)
     n = len(words.end)
     row = row_of(words.first)
     value = gear_hashes(data)[words.end - 1].astype(np.int64) if n else np.zeros(0, np.int64)
@@ -73,11 +98,21 @@ def find_chunks(data: np.ndarray, offs: np.ndarray) -> tuple[Words, np.ndarray]:
     cut = value >= 0
     for k in range(1, REACH + 1):
         same = row[k:] == row[:-k]
-        cut[k:] &= ~same | (value[k:] > value[:-k])
+        cut[k:] &= ~same | (value[k:] >= value[:-k])
         cut[:-k] &= ~same | (value[:-k] >= value[k:])
+    # Greatest values within reach of each other are equal; counted from the first of them.
+    at = np.flatnonzero(cut)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > REACH) | (np.diff(row[at]) > 0)
+    number = np.arange(len(at))
+    cut[at[(number - np.maximum.accumulate(np.where(new, number, 0))) % TIES > 0]] = False
     if n:
         cut[words.first[1:][np.diff(words.first) > 0] - 1] = True
     last = np.flatnonzero(cut)
+    begin = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    inside = np.arange(n) - np.repeat(begin, last - begin + 1)
+    cut[inside % MAX_CHUNK_WORDS == MAX_CHUNK_WORDS - 1] = True
+    last = np.flatnonzero(cut)
     first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
     start = words.start[first]
     following = np.append(words.start, len(data))[last + 1]
@@ -92,9 +127,9 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             data, offs = utf8(part.column(1))
-            chunks, n_words = find_chunks(data, offs)
+            ends = text_words(data, offs)
+            chunks, n_words = find_chunks(data, offs, ends)
             # A digest is that of the words and what stands between them, not of what follows.
-            ends = solid_words(data, offs)
             end = ends.end[np.cumsum(n_words) - 1] if len(n_words) else chunks.end
             digest = word_hashes(data, Words(chunks.start, end, chunks.first))
             row = row_of(chunks.first)
@@ -105,25 +140,14 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             again[one] = False
             yield pa.RecordBatch.from_arrays([
                 part.column(0).take(pa.array(row)), pa.array(digest.view(np.int64)),
-                pa.array((chunks.start - offs[row]).astype(np.int32)), pa.array((chunks.end - offs[row]).astype(np.int32)),
                 pa.array(n_words.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(at[one[same]].astype(np.int32)),
                 pa.array(again),
-            ], ["doc_id", "digest", "start", "stop", "words", "at", "source", "again"])
+            ], ["doc_id", "digest", "words", "at", "source", "again"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, CHUNKS_SCHEMA)
 
 
-def repeated_runs(start: np.ndarray, stop: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Adjoining chunks (sorted by start) as runs, those with enough words."""
-    if not len(start):
-        return []
-    cuts = np.flatnonzero(start[1:] != stop[:-1]) + 1
-    a, b = np.concatenate([[0], cuts]), np.append(cuts, len(start))
-    total = np.add.reduceat(words, a)
-    return [(int(start[i]), int(stop[j - 1])) for i, j, w in zip(a, b, total, strict=True) if w >= min_words]
-
-
 def repeats(docs: DataFrame, folder: str) -> DataFrame:
     """``(doc_id, repeats)``: the repeated chunks of each document that has any, with their places."""
     spark = docs.sparkSession
@@ -133,7 +157,7 @@ def repeats(docs: DataFrame, folder: str) -> DataFrame:
     (first.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("place"))
      .filter(F.col("owner") < F.col("last")).select("digest", "owner", "place").write.parquet(f"{folder}/owners"))
     owners = spark.read.parquet(f"{folder}/owners")
-    piece = ["start", "stop", "words", "at", "owner", "place"]
+    piece = ["at", "words", "owner", "place"]
     elsewhere = first.join(owners, "digest").filter(F.col("doc_id") != F.col("owner")).select("doc_id", *piece)
     within = chunks.filter(F.col("again") & F.col("doc_id").isNotNull()).withColumns(
         {"owner": F.col("doc_id"), "place": F.col("source")}).select("doc_id", *piece)
@@ -142,27 +166,36 @@ def repeats(docs: DataFrame, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/repeats")
 
 
-def runs_of(chunks: list[dict]) -> list[list[dict]]:
-    """Adjoining repeated chunks of a document; one chunk may stand several times, with several owners."""
-    runs: list[list[dict]] = []
-    stop = -1
-    for c in sorted(chunks, key=lambda c: (c["start"], c["owner"], c["place"])):
-        if c["start"] > stop:
-            runs.append([])
-        runs[-1].append(c)
-        stop = max(stop, c["stop"])
-    return runs
+class Stretches(NamedTuple):
+    """Words ``at`` to ``stop`` of a row that stand at ``place`` in an owner, by row and place."""
+    row: np.ndarray
+    at: np.ndarray
+    stop: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+
 
+def ints(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(np.int64)
 
-def run_edges(run: list[dict]) -> list[tuple[int, int, int, bool]]:
-    """``(at, owner, place, before)``: where each owner of a run's chunks first and last has one of them."""
-    left: dict[int, dict] = {}
-    right: dict[int, dict] = {}
-    for c in run:
-        left.setdefault(c["owner"], c)
-        right[c["owner"]] = c
-    return ([(c["at"], o, c["place"], True) for o, c in left.items()]
-            + [(c["at"] + c["words"], o, c["place"] + c["words"], False) for o, c in right.items()])
+
+def list_rows(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The row of each element of a column of lists, and the elements."""
+    return row_of(np.concatenate([[0], np.cumsum(ints(lists.value_lengths().fill_null(0)))])), lists.flatten()
+
+
+def stretches(chunks: pa.ListArray) -> Stretches:
+    """The repeated chunks of each row that adjoin in it and in one owner."""
+    row, pieces = list_rows(chunks)
+    at, words, owner, place = (ints(pieces.field(k)) for k in ("at", "words", "owner", "place"))
+    order = np.lexsort((at, place - at, owner, row))
+    row, at, words, owner, place = (x[order] for x in (row, at, words, owner, place))
+    new = np.ones(len(row), bool)
+    new[1:] = ((row[1:] != row[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + words[:-1])
+               | (place[1:] != place[:-1] + words[:-1]))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row))[:len(first)] - 1
+    return Stretches(row[first], at[first], at[last] + words[last], owner[first], place[first])
 
 
 def contexts(docs: DataFrame, found: DataFrame, folder: str) -> DataFrame:
@@ -171,17 +204,20 @@ def contexts(docs: DataFrame, found: DataFrame, folder: str) -> DataFrame:
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, chunks in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows += {(doc_id, o, p, before) for run in runs_of(chunks.as_py()) for _, o, p, before in run_edges(run)}
+            found = stretches(batch.column(1))
+            doc = ints(batch.column(0))[found.row]
+            after = found.place + found.stop - found.at
+            rows = np.unique(np.concatenate([
+                np.stack([doc, found.owner, found.place, np.ones_like(doc)], axis=1),
+                np.stack([doc, found.owner, after, np.zeros_like(doc)], axis=1)]), axis=0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_()))],
+                [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3] > 0)],
                 ["doc_id", "owner", "place", "before"])
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             data, offs = utf8(part.column(1))
-            words = solid_words(data, offs)
+            words = text_words(data, offs)
             h = word_hashes(data, words).view(np.int64)
             owner, place, before, beside_ = [], [], [], []
             for k, (doc_id, places) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
@@ -191,7 +227,7 @@ def contexts(docs: DataFrame, found: DataFrame, folder: str) -> DataFrame:
                     owner.append(doc_id)
                     place.append(at)
                     before.append(p["before"])
-                    beside_.append(mine[max(0, at - CONTEXT_WORDS):at][::-1] if p["before"] else mine[at:at + CONTEXT_WORDS])
+                    beside_.append(mine[max(0, at - MAX_CHUNK_WORDS):at][::-1] if p["before"] else mine[at:at + MAX_CHUNK_WORDS])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(owner, pa.int64()), pa.array(place, pa.int32()), pa.array(before, pa.bool_()),
                  pa.array(beside_, pa.list_(pa.int64()))], ["owner", "place", "before", "beside"])
@@ -208,43 +244,47 @@ def contexts(docs: DataFrame, found: DataFrame, folder: str) -> DataFrame:
             .agg(F.collect_list(F.struct(*key, "beside")).alias("contexts")))
 
 
-def grown(run: list[dict], h: np.ndarray, beside: dict[tuple[int, int, bool], list[np.ndarray]]) -> tuple[int, int]:
-    """The words of a run and those around it that equal the words around it in an owner."""
-    a, b = min(c["at"] for c in run), max(c["at"] + c["words"] for c in run)
-    lo, hi = a, b
-    for at, owner, place, before in run_edges(run):
-        for theirs in beside.get((owner, place, before), ()):
-            mine = h[:at][::-1] if before else h[at:]
-            n = min(len(mine), len(theirs))
-            differ = np.flatnonzero(mine[:n] != theirs[:n])
-            n = int(differ[0]) if len(differ) else n
-            lo, hi = (min(lo, at - n), hi) if before else (lo, max(hi, at + n))
-    return lo, hi
-
-
-def removed_spans(raw: bytes, chunks: list[dict], around: list[dict], min_words: int) -> list[tuple[int, int]]:
-    """Byte spans of the passages of a text to remove."""
-    data = np.frombuffer(raw, np.uint8)
-    words = solid_words(data, np.array([0, len(data)]))
+def equal_words(mine: np.ndarray, theirs: np.ndarray) -> int:
+    """How many words two texts have in common from the start."""
+    n = min(len(mine), len(theirs))
+    differ = np.flatnonzero(mine[:n] != theirs[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def passages(column: pa.Array, chunks: pa.ListArray, around: pa.ListArray, min_words: int) -> list[list[tuple[int, int]]]:
+    """Byte spans of the passages to remove from each text of a slice."""
+    data, offs = utf8(column)
+    words = text_words(data, offs)
     h = word_hashes(data, words).view(np.int64)
-    beside: dict[tuple[int, int, bool], list[np.ndarray]] = {}
-    for c in around:
-        beside.setdefault((c["owner"], c["place"], c["before"]), []).append(np.array(c["beside"], np.int64))
-    spans: list[tuple[int, int]] = []
-    for run in runs_of(chunks):
-        at = np.array(sorted({(c["start"], c["stop"], c["words"]) for c in run}), np.int64)
-        whole = repeated_runs(at[:, 0], at[:, 1], at[:, 2], min_words)
-        lo, hi = grown(run, h, beside)
-        if whole or hi - lo >= MIN_PASSAGE_WORDS:
-            a, b = int(words.start[lo]), int(words.start[hi]) if hi < len(h) else len(data)
-            while spans and a <= spans[-1][1]:
-                last = spans.pop()
-                a, b = min(a, last[0]), max(b, last[1])
-            spans.append((a, b))
+    row, asked = list_rows(around)
+    beside: dict[tuple[int, int, int, bool], list[np.ndarray]] = {}
+    if len(asked):
+        hashes, ends = ints(asked.field("beside").flatten()), np.cumsum(ints(asked.field("beside").value_lengths().fill_null(0)))
+        for key, a, b in zip(zip(row.tolist(), *(asked.field(k).to_pylist() for k in ("owner", "place", "before")), strict=True),
+                             [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            beside.setdefault(key, []).append(hashes[a:b])
+    spans: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
+    found = stretches(chunks)
+    for r, at, stop, owner, place in sorted(zip(*(x.tolist() for x in found), strict=True)):
+        a, b = int(words.first[r]), int(words.first[r + 1])
+        mine = h[a:b]
+        left = max((equal_words(mine[max(0, at - MAX_CHUNK_WORDS):at][::-1], x) for x in beside.get((r, owner, place, True), ())), default=0)
+        right = max((equal_words(mine[stop:], x) for x in beside.get((r, owner, place + stop - at, False), ())), default=0)
+        if stop + right - (at - left) >= min_words:
+            spans[r].append((at - left, stop + right))
+    for r, mine in enumerate(spans):
+        merged: list[tuple[int, int]] = []
+        for lo, hi in sorted(mine):
+            if merged and lo <= merged[-1][1]:
+                lo, hi = merged[-1][0], max(hi, merged.pop()[1])
+            merged.append((lo, hi))
+        a, b, at = int(words.first[r]), int(words.first[r + 1]), int(offs[r])
+        spans[r] = [(int(words.start[a + lo]) - at, (int(words.start[a + hi]) if a + hi < b else int(offs[r + 1])) - at)
+                    for lo, hi in merged]
     return spans
 
 
-def remove_repeats(docs: DataFrame, folder: str | None = None, min_words: int = MIN_RUN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, folder: str | None = None, min_words: int = MIN_PASSAGE_WORDS) -> DataFrame:
     """``docs`` without repeated passages, and ``removed``: their byte spans in the old text."""
     folder = folder or scratch_dir(docs.sparkSession, "chunks")
     found = repeats(docs, folder)
@@ -258,20 +298,16 @@ def remove_repeats(docs: DataFrame, folder: str | None = None, min_words: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
         for part in slices(batches):
-            texts, spans = [], []
-            for text, chunks, beside in zip(part.column(1), part.column(2), part.column(3), strict=True):
-                runs = []
-                if text.is_valid and chunks.is_valid and len(chunks):
-                    runs = removed_spans(text.as_buffer().to_pybytes(), chunks.as_py(), beside.as_py() or [], min_words)
-                if runs:
-                    raw, parts, done = text.as_buffer().to_pybytes(), [], 0
-                    for a, b in runs:
+            texts = part.column(1).to_pylist()
+            spans = passages(*(part.column(k) for k in (1, 2, 3)), min_words)
+            for k, cuts in enumerate(spans):
+                if cuts:
+                    raw, parts, done = texts[k].encode(), [], 0
+                    for a, b in cuts:
                         parts.append(raw[done:a])
                         done = b
-                    texts.append(b"".join([*parts, raw[done:]]).decode("utf-8", "replace"))
-                else:
-                    texts.append(text.as_py())
-                spans.append([{"start": a, "stop": b} for a, b in runs])
+                    texts[k] = b"".join([*parts, raw[done:]]).decode()
+            spans = [[{"start": a, "stop": b} for a, b in cuts] for cuts in spans]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(spans, pa.list_(span))],
                                              ["row", "text", "removed"])
 

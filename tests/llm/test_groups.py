@@ -1,6 +1,7 @@
 """Near-duplicates, repeated passages, leaks, components and shards against brute force."""
 
 import random
+import re
 import zlib
 
 import pytest
@@ -131,6 +132,72 @@ def test_passages_just_over_50_words_go_whole(spark, tmp_path):
     assert not missed, (len(missed), [got[len(first) + k] for k in missed[:2]])
 
 
+def word_spans(text):
+    """Words as the operator counts them: characters of Han, kana, Thai and Lao one by one."""
+    return [m.span() for m in re.finditer("[\u3000-\u9fff\u0e00-\u0eff]|[^\x20\t-\r\u3000-\u9fff\u0e00-\u0eff]+", text)]
+
+
+def repeated_words(texts, n=50):
+    """Per text, which words lie in a run of ``n`` that stands earlier, in this text or another."""
+    first, out = {}, []
+    for i, text in enumerate(texts):
+        words = [text[a:b] for a, b in word_spans(text)]
+        mine = [False] * len(words)
+        for k in range(len(words) - n + 1):
+            if first.setdefault(tuple(words[k:k + n]), (i, k)) != (i, k):
+                mine[k:k + n] = [True] * n
+        out.append(mine)
+    return out
+
+
+def passage_texts():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    numbers = " ".join(str(k) for k in range(1, 301))
+    han = "".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(300))
+    thai = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(200))
+    held = ["buy now " * 40, "call us today for free " * 20, numbers, han, thai, "0 " * 90, prose(51), prose(400)]
+    texts = [f"{prose(40)}\n{p} {prose(30)}" for p in held for _ in range(3)]
+    lines = [prose(20) for _ in range(12)]  # shared by all, each too short to go
+    texts += ["\n".join(f"{x} {prose(15)}" for x in rng.sample(lines, 8)) for _ in range(20)]
+    # Every chunk of the passage may belong to an earlier text that holds a part of it.
+    pieces = [prose(30) for _ in range(5)]
+    texts += [f"{prose(20)} {p} {prose(20)}" for p in pieces]
+    texts += [f"{prose(20)} {' '.join(pieces)} {prose(20)}" for _ in range(4)]
+    return texts
+
+
+def test_passages_equal_brute_force(spark, tmp_path):
+    texts = passage_texts()
+    got = {r.doc_id: r for r in chunk_dedup.remove_repeats(docs(spark, texts), str(tmp_path / "f")).collect()}
+    for i, repeated in enumerate(repeated_words(texts)):
+        raw = texts[i].encode()
+        spans = [(len(raw[:s.start].decode()), len(raw[:s.stop].decode())) for s in got[i].removed]
+        gone = [any(a <= x and y <= b for a, b in spans) for x, y in word_spans(texts[i])]
+        assert not [k for k, (g, r) in enumerate(zip(gone, repeated, strict=True)) if g and not r], (i, texts[i][:300])
+        left, run = 0, 0
+        for g, r in zip(gone, repeated, strict=True):
+            run = run + 1 if r and not g else 0
+            left = max(left, run)
+        assert left < 50, (i, left, texts[i][:300])
+    after = repeated_words([got[i].text for i in range(len(texts))])
+    assert not any(any(x) for x in after)
+
+
+def test_ties_and_long_chunks():
+    import numpy as np
+    import pyarrow as pa
+
+    from cellcast.llm.text import utf8
+    data, offs = utf8(pa.array(["é " * 500, "a b c d " * 100, "x" * 5000, "日本語" * 100]))
+    words = chunk_dedup.text_words(data, offs)
+    assert np.diff(words.first).tolist() == [500, 400, 1, 300]
+    chunks, n = chunk_dedup.find_chunks(data, offs, words)
+    assert n.sum() == 1201 and n.max() <= chunk_dedup.MAX_CHUNK_WORDS
+    assert chunks.first[1] > 100 and chunks.first[2] - chunks.first[1] > 20  # periodic texts have chunks
+
+
 def test_chunks_cover_texts_and_resist_insertions():
     import pyarrow as pa
 
@@ -138,7 +205,7 @@ def test_chunks_cover_texts_and_resist_insertions():
     text = sentence("q", 400)
     rows = [text, "inserted here " + text, None, "", " lead and trail \n"]
     data, offs = utf8(pa.array(rows))
-    chunks, words = chunk_dedup.find_chunks(data, offs)
+    chunks, words = chunk_dedup.find_chunks(data, offs, chunk_dedup.text_words(data, offs))
     cut = [[data[a:b].tobytes() for a, b in zip(chunks.start[i:j], chunks.end[i:j])]
            for i, j in zip(chunks.first[:-1], chunks.first[1:])]
     assert b"".join(cut[0]) == text.encode() and cut[2] == cut[3] == [] and len(cut[4]) == 1
