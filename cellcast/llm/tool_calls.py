@@ -1,8 +1,8 @@
 """Tool-call linking for chat formatting.
 
 Calls and results meet in a hash join on conversation and call id. A call may name one
-that it comes after; calls are put in topological order, level by level, with one join per
-level. Arguments are checked against the tools' schemas, and each call is written with its
+that it comes after; calls are put in topological order by doubling the distance to a call
+before, one join a round, about log2 of the longest chain in all. Arguments are checked against the tools' schemas, and each call is written with its
 result as canonical JSON: sorted keys, no blanks, numbers as JSON writes them.
 
 Everything is DataFrame expressions. A conversation is never brought together: the result
@@ -45,24 +45,31 @@ def first_of(rows: DataFrame, *columns: str) -> DataFrame:
 def levels(calls: DataFrame, folder: str) -> DataFrame:
     """``(conv_id, call_id, topo_level, dangling)``: the number of calls before each on its chain.
 
-    Each round settles the calls whose predecessor was settled in the round before; what no
-    round reaches lies on or behind a cycle.
+    Each call points to one before it and knows how far that is. A round lets it point to
+    where its target points, so distances double and a chain of n calls takes about log2(n)
+    rounds. A call whose target is settled is settled itself. In a round that settles none
+    every open call lies on or behind a cycle, as each chain has calls of all levels.
     """
     calls = stored(calls.select(*KEY, "after"), f"{folder}/calls")
     ids = calls.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("known"))
     linked = stored(calls.join(ids, ["conv_id", "after"], "left"), f"{folder}/linked")
-    front = linked.filter(F.col("known").isNull()).select(*KEY, F.col("after").isNotNull().alias("dangling"))
-    front = stored(front, f"{folder}/0")
-    waiting, settled, depth = linked.filter("known"), None, 0
-    while True:
-        level = front.select(*KEY, F.lit(depth).alias("topo_level"), "dangling")
-        settled = level if settled is None else settled.unionAll(level)
-        if front.isEmpty():
+    settled = linked.filter(F.col("known").isNull()).select(
+        *KEY, F.lit(0).alias("topo_level"), F.col("after").isNotNull().alias("dangling"))
+    waiting = linked.filter("known").select(*KEY, F.col("after").alias("target"), F.lit(1).alias("steps"))
+    kind, rounds = dict(calls.dtypes)["after"], 0
+    while not waiting.isEmpty():
+        rounds += 1
+        ahead = (settled.select(*KEY, F.lit(None).cast(kind).alias("next"), F.col("topo_level").alias("more"))
+                 .unionByName(waiting.select(*KEY, F.col("target").alias("next"), F.col("steps").alias("more")))
+                 .withColumnRenamed("call_id", "target"))
+        step = stored(waiting.join(ahead, ["conv_id", "target"])
+                      .select(*KEY, F.col("next").alias("target"), (F.col("steps") + F.col("more")).alias("steps")),
+                      f"{folder}/{rounds}")
+        done = step.filter(F.col("target").isNull())
+        if done.isEmpty():
             break
-        depth += 1
-        done = front.select("conv_id", F.col("call_id").alias("after"))
-        front = stored(waiting.join(done, ["conv_id", "after"]).select(*KEY, F.lit(False).alias("dangling")),
-                       f"{folder}/{depth}")
+        settled = settled.unionByName(done.select(*KEY, F.col("steps").alias("topo_level"), F.lit(False).alias("dangling")))
+        waiting = step.filter(F.col("target").isNotNull())
     return settled
 
 

@@ -149,6 +149,18 @@ def test_long_conversation_of_one_id(spark, tmp_path):
     assert {r.topo_level for r in got} == {0, 1, 2, 3}
 
 
+def test_levels_of_a_long_chain_take_few_rounds(spark, tmp_path):
+    import os
+    chain = [(1, f"c{k}", f"c{k - 1}" if k else None) for k in range(5000)]
+    ring = [(2, f"r{k}", f"r{(k + 1) % 37}") for k in range(37)] + [(2, "tail", "r5"), (2, "self", "self")]
+    fan = [(3, "root", "nowhere")] + [(3, f"f{k}", "root") for k in range(200)]
+    calls = spark.createDataFrame(chain + ring + fan, "conv_id long, call_id string, after string")
+    got = {(r.conv_id, r.call_id): (r.topo_level, r.dangling) for r in tool_calls.levels(calls, str(tmp_path / "l")).collect()}
+    want = {(1, f"c{k}"): (k, False) for k in range(5000)} | {(3, f"f{k}"): (1, False) for k in range(200)}
+    assert got == want | {(3, "root"): (0, True)}  # none for calls on or behind a cycle
+    assert len([x for x in os.listdir(tmp_path / "l") if x.isdigit()]) <= 14
+
+
 def test_levenshtein_automaton_equals_brute_force():
     import random
     rng = random.Random(1)
