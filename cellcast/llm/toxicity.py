@@ -3,9 +3,11 @@
 The lexicon is learned from labelled rows: words whose documents are toxic far more often
 than the rest, too often for chance. Its words form a trie. Each word of a document is matched by running the
 Levenshtein automaton of that word over the trie, both at once, so that a misspelling
-within ``distance(len)`` edits of a lexicon word is found without comparing all pairs; a
-word of clean documents is never taken for a misspelling, and only words with strong
-evidence match misspellings.
+within ``distance(len)`` edits of a lexicon word is found without comparing all pairs. The
+automaton is compiled to a table of states and steps, one table for each limit. A word of
+clean documents is never taken for a misspelling, and only words with strong evidence
+match misspellings. The lexicon has no size of its own: all words with enough evidence
+among the rows of the fit are in it.
 
 A match counts by its weight, by its closeness, and by its context: words around it tell
 an insult (addressed at someone, near other matches) from a mention (in quotation marks,
@@ -14,7 +16,8 @@ on the same labelled rows.
 
 Labels are learned from rows with ``crc32(doc_id as text) mod 5 <> 0`` only; score and
 features use the text alone. Fitting takes at most ``FIT_ROWS`` such rows, those with the
-least hash of the id; scoring covers every row in one pass without a shuffle.
+least hash of the id, which are written once and deleted after the fit; scoring covers
+every row in one pass without a shuffle.
 
 A null text is read as empty; without a match a text gets the score of no evidence. A null
 ``doc_id`` is not held out, and repeated rows score alike. Without labels of both kinds
@@ -28,6 +31,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -38,10 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.llm.text import slices, small_batches
+from cellcast.session import delete_path, scratch_dir
 
 FIT_ROWS = 40_000
 FOLDS = 5
-LEXICON_SIZE = 2_000
 MAX_CHANCE = 1e-7
 SURE_CHANCE = 1e-12
 MIN_LIFT = 10.0
@@ -75,6 +79,40 @@ def words_of(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+class Automaton:
+    """The Levenshtein automaton for a limit, as a table that serves every word.
+
+    A state holds the edits from what was read to each of the word's prefixes at most ``limit``
+    shorter or longer, counted up to ``limit + 1``. The next state depends on which of the
+    word's characters there equal the character read: one bit each. So states and steps are
+    finite and known before any word is.
+    """
+
+    def __init__(self, limit: int):
+        over, width = limit + 1, 2 * limit + 1
+        start = tuple(o - limit if o >= limit else over for o in range(width))
+        number = {start: 0, (over,) * width: -1}  # -1: no word within the limit can follow
+        #: edits by state and place; next state by state and bits
+        self.states, self.steps = [start], []
+        for state in self.states:  # grows while it is walked
+            after = []
+            for bits in range(1 << width):
+                row: list[int] = []
+                for o in range(width):
+                    dropped = state[o + 1] if o + 1 < width else over
+                    added = row[-1] if row else over
+                    row.append(min(over, dropped + 1, added + 1, state[o] + 1 - (bits >> o & 1)))
+                found = tuple(row)
+                if found not in number:
+                    number[found] = len(self.states)
+                    self.states.append(found)
+                after.append(number[found])
+            self.steps.append(after)
+
+
+compiled = cache(Automaton)
+
+
 class Trie:
     """Lexicon words; nodes are dictionaries from a character to a node, words end in ``""``."""
 
@@ -90,27 +128,30 @@ class Trie:
         """``(edits, index)`` of the closest lexicon word within ``limit`` edits, and within its own
         of ``limits`` if given; the first of equals.
 
-        The state of the word's Levenshtein automaton after the characters on a path of the
-        trie is the row of edit distances to all prefixes of the word; a path ends where no
-        entry is within the limit.
+        The trie is walked together with the word's Levenshtein automaton; a path ends where
+        the automaton has no state left.
         """
+        automaton = compiled(limit)
+        n, window = len(word), (1 << 2 * limit + 1) - 1
+        places: dict[str, int] = {}
+        for p, c in enumerate(word):
+            places[c] = places.get(c, 0) | 1 << p + limit
         best: tuple[int, int] | None = None
-        todo = [(self.root, list(range(len(word) + 1)))]
+        todo = [(self.root, 0, 0)]
         while todo:
-            node, row = todo.pop()
+            node, depth, state = todo.pop()
+            at = n - depth + limit  # where the state holds the edits to the whole word
+            if "" in node and 0 <= at <= 2 * limit:
+                found = (automaton.states[state][at], node[""])
+                own = limit if limits is None else min(limit, limits[found[1]])
+                if found[0] <= own and (best is None or found < best):
+                    best = found
+            if depth == n + limit:
+                continue
+            step = automaton.steps[state]
             for c, child in node.items():
-                if not c:
-                    if row[-1] <= (limit if limits is None else min(limit, limits[child])) and (best is None or (row[-1], child) < best):
-                        best = (row[-1], child)
-                    continue
-                left = row[0] + 1
-                step = [left]
-                for j, w in enumerate(word):
-                    d = row[j] if w == c else 1 + min(left, row[j], row[j + 1])
-                    step.append(d)
-                    left = d
-                if min(step) <= limit:
-                    todo.append((child, step))
+                if c and (after := step[places.get(c, 0) >> depth & window]) >= 0:
+                    todo.append((child, depth + 1, after))
         return best
 
 
@@ -248,8 +289,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     return _texts(docs).join(F.broadcast(known), "doc_id").withColumn("half", half)
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
-    """Words by how much more often toxic documents hold them; at most ``size`` of them.
+def learn_lexicon(rows: DataFrame) -> Lexicon:
+    """Words by how much more often toxic documents hold them, all with enough evidence.
 
     Near copies of a document mostly have the same word of least hash; a word's support is
     the number of such least words among its documents, so that copies don't add up.
@@ -283,7 +324,8 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
     share, chance = F.col("support") / (F.col("support") + F.col("c")), n_toxic / (n_toxic + n_clean)
     evidence = F.col("support") * F.log(share / chance) + F.col("c") * F.coalesce(F.log((1 - share) / (1 - chance)), F.lit(0.0))
     found = (counts.filter((F.col("support") > 0) & (lift >= MIN_LIFT)).filter(evidence >= -math.log(MAX_CHANCE))
-             .select("word", "support", F.log(lift).alias("weight"), (evidence >= -math.log(SURE_CHANCE)).alias("sure")).orderBy(F.desc("support"), "word").limit(size).collect())
+             .select("word", "support", F.log(lift).alias("weight"), (evidence >= -math.log(SURE_CHANCE)).alias("sure"))
+             .orderBy(F.desc("support"), "word").collect())
     words = [r["word"] for r in found]
     sure = [bool(r["sure"]) for r in found]
     trie, pieces, limits = Trie(sure_words(words, sure)), Pieces(sure_words(words, sure)), own_limits(sure_words(words, sure))
@@ -301,24 +343,31 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> Lexicon:
     return Lexicon(words, [float(r["weight"]) for r in found], sure, frozenset(r[0] for r in near) - set(words))
 
 
-_matchers: dict[int, Matcher] = {}
+_matchers: list[Matcher] = []
 
 
 def matcher(lexicon: Lexicon) -> Matcher:
     """The worker's matcher for a lexicon, built once."""
-    key = hash((tuple(lexicon.words), tuple(lexicon.weights)))
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(lexicon)
-    return _matchers[key]
+    if not _matchers or _matchers[0].lexicon != lexicon:
+        _matchers[:] = [Matcher(lexicon)]
+    return _matchers[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    rows = training_rows(docs, labels, fit_rows)
+    spark = docs.sparkSession
+    folder = scratch_dir(spark, "toxicity-fit")
+    training_rows(docs, labels, fit_rows).write.parquet(folder)
+    model = fit_table(spark.read.parquet(folder))
+    delete_path(spark, folder)
+    return model
+
+
+def fit_table(rows: DataFrame) -> Model:
+    """The model of a table as :func:`training_rows` gives it."""
     lexicon = learn_lexicon(rows)
     if not lexicon.words:
         return Model(lexicon, [0.0] * N_FEATURES, math.log(PRIOR / (1 - PRIOR)))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = matcher(shared.value)

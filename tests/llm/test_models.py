@@ -213,6 +213,28 @@ def test_matcher_equals_brute_force():
     assert one.match("wortles") == (1 / 3, 2)
 
 
+def test_matcher_of_a_refit_lexicon_is_its_own():
+    words, weights = ["worthless", "moronic"], [1.0, 2.0]
+    sure = toxicity.Lexicon(words, weights, [True, True], frozenset())
+    assert toxicity.matcher(sure).match("wortless") and toxicity.matcher(sure) is toxicity.matcher(sure)
+    assert toxicity.matcher(sure._replace(sure=[False, True])).match("wortless") is None
+    assert toxicity.matcher(sure._replace(common=frozenset(["wortless"]))).match("wortless") is None
+    assert toxicity.matcher(sure).match("wortless")
+
+
+def test_lexicon_has_no_size_limit(spark):
+    # 2500 words, each in 12 toxic rows and in no clean one; the rows are cut anew in each round.
+    rng, bad, rows = random.Random(3), [f"bad{i}" for i in range(2500)], []
+    for _ in range(12):
+        rng.shuffle(bad)
+        rows += [(" ".join(bad[at:at + 100]), 1) for at in range(0, 2500, 100)]
+    rows += [(sentence(i, 20), 0) for i in range(2700)]
+    table = spark.createDataFrame([(i, t, x, i % 2) for i, (t, x) in enumerate(rows)], "doc_id long, text string, toxic int, half int")
+    found = set(toxicity.learn_lexicon(table).words)
+    # A word that is mostly the least of its own row has little support, by the rule for copies.
+    assert found <= set(bad) and len(found) > 2300
+
+
 def toxic_docs(spark, n=400):
     insults = ["moronic", "worthless", "idiotic"]
     texts, labels = [], []
