@@ -3,8 +3,9 @@
 Each text is known by its SHA-256 digest, each tokenizer by a digest of its file and
 library. Counts are stored in a table keyed by both. A run joins the documents to the
 stored counts, encodes every distinct text that is missing once, appends its count, and
-joins again. The appended rows are committed as one table write, so a lost executor
-leaves either all or none of them; one run at a time may append to a cache.
+joins again. A stored row is a fact about a text, true whatever becomes of the run that
+wrote it: a run that stops halfway leaves fewer misses to the next, and a digest that two
+runs stored at once, or one run twice, counts once, as a cache is read by distinct digest.
 
 Texts cross the network once per distinct missing text and map task; the last join
 carries ids and digests only, and Spark splits it where one digest is frequent.
@@ -122,11 +123,11 @@ def counter(tokenizer: str, path: str, source: bytes) -> PieceCounter | ModelCou
 
 
 def read_cache(spark, cache: str, tokenizer: str) -> DataFrame:
-    """Stored counts of one tokenizer; empty where no cache has been written."""
+    """Stored counts of one tokenizer, one row per digest; none where no cache has been written."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache) if files.exists(folder) else spark.createDataFrame([], CACHE_SCHEMA)
-    return stored.filter(F.col("tokenizer") == tokenizer)
+    return stored.filter(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -151,7 +152,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     missing = (texts.join(read_cache(spark, cache, tokenizer), "digest", "left_anti")
                .groupBy("digest").agg(F.first("text").alias("text")))
     missing.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, tokenizer).select("digest", "n_tokens")
+    counts = read_cache(spark, cache, tokenizer)
     return (texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
             .join(counts, "digest")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest"))

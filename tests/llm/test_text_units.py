@@ -79,6 +79,13 @@ def test_token_counts_use_the_cache(spark, library, tmp_path):
     token_counts.count_tokens(docs(spark, [*texts, "new"]), vocabulary_path(), cache).collect()
     assert spark.read.parquet(cache).count() == 5  # one more, the rest was stored
     assert token_counts.count_tokens(d.limit(0), vocabulary_path(), cache).count() == 0
+    # A cache that holds every digest twice, as two runs at once would leave it, and one of another tokenizer.
+    spark.read.parquet(cache).coalesce(1).write.parquet(str(tmp_path / "again"))
+    again = spark.read.parquet(str(tmp_path / "again"))
+    again.unionAll(again.selectExpr("'other' AS tokenizer", "digest", "n_tokens + 1 AS n_tokens")).write.mode("append").parquet(cache)
+    rows = token_counts.count_tokens(d, vocabulary_path(), cache).collect()
+    assert len(rows) == len(texts) and {r.doc_id: r.n_tokens for r in rows} == want
+    assert spark.read.parquet(cache).count() == 15  # nothing was encoded again
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
