@@ -9,9 +9,12 @@ large items end at ``MAX_SKETCH`` values, of which all are missing with probabil
 ``(1 - threshold) ** MAX_SKETCH``. Each document probes all its shingles against the
 sketches; what meets is verified by exact containment of the item's word shingles.
 
-Documents are read once and never shuffled. Items are taken in blocks of about
-``BLOCK_BYTES`` of text, the only thing that is sent to all executors, with one pass over
-the documents for each block.
+Items are taken in blocks of about ``BLOCK_BYTES`` of text. One block at a time is collected
+and sent to all executors, as flat arrays of words, shingle hashes and sketches, so what is
+broadcast is bounded whatever the benchmark's size. A benchmark of one block takes one pass
+over the documents, which are not shuffled. A larger one takes a pass per block, each
+written before the next begins; dropping documents then joins them to the written digests
+of the texts found.
 
 Words are runs of letters, digits, underscores and non-ASCII characters of the lower-case
 text. An item with fewer than five words is one shingle of all its words; an item without
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 from cellcast.llm.text import (
     SHINGLE_WORDS, find_words, mix64, packed, packed_schema, row_of, sequence_hashes, slices, small_batches, unpacked, utf8, word_hashes)
+from cellcast.session import scratch_dir
 
 THRESHOLD = 0.8
 MAX_SKETCH = 32
@@ -54,24 +57,24 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD):
         self.threshold = threshold
         data, words, h = lower_words(pa.array([t for _, t in items], pa.string()))
-        raw = data.tobytes()
-        self.ids, self.width, self.words, self.hashes = [], [], [], []
+        self.ids = [i for i, _ in items]
+        self.raw = data.tobytes()
+        #: words and sorted shingle hashes of item k: [first[k], first[k + 1]) of each
+        self.start, self.end, self.first = words.start.astype(np.int32), words.end.astype(np.int32), words.first
+        self.width = np.minimum(SHINGLE_WORDS, np.diff(words.first))
+        hashes: list[np.ndarray] = []
         sketch: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for k, (item_id, _) in enumerate(items):
-            a, b = int(words.first[k]), int(words.first[k + 1])
-            if a == b:
+        for k, width in enumerate(self.width.tolist()):
+            grams = np.unique(sequence_hashes(h[words.first[k]:words.first[k + 1]], width)) if width else np.zeros(0, np.uint64)
+            hashes.append(grams)
+            if not width:
                 continue
-            width = min(SHINGLE_WORDS, b - a)
-            grams = np.unique(sequence_hashes(h[a:b], width))
-            at = len(self.ids)
-            self.ids.append(item_id)
-            self.width.append(width)
-            self.words.append([raw[s:e] for s, e in zip(words.start[a:b], words.end[a:b], strict=True)])
-            self.hashes.append(grams)
             # Bottom-m sketch; the size partition (powers of two) decides m.
             largest = 2 ** math.ceil(math.log2(len(grams)))
             m = min(MAX_SKETCH, math.floor((1 - threshold) * largest + 1e-9) + 1)
-            sketch.setdefault(width, []).append((grams[np.argsort(mix64(grams))[:m]], at))
+            sketch.setdefault(width, []).append((grams[np.argsort(mix64(grams))[:m]], k))
+        self.grams = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        self.gram_first = np.concatenate([[0], np.cumsum([len(x) for x in hashes], dtype=np.int64)]).astype(np.int64)
         #: by shingle width: sorted sketch values, the item of each, and a table that most others miss
         self.sketch = {}
         for width, parts in sketch.items():
@@ -85,9 +88,11 @@ class Index:
 
     def shared(self, k: int, text_words: list[bytes]) -> int:
         """How many distinct shingles of item ``k`` the words of a text hold, exactly."""
-        w = self.width[k]
+        w = int(self.width[k])
+        mine = slice(self.first[k], self.first[k + 1])
+        words = [self.raw[a:b] for a, b in zip(self.start[mine], self.end[mine], strict=True)]
         grams = lambda x: {tuple(x[i:i + w]) for i in range(len(x) - w + 1)}
-        return len(grams(self.words[k]) & grams(text_words))
+        return len(grams(words) & grams(text_words))
 
     def search(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
         """``(row, item, item's shingles, shared shingles)`` of every match in a slice."""
@@ -104,36 +109,41 @@ class Index:
         out = []
         have: dict[tuple[int, int], np.ndarray] = {}
         for r, k in sorted(found):
-            a, b, w = int(words.first[r]), int(words.first[r + 1]), self.width[k]
+            a, b, w = int(words.first[r]), int(words.first[r + 1]), int(self.width[k])
+            mine = self.grams[self.gram_first[k]:self.gram_first[k + 1]]
             if (r, w) not in have:
                 have = {(r, w): np.unique(sequence_hashes(h[a:b], w))}
-            need = self.threshold * len(self.hashes[k]) - 1e-9
-            if np.isin(self.hashes[k], have[r, w], assume_unique=True).sum() < need:
+            need = self.threshold * len(mine) - 1e-9
+            if np.isin(mine, have[r, w], assume_unique=True).sum() < need:
                 continue  # equal shingles have equal hashes, so no match is lost here
             n = self.shared(k, [data[s:e].tobytes() for s, e in zip(words.start[a:b], words.end[a:b], strict=True)])
             if n >= need:
-                out.append((r, k, len(self.hashes[k]), n))
+                out.append((r, k, len(mine), n))
         return out
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
     """The items in hashed blocks of about ``block_bytes`` of text."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.filter(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    for k in range(n):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield sorted(((r[0], r[1]) for r in block.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def shared_index(block: DataFrame, threshold: float):
+    """The index of one block, for all executors."""
+    items = sorted(((r[0], r[1]) for r in block.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    return block.sparkSession.sparkContext.broadcast(Index(items, threshold))
+
+
+def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, folder: str | None = None,
+                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every pair of a document and a test item whose shingles it holds."""
+    spark = docs.sparkSession
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def search(block: list[tuple[int, str]]) -> DataFrame:
-        index = texts.sparkSession.sparkContext.broadcast(Index(block, threshold))
-
+    def search(index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
                 found = index.value.search(part.column(1))
@@ -146,21 +156,49 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = THR
 
         return texts.mapInArrow(run, PAIRS_SCHEMA)
 
-    return reduce(DataFrame.unionAll, [search(b) for b in item_blocks(items)])
+    blocks = item_blocks(items, block_bytes)
+    if len(blocks) == 1:
+        return search(shared_index(blocks[0], threshold))
+    folder = folder or scratch_dir(spark, "leaks")
+    for k, block in enumerate(blocks):
+        index = shared_index(block, threshold)
+        search(index).write.parquet(f"{folder}/{k}")
+        index.destroy()
+    return spark.read.schema(PAIRS_SCHEMA).parquet(*[f"{folder}/{k}" for k in range(len(blocks))])
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, folder: str | None = None,
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item."""
     spark = docs.sparkSession
-    for block in item_blocks(items):
-        index = spark.sparkContext.broadcast(Index(block, threshold))
+    text = F.col("text").cast("string")
+    blocks = item_blocks(items, block_bytes)
+    if len(blocks) == 1:
+        index = shared_index(blocks[0], threshold)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
                 clean = np.ones(part.num_rows, bool)
                 clean[[r for r, *_ in index.value.search(part.column(1))]] = False
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(clean))], ["row"])
 
-        rows = small_batches(docs).select(packed(docs), F.col("text").cast("string").alias("text"))
-        docs = unpacked(rows.mapInArrow(run, packed_schema(docs)), docs)
-    return docs
+        rows = small_batches(docs).select(packed(docs), text.alias("text"))
+        return unpacked(rows.mapInArrow(keep, packed_schema(docs)), docs)
+
+    def find(index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                rows = sorted({r for r, *_ in index.value.search(part.column(1))})
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64()))], ["digest"])
+
+        texts = small_batches(docs).select(F.sha2(text, 256).alias("digest"), text.alias("text"))
+        return texts.mapInArrow(run, "digest string").distinct()
+
+    folder = folder or scratch_dir(spark, "leaks")
+    for k, block in enumerate(blocks):
+        index = shared_index(block, threshold)
+        find(index).write.parquet(f"{folder}/{k}")
+        index.destroy()
+    found = spark.read.schema("digest string").parquet(*[f"{folder}/{k}" for k in range(len(blocks))])
+    rows = docs.select(packed(docs), F.sha2(text, 256).alias("digest"))
+    return unpacked(rows.join(found, "digest", "left_anti"), docs)

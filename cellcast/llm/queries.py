@@ -51,13 +51,14 @@ def op2_quality_rules(spark, sf_dir):
 
 @query
 def op4_sharding(spark, sf_dir):
-    """Shard and position of every document, by bytes."""
+    """Shard and position of every document, by bytes; and its shard once the map is edited for one more."""
     folder = scratch_dir(spark, "shards")
     # Ids, sizes and checksums are written once: two passes follow, neither reads text.
     sharding.records(table(spark, sf_dir, "documents")).write.parquet(f"{folder}/records")
     rows = spark.read.parquet(f"{folder}/records")
     stored = sharding.store_map(sharding.first_map(sharding.slot_bytes(rows)), f"{folder}/map")
-    return sharding.place_rows(rows, sharding.latest(stored))
+    grown = sharding.store_map(sharding.grow_map(sharding.latest(stored), sharding.N_SHARDS), f"{folder}/map")
+    return sharding.place_rows(rows, grown.filter("version = 1"), sharding.latest(grown))
 
 
 @query

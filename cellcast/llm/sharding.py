@@ -42,10 +42,8 @@ def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     counted = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"),
                            F.crc32(raw).cast("long").alias("text_crc32"))
                .groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
-    few = counted.filter(F.col("n") <= COPIES).select(*key, "n", F.lit(0).cast("long").alias("at"))
-    many = counted.filter(F.col("n") > COPIES).select(
-        *key, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("at"))
-    parts = few.unionAll(many.repartition(F.col("doc_id"), F.col("text_crc32"), F.col("at")))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("at")
+    parts = counted.select(*key, "n", at).repartition("doc_id", "text_crc32", "at")
     last = F.least(F.col("n"), F.col("at") + COPIES) - 1
     each = parts.select(*key, F.explode(F.sequence(F.col("at"), last)).alias("copy"))
     return each.select(*key, virtual_slot(*key, "copy", n_slots=n_slots).alias("vslot"))
@@ -104,17 +102,22 @@ def latest(stored: DataFrame) -> DataFrame:
     return stored.filter(F.col("version") == stored.agg(F.max("version")).scalar())
 
 
-def place_rows(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
+def place_rows(rows: DataFrame, slot_map: DataFrame, next_map: DataFrame | None = None) -> DataFrame:
     """Shard of every row, and its position in the shard: gapless from 0.
 
     Positions are numbered within each virtual slot, on top of the rows of the shard's
-    slots before it, so no task ever sees a whole shard.
+    slots before it, so no task ever sees a whole shard. ``next_shard`` is the shard under a
+    later version of the map, if one is given.
     """
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     based = slot_map.select("vslot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("base"))
+    later = []
+    if next_map is not None:
+        based = based.join(next_map.select("vslot", F.col("shard").cast("int").alias("next_shard")), "vslot")
+        later = ["next_shard"]
     within = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32"))
     # The map has one row per virtual slot: a fixed number.
     return (rows.withColumn("at", within).join(F.broadcast(based), "vslot")
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
                     (F.col("base") + F.col("at") - 1).cast("long").alias("slot"),
-                    F.lit(None).cast("int").alias("grown_shard"), "vslot"))
+                    F.lit(None).cast("int").alias("grown_shard"), "vslot", *later))

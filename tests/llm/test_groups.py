@@ -212,7 +212,7 @@ def test_chunks_cover_texts_and_resist_insertions():
     assert len(set(cut[0]) - set(cut[1])) <= 1 and words.sum() == 400 + 402 + 3
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, tmp_path):
     items = [(0, sentence("i", 30)), (1, "four words are short"), (2, None), (3, "..."), (4, sentence("j", 45)), (4, sentence("j", 45)),
              (5, sentence("i", 30))]
     w = sentence("i", 30).split()
@@ -236,12 +236,19 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.contaminated_pairs(d, bench.limit(0)).count() == 0
     assert decontaminate.contaminated_pairs(d.limit(0), bench).count() == 0
     assert decontaminate.drop_contaminated(d, bench.limit(0)).count() == len(texts)
+    # Several blocks of items, one at a time: the same pairs, the same rows kept, null texts and repeats included.
+    assert len(decontaminate.item_blocks(bench, 100)) > 3
+    parts = decontaminate.contaminated_pairs(d, bench, folder=str(tmp_path / "pairs"), block_bytes=100)
+    assert sorted(tuple(r)[:4] for r in parts.collect()) == sorted(want)
+    twice = d.unionAll(d)
+    kept = decontaminate.drop_contaminated(twice, bench, folder=str(tmp_path / "drop"), block_bytes=100)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(2 * [r.doc_id for r in clean.collect()])
 
 
 def test_item_blocks_hold_all_items(spark):
     bench = spark.createDataFrame([(i, sentence(i, 20)) for i in range(50)], "item_id long, text string")
-    blocks = list(decontaminate.item_blocks(bench, 2000))
-    assert len(blocks) > 1 and sorted(i for b in blocks for i, _ in b) == list(range(50))
+    blocks = decontaminate.item_blocks(bench, 2000)
+    assert len(blocks) > 1 and sorted(r.item_id for b in blocks for r in b.collect()) == list(range(50))
 
 
 def test_shards_are_near_equal_and_gapless(spark, tmp_path):
@@ -263,10 +270,19 @@ def test_shards_are_near_equal_and_gapless(spark, tmp_path):
     new = {r.vslot: r.shard for r in sharding.latest(grown).collect()}
     assert len(old) == len(new) == sharding.N_SLOTS
     assert all(new[v] in (old[v], 8) for v in old)
+    both = sharding.place_rows(rows, grown.filter("version = 1"), sharding.latest(grown)).collect()
+    assert sorted((r.doc_id, r.shard, r.slot) for r in both) == sorted((r.doc_id, r.shard, r.slot) for r in out)
+    assert all(r.next_shard == new[r.vslot] for r in both) and {r.next_shard for r in both} == set(range(9))
     moved = sum(r.size for r in out if new[r.vslot] == 8)
     assert 0.6 * sum(size.values()) / 9 < moved <= sum(size.values()) / 9
 
 
+def test_records_scan_the_texts_once(spark, tmp_path):
+    docs(spark, ["a", "b"]).write.parquet(str(tmp_path / "d"))
+    plan = sharding.records(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
 def test_shards_of_an_empty_table_and_repeated_rows(spark, tmp_path):
     d = docs(spark, ["a", "b"])
     for k, table in enumerate([d.limit(0), d.unionAll(d)]):
