@@ -6,6 +6,9 @@ import os
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -61,13 +64,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_given: ContextVar[list[str] | None] = ContextVar("given", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the scratch folders given out inside, also after an error.
+
+    What reads them must be written or collected by then. An inner scope deletes its own.
+    """
+    given: list[str] = []
+    token = _given.set(given)
+    try:
+        yield
+    finally:
+        _given.reset(token)
+        for path in given:
+            delete_path(spark, path)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint location for written tables."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not base:
         base = os.path.dirname(ensure_checkpoint_dir(spark).rstrip("/"))
-    return f"{base.rstrip('/')}/cellcast-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/cellcast-{name}-{uuid.uuid4().hex[:12]}"
+    if (given := _given.get()) is not None:
+        given.append(path)
+    return path
 
 
 def _file(spark: SparkSession, path: str):

@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. ``run`` writes every
 stage's result as Parquet to the shared folder and reads it again for the next one, so a
-lost executor costs no more than the stage it was lost in.
+lost executor costs no more than the stage it was lost in. Once a stage is written, its own
+scratch tables and its predecessor's result are deleted; the last result stays.
 
 A stage works on all rows that its predecessor kept. All but the last return the columns
 of ``documents``. Rows with a null or empty text leave in the first stage; repeated rows
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellcast.llm import bpe, chunk_dedup, decontaminate, near_dup, quality
 from cellcast.llm.queries import table, vocabulary_path
-from cellcast.session import scratch_dir
+from cellcast.session import delete_path, scratch_dir, scratch_scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete_path(spark, before)
+        before = path
     return docs
