@@ -1,6 +1,7 @@
 """Main text, tool calls, toxicity and the pipeline."""
 
 import json
+import os
 import random
 import zlib
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cellcast.llm import html_blocks, tool_calls, toxicity
 from cellcast.llm.queries import TOOLS, tool_traffic
+from cellcast.session import scratch_dir
 from helpers import PROSE, docs, sentence, shingles
 
 
@@ -150,7 +152,6 @@ def test_long_conversation_of_one_id(spark, tmp_path):
 
 
 def test_levels_of_a_long_chain_take_few_rounds(spark, tmp_path):
-    import os
     chain = [(1, f"c{k}", f"c{k - 1}" if k else None) for k in range(5000)]
     ring = [(2, f"r{k}", f"r{(k + 1) % 37}") for k in range(37)] + [(2, "tail", "r5"), (2, "self", "self")]
     fan = [(3, "root", "nowhere")] + [(3, f"f{k}", "root") for k in range(200)]
@@ -313,4 +314,8 @@ def test_pipeline_stages(spark, tmp_path):
     leaks = {i for i in seen[2] if shingles(item) <= shingles(held[i])}
     assert seen[3] == seen[2] - leaks and leaks == {35}
     assert seen[4] == seen[3]
+    shared = os.path.dirname(scratch_dir(spark, "x")).removeprefix("file:")
+    before = set(os.listdir(shared))
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == seen[4]
+    new = {x for x in os.listdir(shared) if x not in before}
+    assert len(new) == 1 and os.listdir(f"{shared}/{new.pop()}") == ["4-bpe"]  # no scratch table, no earlier stage
