@@ -155,3 +155,68 @@ def test_quality_without_labels_or_rows(spark):
     assert all(r.kept != r.base_failed for r in rows)
     assert quality.judge(d.limit(0), forest).count() == 0
     assert quality.fit(d.limit(0), labels).limit is None
+
+
+def test_every_labelled_row_counts_in_the_limit(spark):
+    n = 8300
+    last = {r.id for r in spark.range(n).orderBy(F.xxhash64("id").desc()).limit(60).collect()}
+    clean = [f"{PROSE} {sentence(i + n, 30)}" for i in range(n)]
+    texts = [" ".join(f"{w}###" for w in t.split()) if i in last else t for i, t in enumerate(clean)]
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i not in last)) for i in range(n)], "doc_id long, quality int")
+    rejected = quality.judge(d, quality.fit(d, labels)).filter("not kept and not base_failed")
+    assert {r.doc_id for r in rejected.collect()} == last
+
+
+def test_forest_counts_all_rows(spark):
+    rng = np.random.default_rng(5)
+    n = 700
+    x = np.column_stack([rng.beta(1, 9, n), rng.random(n).round(1), np.where(rng.random(n) < 0.05, rng.random(n), 0), np.full(n, 0.2)])
+    x[:3, 0] = 1
+    rows = spark.createDataFrame([(*map(float, r), True, 0, 0) for r in x], [*quality.FEATURES, "judged", "good", "bad"]).repartition(5)
+    forest = quality.grow_forest(rows, n_trees=7)
+    assert forest.tree_rows == 256 and len(forest.trees) == 7
+    assert all((a == b).all() for s, t in zip(forest.trees, quality.grow_forest(rows.coalesce(1), n_trees=7).trees) for a, b in zip(s, t))
+    for t in forest.trees:
+        def check(at, inside, depth):
+            part = x[inside]
+            varied = np.flatnonzero(part.max(0) > part.min(0))
+            if t.feature[at] < 0:
+                assert depth == 8 or len(part) * 256 <= n or not len(varied)
+                assert t.length[at] == pytest.approx(depth + quality.mean_path(len(part) * 256 / n))
+                return
+            f = t.feature[at]
+            assert len(part) * 256 > n and f in varied and part[:, f].min() <= t.limit[at] <= part[:, f].max()
+            goes = x[:, f] <= t.limit[at]
+            check(t.left[at], inside & goes, depth + 1)
+            check(t.right[at], inside & ~goes, depth + 1)
+        check(0, np.ones(n, bool), 0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_calibrate_tries_every_score(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, rng.randint(0, 5), rng.randint(0, 3)) for k in sorted({round(rng.random(), 3 + seed % 2 * 3) for _ in range(300)})]
+    rows += [(0.9 + k * 1e-9, k % 2, 3) for k in range(20)]
+    rows = sorted({r[0]: r for r in rows}.values())
+    good, bad = (sum(r[k] for r in rows) for k in (1, 2))
+    keep = [0.998, 0.9, 0.5, 0.0][seed]
+    best, gain = 0, -2.0
+    for k in range(len(rows)):
+        good_out, bad_out = (1 - sum(r[j] for r in rows[:k + 1]) / total for j, total in ((1, good), (2, bad)))
+        now = bad_out - good_out if good_out <= 1 - keep else -1.0
+        if now > gain:
+            best, gain = k, now
+    expected = (rows[best][0] + rows[min(best + 1, len(rows) - 1)][0]) / 2
+    scored = spark.createDataFrame(rows, "score double, good long, bad long")
+    assert quality.calibrate(scored, keep) == expected
+    assert quality.calibrate(scored.withColumn("bad", F.lit(0))) is None and quality.calibrate(scored.limit(0)) is None
+
+
+def test_repeated_rows_and_labels_count_each_time(spark):
+    d, labels, n = labelled(spark, 12)
+    twice = {(r.good, r.bad) for r in quality.examples(d.union(d), labels.union(labels).union(labels.limit(1))).collect()}
+    assert twice == {(2, 0), (3, 0), (0, 2)}
+    odd = docs(spark, [None, " "], ["row", "kept"]).union(d.withColumn("doc_id", F.lit(None).cast("long")))
+    assert {(r.good, r.bad) for r in quality.examples(odd, labels).collect()} == {(0, 0)}
+    assert quality.examples(odd, labels).count() == d.count()
